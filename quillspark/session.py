@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,3 +73,20 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the project's tables."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, so that functions of it can run on any executor."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quillspark_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="quillspark-zip-"), "quillspark.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("quillspark", os.path.relpath(full, root)))
+    sc.addPyFile(target)
+    sc._quillspark_shipped = True
