@@ -7,33 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def spread_rank(df: DataFrame, group: str, order: list[str], tie: str, out: str = "rank", slices: int = 64) -> DataFrame:
+def spread_rank(df: DataFrame, group: str, order: list[str], tie: str, out: str = "rank", slices: int = 64, lead: Column | None = None) -> DataFrame:
     """A 0-based rank within ``group`` that never sorts one group in a single task.
 
-    Every group is cut into ``slices`` hash slices by ``tie``; rows are ranked within their
-    slice, and the slices of a group are laid end to end by a table of counts that has at most
-    groups x slices rows. The rank is a permutation that depends only on the data; within
-    a slice it follows ``order``.
+    Every group is cut into slices: by the integer ``lead``, if given, a coarse form of the
+    first order column, and within it into ``slices`` hash slices by ``tie``. Rows are ranked within
+    their slice, and the slices of a group are laid end to end by a table of counts that has
+    at most groups x leads x slices rows. The rank is a permutation that depends only on the
+    data; it follows ``lead``, and within a slice ``order``.
     """
-    s = df.withColumn("_slice", F.pmod(F.xxhash64(F.lit(17), F.col(tie)), F.lit(slices)).cast("int"))
+    part = F.pmod(F.xxhash64(F.lit(17), F.col(tie)), F.lit(slices)).cast("long")
+    s = df.withColumn("_slice", part if lead is None else lead.cast("long") * slices + part)
     inner = Window.partitionBy(group, "_slice").orderBy(*order, tie)
     ranked = s.withColumn("_in", F.row_number().over(inner) - F.lit(1))
-    sizes = s.groupBy(group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    per_group = sizes.groupBy(F.col(group).alias("_g")).agg(
-        F.array_sort(F.collect_list(F.struct("_slice", "_n"))).alias("_sizes")
-    )
-    starts = per_group.select(
-        "_g",
-        F.explode(
-            F.transform(
-                F.col("_sizes"),
-                lambda x, i: F.struct(
-                    x["_slice"].alias("s"),
-                    F.aggregate(F.slice(F.col("_sizes"), F.lit(1), i), F.lit(0).cast("long"), lambda a, y: a + y["_n"]).alias("at"),
-                ),
-            )
-        ).alias("_x"),
-    ).select("_g", F.col("_x.s").alias("_s"), F.col("_x.at").alias("_at"))
+    sizes = s.groupBy(F.col(group).alias("_g"), F.col("_slice").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_g").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     return (
         ranked.join(starts, (F.col(group).eqNullSafe(F.col("_g"))) & (F.col("_slice") == F.col("_s")))
         .withColumn(out, F.col("_in") + F.col("_at"))
@@ -49,3 +38,14 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread_by: Column,
     lhs = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     rhs = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return lhs.join(rhs, [key, "_salt"], how).drop("_salt")
+
+
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows out for costly per-row work: by the session's shuffle partitions, at least two per core.
+
+    Adaptive execution judges partitions by bytes and would merge small but costly ones; a
+    fixed number is left as it is.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
