@@ -101,10 +101,8 @@ def _probe_keys(vec: np.ndarray, counts: np.ndarray, total: float) -> list[tuple
     return keys
 
 
-def probes(vecs: DataFrame, sketch: tuple[np.ndarray, float]) -> DataFrame:
-    """(cell, n, pos, id): the cells each vector is filed under and probes, in order of rarity."""
-    spark = vecs.sparkSession
-    table = spark.sparkContext.broadcast(sketch)
+def probes(vecs: DataFrame, table) -> DataFrame:
+    """(cell, n, pos, id): the cells each vector is filed under and probes, in order of rarity. ``table``: the broadcast sketch."""
 
     def run(batches):
         counts, total = table.value
@@ -156,7 +154,7 @@ class HistoryIndex:
         self.spark = spark
         self.path = path or fresh_path(spark, "history")
         self.first, self.growth = first, growth
-        self._sketch: tuple[np.ndarray, float] | None = None
+        self._sketch = None
         if path and path_exists(spark, f"{path}/sketch"):
             self._load_sketch()
 
@@ -165,7 +163,7 @@ class HistoryIndex:
         rows = self.spark.read.parquet(f"{self.path}/sketch").toPandas()  # at most 2**SKETCH_BITS + 1 rows
         body = rows[rows["slot"] >= 0]
         counts[body["slot"].to_numpy()] = body["c"].to_numpy()
-        self._sketch = (counts, max(1.0, float(rows.loc[rows["slot"] < 0, "c"].sum())))
+        self._sketch = self.spark.sparkContext.broadcast((counts, max(1.0, float(rows.loc[rows["slot"] < 0, "c"].sum()))))
 
     def fit(self, vecs: DataFrame) -> None:
         """Fix the order of coordinates by counts over all vectors of the first batch, folded into 2**SKETCH_BITS slots."""
@@ -234,7 +232,6 @@ class HistoryIndex:
         new = self._settle(edges)
         if new is not None:
             fate = fate.unionByName(new)
-        fate = materialize(fate, "fate")
         gone = fate.select(F.col("dup").alias("id"))
         reps.join(gone, "id", "left_anti").select("id", "n", "vec").write.mode("append").parquet(f"{self.path}/vectors")
         keys.join(gone, "id", "left_anti").repartition("cell").sortWithinPartitions("cell").write.mode("append").parquet(f"{self.path}/cells")

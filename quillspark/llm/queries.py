@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import history_dedup
+from quillspark.llm import bin_slack, grouped_split, history_dedup, pair_defects, source_mix, split_overlap, token_budget, token_sizes
+from quillspark.operators.spread import spread_out
 from quillspark.session import table
 
 
@@ -17,8 +19,113 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("kept_id").alias("kept_ex_id"), F.col("dup_id").alias("dup_ex_id"))
 
 
+def _msc_overlaps(spark: SparkSession, sf: str):
+    msc = table(spark, sf, "msc").select("row_id", "split", "corpus", "source")
+    is_eval = F.coalesce(F.col("split").isin("validation", "test"), F.lit(False))
+    is_train = F.coalesce(F.col("split") == "train", F.lit(False))
+    return msc, split_overlap.overlaps(msc, "row_id", "split", "source", is_train, is_eval)
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    _, found = _msc_overlaps(spark, sf)
+    return split_overlap.overlap_pairs(*found)
+
+
+def p2_overlap_report(spark: SparkSession, sf: str) -> DataFrame:
+    msc, found = _msc_overlaps(spark, sf)
+    return split_overlap.overlap_report(msc, *found, "row_id", "split", "corpus")
+
+
+SPLIT_WEIGHTS = {"train": 0.8, "validation": 0.1, "test": 0.1}
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    msc = table(spark, sf, "msc").select("row_id", "id", "source")
+    groups = grouped_split.components(msc, "row_id", "id", "source")
+    return groups.where("id <> group_id").select(F.col("group_id").alias("group_row_id"), F.col("id").alias("row_id"))
+
+
+def p3_new_split(spark: SparkSession, sf: str) -> DataFrame:
+    msc = table(spark, sf, "msc").select("row_id", "id", "source")
+    groups = grouped_split.components(msc, "row_id", "id", "source")
+    return grouped_split.assign_splits(groups, SPLIT_WEIGHTS).select(F.col("id").alias("row_id"), F.col("group_id").alias("group_row_id"), "new_split")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    ex = table(spark, sf, "examples").select("ex_id", "source", "target")
+    return pair_defects.pair_defects(ex, "ex_id", "source", "target").withColumnRenamed("id", "ex_id")
+
+
+def p4_shortened(spark: SparkSession, sf: str) -> DataFrame:
+    ex = table(spark, sf, "examples").select("ex_id", "target")
+    return pair_defects.shortened_responses(ex, "ex_id", "target").select(F.col("id").alias("ex_id"), F.col("full_id").alias("full_ex_id"))
+
+
+def p4_length_spikes(spark: SparkSession, sf: str) -> DataFrame:
+    return pair_defects.length_spikes(table(spark, sf, "examples").select("target"), "target")
+
+
+TOKENIZERS = "/opt/tokenizers"
+
+
+def p5_token_budget(spark: SparkSession, sf: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    msc = table(spark, sf, "msc").select("row_id", "source", "corpus", "language", "domain", "loaded_at")
+    counter = token_budget.longest_match_counter(spark, token_budget.piece_vocabulary(os.path.join(tokenizers, "piece_bpe_32k.model")))
+    slices = {"corpus": token_budget.named(F.col("corpus")), "language": token_budget.clean_language(F.col("language")), "domain": token_budget.named(F.col("domain"))}
+    return token_budget.budget(token_budget.token_counts(msc, counter, "row_id", "source", "loaded_at", slices), list(slices))
+
+
+def _sizer(spark: SparkSession, tokenizers: str):
+    from public_tokenizers import PATTERN
+
+    return token_sizes.token_sizer(spark, os.path.join(tokenizers, "byte_bpe_multi_50k.tiktoken"), PATTERN)
+
+
+def _packed(spark: SparkSession, sf: str, tokenizers: str) -> DataFrame:
+    docs = spread_out(table(spark, sf, "documents").select("doc_id", "text"))
+    items = docs.select(F.col("doc_id").alias("id"), _sizer(spark, tokenizers)(F.col("text")).alias("tokens"))
+    return bin_slack.pack(items, table(spark, sf, "context_windows"))
+
+
+def p6_pack(spark: SparkSession, sf: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return _packed(spark, sf, tokenizers).withColumnRenamed("id", "doc_id")
+
+
+def p6_fill_report(spark: SparkSession, sf: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return bin_slack.fill_report(_packed(spark, sf, tokenizers), table(spark, sf, "context_windows"))
+
+
+def _mixed(spark: SparkSession, sf: str, tokenizers: str) -> tuple[DataFrame, DataFrame]:
+    docs = spread_out(table(spark, sf, "documents").select("doc_id", "source", "text"))
+    targets = table(spark, sf, "mix_targets")
+    items = source_mix.usable(docs, targets, _sizer(spark, tokenizers), "doc_id", "text", "source")
+    return source_mix.mix(items, targets)
+
+
+def p7_mix(spark: SparkSession, sf: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return _mixed(spark, sf, tokenizers)[0].withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, sf: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return _mixed(spark, sf, tokenizers)[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return {
+        "p1_found": p1_found,
+        "p2_found": p2_found,
+        "p2_overlap_report": p2_overlap_report,
+        "p3_found": p3_found,
+        "p3_new_split": p3_new_split,
+        "p4_found": p4_found,
+        "p4_shortened": p4_shortened,
+        "p4_length_spikes": p4_length_spikes,
+        "p5_token_budget": p5_token_budget,
+        "p6_pack": p6_pack,
+        "p6_fill_report": p6_fill_report,
+        "p7_mix": p7_mix,
+        "p7_shares": p7_shares,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
