@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bin_slack, grouped_split, history_dedup, pair_defects, source_mix, split_overlap, token_budget, token_sizes
+from quillspark.llm import bin_slack, content_scores, grouped_split, history_dedup, pair_defects, source_mix, split_overlap, token_budget, token_sizes
 from quillspark.operators.spread import spread_out
 from quillspark.session import table
 
@@ -110,6 +110,25 @@ def p7_shares(spark: SparkSession, sf: str, tokenizers: str = TOKENIZERS) -> Dat
     return _mixed(spark, sf, tokenizers)[1]
 
 
+def _scores(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    return docs, content_scores.content_scores(docs, table(spark, sf, "watch_terms"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    _, scores = _scores(spark, sf)
+    return scores.where(F.col("score") >= content_scores.THRESHOLD).select(F.col("id").alias("doc_id"), "category")
+
+
+def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _scores(spark, sf)[1].withColumnRenamed("id", "doc_id")
+
+
+def p8_source_rates(spark: SparkSession, sf: str) -> DataFrame:
+    docs, scores = _scores(spark, sf)
+    return content_scores.source_rates(docs, scores, "doc_id", "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -125,6 +144,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_fill_report": p6_fill_report,
         "p7_mix": p7_mix,
         "p7_shares": p7_shares,
+        "p8_found": p8_found,
+        "p8_scores": p8_scores,
+        "p8_source_rates": p8_source_rates,
     }
 
 
