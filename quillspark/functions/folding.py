@@ -26,4 +26,9 @@ def fold_words(text: str | None) -> list[str]:
 
 
 def fold_letters(text: str | None) -> str:
-    return "".join(_WORD.findall(fold(text))) if text else ""
+    if not text:
+        return ""
+    if not text.isascii():
+        # marks and invisible characters are no word characters and fall out with the punctuation
+        text = unicodedata.normalize("NFKD", text.casefold())
+    return "".join(_WORD.findall(text.casefold()))
