@@ -72,36 +72,36 @@ def is_failure(text: Column) -> Column:
 
 
 def _lines(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn("_t", F.col(col)).withColumn("_l", body_lines(F.col("_t"))).withColumn("_n", F.size("_l"))
+    return df.withColumn("__q_t", F.col(col)).withColumn("__q_l", body_lines(F.col("__q_t"))).withColumn("__q_n", F.size("__q_l"))
 
 
 def _done(df: DataFrame, result: Column, out: str) -> DataFrame:
-    return df.withColumn(out, F.when(F.col("_t") == "", F.col("_t")).otherwise(result)).drop(*[c for c in df.columns if c.startswith("_")])
+    return df.withColumn(out, F.when(F.col("__q_t") == "", F.col("__q_t")).otherwise(result)).drop(*[c for c in df.columns if c.startswith("__q_")])
 
 
 def collapse_spaces(df: DataFrame, col: str, out: str = "out") -> DataFrame:
     """Squeeze blanks inside lines, keep indentation, drop trailing blanks, at most one empty line."""
-    x = df.withColumn("_t", F.col(col)).withColumn("_l", universal_lines(F.col("_t")))
+    x = df.withColumn("__q_t", F.col(col)).withColumn("__q_l", universal_lines(F.col("__q_t")))
 
     def tidy(line: Column) -> Column:
         bare = F.regexp_replace(line, r"(?U)^\s+", "")
         indent = F.when(bare == "", F.lit("")).otherwise(F.substring(line, F.lit(1), F.length(line) - F.length(bare)))
         return F.regexp_replace(F.concat(indent, F.regexp_replace(bare, r"(?U)[^\S\n]{2,}", " ")), r"[ \t]+$", "")
 
-    return _done(x, F.regexp_replace(F.array_join(F.transform("_l", tidy), "\n"), r"\n{3,}", "\n\n"), out)
+    return _done(x, F.regexp_replace(F.array_join(F.transform("__q_l", tidy), "\n"), r"\n{3,}", "\n\n"), out)
 
 
 def collapse_runs(df: DataFrame, col: str, out: str = "out") -> DataFrame:
     """Two or more equal lines in a row become the line and a count."""
     x = _lines(df, col)
-    x = x.withColumn("_s", F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: (i == 0) | (F.get("_l", i) != F.get("_l", i - 1))))
+    x = x.withColumn("__q_s", F.filter(F.sequence(F.lit(0), F.col("__q_n") - 1), lambda i: (i == 0) | (F.get("__q_l", i) != F.get("__q_l", i - 1))))
 
     def run(at: Column, k: Column) -> Column:
-        count = F.coalesce(F.get("_s", k + 1), F.col("_n")) - at
-        line = F.get("_l", at)
+        count = F.coalesce(F.get("__q_s", k + 1), F.col("__q_n")) - at
+        line = F.get("__q_l", at)
         return F.when(count > 1, F.array(line, F.concat(F.lit("... (repeated "), count.cast("string"), F.lit(" times)")))).otherwise(F.array(line))
 
-    return _done(x, rejoin(F.flatten(F.transform("_s", run)), F.col("_t")), out)
+    return _done(x, rejoin(F.flatten(F.transform("__q_s", run)), F.col("__q_t")), out)
 
 
 def expand_runs(df: DataFrame, col: str, out: str = "out") -> DataFrame:
@@ -110,23 +110,23 @@ def expand_runs(df: DataFrame, col: str, out: str = "out") -> DataFrame:
     marker = r"^\.\.\. \(repeated (\d+) times\)$"
 
     def spread(line: Column, i: Column) -> Column:
-        after = F.regexp_extract(F.coalesce(F.get("_l", i + 1), F.lit("")), marker, 1)
+        after = F.regexp_extract(F.coalesce(F.get("__q_l", i + 1), F.lit("")), marker, 1)
         mine = line.rlike(marker) & (i > 0)
-        return F.when(mine & ~F.coalesce(F.get("_l", i - 1), F.lit("")).rlike(marker), F.array().cast("array<string>")).when(after != "", F.array_repeat(line, after.cast("int"))).otherwise(F.array(line))
+        return F.when(mine & ~F.coalesce(F.get("__q_l", i - 1), F.lit("")).rlike(marker), F.array().cast("array<string>")).when(after != "", F.array_repeat(line, after.cast("int"))).otherwise(F.array(line))
 
-    return _done(x, rejoin(F.flatten(F.transform("_l", spread)), F.col("_t")), out)
+    return _done(x, rejoin(F.flatten(F.transform("__q_l", spread)), F.col("__q_t")), out)
 
 
 def _headed(df: DataFrame, col: str, out: str, pattern: str, key: Column, rest, matches) -> DataFrame:
     """Rows that share a key in a row are put under one heading line."""
-    x = _lines(df, col).withColumn("_k", F.transform("_l", lambda line: F.when(matches(line), key(line))))
+    x = _lines(df, col).withColumn("__q_k", F.transform("__q_l", lambda line: F.when(matches(line), key(line))))
 
     def fold(line: Column, i: Column) -> Column:
-        k = F.get("_k", i)
-        before = F.when(i > 0, F.get("_k", i - 1))
+        k = F.get("__q_k", i)
+        before = F.when(i > 0, F.get("__q_k", i - 1))
         return F.when(k.isNull(), F.array(line)).when(k.eqNullSafe(before), F.array(rest(line))).otherwise(F.array(k, rest(line)))
 
-    return _done(x, rejoin(F.flatten(F.transform("_l", fold)), F.col("_t")), out)
+    return _done(x, rejoin(F.flatten(F.transform("__q_l", fold)), F.col("__q_t")), out)
 
 
 def search_heading(df: DataFrame, col: str, out: str = "out") -> DataFrame:
@@ -142,48 +142,48 @@ def search_dir_heading(df: DataFrame, col: str, out: str = "out") -> DataFrame:
 
 def path_heading(df: DataFrame, col: str, out: str = "out") -> DataFrame:
     """A listing of paths under its directories, if it has two paths or more."""
-    x = _headed(df, col, "_folded", PATH_ROW, lambda s: F.regexp_extract(s, PATH_ROW, 1), lambda s: F.regexp_extract(s, PATH_ROW, 2), lambda s: s.rlike(PATH_ROW))
+    x = _headed(df, col, "__q_folded", PATH_ROW, lambda s: F.regexp_extract(s, PATH_ROW, 1), lambda s: F.regexp_extract(s, PATH_ROW, 2), lambda s: s.rlike(PATH_ROW))
     many = F.size(F.filter(body_lines(F.col(col)), lambda s: s.rlike(PATH_ROW))) >= 2
-    return x.withColumn(out, F.when(many, F.col("_folded")).otherwise(F.col(col))).drop("_folded")
+    return x.withColumn(out, F.when(many, F.col("__q_folded")).otherwise(F.col(col))).drop("__q_folded")
 
 
 def search_unheading(df: DataFrame, col: str, out: str = "out") -> DataFrame:
     """Inverse of ``search_heading``: data rows take the heading above them."""
     data = r"(?dU)^\d+:.*$"
-    x = _lines(df, col).withColumn("_d", F.transform("_l", lambda s: s.rlike(data)))
+    x = _lines(df, col).withColumn("__q_d", F.transform("__q_l", lambda s: s.rlike(data)))
     # a heading is a line that is no data row and stands before one; data rows in a row belong to it
-    x = x.withColumn("_h", F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: ~F.get("_d", i)))
-    owner = lambda i: F.array_max(F.filter("_h", lambda j: j < i))
+    x = x.withColumn("__q_h", F.filter(F.sequence(F.lit(0), F.col("__q_n") - 1), lambda i: ~F.get("__q_d", i)))
+    owner = lambda i: F.array_max(F.filter("__q_h", lambda j: j < i))
 
     def put(line: Column, i: Column) -> Column:
-        is_head = ~F.get("_d", i) & F.coalesce(F.get("_d", i + 1), F.lit(False))
+        is_head = ~F.get("__q_d", i) & F.coalesce(F.get("__q_d", i + 1), F.lit(False))
         o = owner(i)
-        return F.when(is_head, F.array().cast("array<string>")).when(F.get("_d", i) & o.isNotNull(), F.array(F.concat_ws(":", F.get("_l", o), line))).otherwise(F.array(line))
+        return F.when(is_head, F.array().cast("array<string>")).when(F.get("__q_d", i) & o.isNotNull(), F.array(F.concat_ws(":", F.get("__q_l", o), line))).otherwise(F.array(line))
 
-    return _done(x, rejoin(F.flatten(F.transform("_l", put)), F.col("_t")), out)
+    return _done(x, rejoin(F.flatten(F.transform("__q_l", put)), F.col("__q_t")), out)
 
 
 def diff_strip_index(df: DataFrame, col: str, out: str = "out") -> DataFrame:
     x = _lines(df, col)
-    return _done(x, rejoin(F.filter("_l", lambda s: ~s.rlike(INDEX_ROW)), F.col("_t")), out)
+    return _done(x, rejoin(F.filter("__q_l", lambda s: ~s.rlike(INDEX_ROW)), F.col("__q_t")), out)
 
 
 def compact_git_diff(df: DataFrame, col: str, out: str = "out", context: int = 2) -> DataFrame:
     """Headers, changes and ``context`` lines round them; texts that are no diff are returned as they are."""
-    x = df.withColumn("_t", F.col(col)).withColumn("_l", universal_lines(F.col("_t"))).withColumn("_n", F.size("_l"))
+    x = df.withColumn("__q_t", F.col(col)).withColumn("__q_l", universal_lines(F.col("__q_t"))).withColumn("__q_n", F.size("__q_l"))
     changed = lambda s: (s.startswith("+") | s.startswith("-")) & ~s.startswith("+++") & ~s.startswith("---")
-    x = x.withColumn("_c", F.transform("_l", changed))
-    near = lambda i: F.exists(F.slice("_c", F.greatest(i - context, F.lit(0)) + 1, F.least(i + context, F.col("_n") - 1) - F.greatest(i - context, F.lit(0)) + 1), lambda c: c)
+    x = x.withColumn("__q_c", F.transform("__q_l", changed))
+    near = lambda i: F.exists(F.slice("__q_c", F.greatest(i - context, F.lit(0)) + 1, F.least(i + context, F.col("__q_n") - 1) - F.greatest(i - context, F.lit(0)) + 1), lambda c: c)
 
     def wanted(s: Column, i: Column) -> Column:
         meta = F.lit(False)
         for p in DIFF_META:
             meta = meta | s.startswith(p)
-        tail = (s == NO_NEWLINE) & F.coalesce(F.get("_c", i - 1), F.lit(False))
+        tail = (s == NO_NEWLINE) & F.coalesce(F.get("__q_c", i - 1), F.lit(False))
         return meta | near(i) | tail
 
-    kept = F.array_join(F.filter("_l", wanted), "\n")
-    return _done(x, F.when(is_diff(F.col("_t")), kept).otherwise(F.col("_t")), out)
+    kept = F.array_join(F.filter("__q_l", wanted), "\n")
+    return _done(x, F.when(is_diff(F.col("__q_t")), kept).otherwise(F.col("__q_t")), out)
 
 
 def compact_logs(df: DataFrame, col: str, out: str = "out") -> DataFrame:
@@ -193,34 +193,34 @@ def compact_logs(df: DataFrame, col: str, out: str = "out") -> DataFrame:
     place go before those kept only as a new pattern. The first of each pattern is found
     by one sort per text.
     """
-    x = df.withColumn("_t", strip_ansi(F.col(col))).withColumn("_l", body_lines(F.col("_t"))).withColumn("_n", F.size("_l"))
-    x = x.withColumn("_h", F.transform("_l", lambda s: F.when(F.regexp_replace(s, r"(?U)\s+", "") == "", F.lit(0)).when(s.contains(TRACE_HEAD), F.lit(2)).otherwise(F.lit(1))))
+    x = df.withColumn("__q_t", strip_ansi(F.col(col))).withColumn("__q_l", body_lines(F.col("__q_t"))).withColumn("__q_n", F.size("__q_l"))
+    x = x.withColumn("__q_h", F.transform("__q_l", lambda s: F.when(F.regexp_replace(s, r"(?U)\s+", "") == "", F.lit(0)).when(s.contains(TRACE_HEAD), F.lit(2)).otherwise(F.lit(1))))
 
     def in_trace(i: Column) -> Column:
-        h = lambda k: F.coalesce(F.get("_h", i - k), F.lit(0))
+        h = lambda k: F.coalesce(F.get("__q_h", i - k), F.lit(0))
         full = lambda k: h(k) > 0
         return (h(0) == 2) | (full(0) & ((h(1) == 2) | (full(1) & ((h(2) == 2) | (full(2) & (h(3) == 2))))))
 
     def mark(s: Column, i: Column) -> Column:
         score = line_score(s)
-        held = (score >= 0.7) | (i < 2) | (i >= F.col("_n") - 2) | in_trace(i)
+        held = (score >= 0.7) | (i < 2) | (i >= F.col("__q_n") - 2) | in_trace(i)
         tier = F.when(held & (score >= 0.8), 0).when(held, 1).when(score.between(0.2, 0.79), 2).otherwise(3)
         key = F.regexp_replace(F.regexp_replace(s, r"(?U)\d+", "N"), r"(?U)^\s+|\s+$", "")
         return F.struct(key.alias("k"), tier.alias("r"), i.alias("i"))
 
-    x = x.withColumn("_m", F.transform("_l", mark))
-    x = x.withColumn("_o", F.array_sort(F.filter("_m", lambda m: m["r"].isin(1, 2))))
-    first = F.filter("_o", lambda m, j: (j == 0) | (F.get("_o", j - 1)["k"] != m["k"]))
-    x = x.withColumn("_i", F.array_sort(F.concat(F.transform(first, lambda m: m["i"]), F.transform(F.filter("_m", lambda m: m["r"] == 0), lambda m: m["i"]))))
+    x = x.withColumn("__q_m", F.transform("__q_l", mark))
+    x = x.withColumn("__q_o", F.array_sort(F.filter("__q_m", lambda m: m["r"].isin(1, 2))))
+    first = F.filter("__q_o", lambda m, j: (j == 0) | (F.get("__q_o", j - 1)["k"] != m["k"]))
+    x = x.withColumn("__q_i", F.array_sort(F.concat(F.transform(first, lambda m: m["i"]), F.transform(F.filter("__q_m", lambda m: m["r"] == 0), lambda m: m["i"]))))
 
     def emit(i: Column, k: Column) -> Column:
-        line = F.get("_l", i)
-        gap = (i + 1 < F.col("_n")) & (F.coalesce(F.get("_i", k + 1), F.lit(-1)) != i + 1)
+        line = F.get("__q_l", i)
+        gap = (i + 1 < F.col("__q_n")) & (F.coalesce(F.get("__q_i", k + 1), F.lit(-1)) != i + 1)
         return F.when(gap, F.array(line, F.lit(GAP))).otherwise(F.array(line))
 
-    short = rejoin(F.flatten(F.transform("_i", emit)), F.col("_t"))
-    x = x.withColumn("_r", short)
-    return _done(x, F.when((F.col("_n") >= 10) & (F.length("_r") < F.length("_t")), F.col("_r")).otherwise(F.col("_t")), out)
+    short = rejoin(F.flatten(F.transform("__q_i", emit)), F.col("__q_t"))
+    x = x.withColumn("__q_r", short)
+    return _done(x, F.when((F.col("__q_n") >= 10) & (F.length("__q_r") < F.length("__q_t")), F.col("__q_r")).otherwise(F.col("__q_t")), out)
 
 
 def trim_head_tail(text: Column, most: int) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillspark.functions import grammar as g
 from quillspark.functions import lines, pairs, spans
@@ -16,7 +15,7 @@ ROW = "n_spans int, n_retained int, ratio double, extractive boolean, recall dou
 def measured(df: DataFrame, source: str, output: str, target: str | None = None, given: str | None = None) -> DataFrame:
     """Adds ``m``: spans, retained spans, token ratio, ordered subsequence, recall of the target."""
 
-    @F.pandas_udf(T._parse_datatype_string(ROW))
+    @F.pandas_udf(ROW)
     def run(s: pd.Series, o: pd.Series, t: pd.Series, p: pd.Series) -> pd.DataFrame:
         out = []
         for a, b, c, d in zip(s, o, t, p):

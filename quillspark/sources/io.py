@@ -10,9 +10,9 @@ from pyspark.sql import types as T
 
 from quillspark.session import delete_path, path_exists
 
-LEDGER = T._parse_datatype_string("ts double, source string, cwd string, model string, session string, `in` bigint, `out` bigint, ratio double, units int, kept int, protected int, ms double")
-EXAMPLE = T._parse_datatype_string("id string, language string, source string, target string, protected_spans array<string>, teacher_model string, created_at bigint")
-REQUEST = T._parse_datatype_string("id string, text string, meta struct<mode:string,source:string,cwd:string,model:string,session:string,in_chars:double>")
+LEDGER = "ts double, source string, cwd string, model string, session string, `in` bigint, `out` bigint, ratio double, units int, kept int, protected int, ms double"
+EXAMPLE = "id string, language string, source string, target string, protected_spans array<string>, teacher_model string, created_at bigint"
+REQUEST = "id string, text string, meta struct<mode:string,source:string,cwd:string,model:string,session:string,in_chars:double>"
 ENV, FOLDER, FILE = "QUILLSPARK_LEDGER", "quillspark", "ledger.jsonl"
 
 
@@ -25,17 +25,14 @@ def ledger_path(env: dict[str, str] | None = None) -> str:
     return os.path.join(base, FOLDER, FILE)
 
 
-def _tolerant(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    return spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+def _tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """All sound ledger rows, with in_chars and out_chars; broken lines are left out, a missing file is an empty table."""
-    names = [F.col("in").alias("in_chars") if f.name == "in" else F.col("out").alias("out_chars") if f.name == "out" else F.col(f.name) for f in LEDGER.fields]
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], LEDGER).select(*names)
-    return _tolerant(spark, path, LEDGER).where("_bad is null").select(*names)
+    rows = _tolerant(spark, path, LEDGER).where("_bad is null").drop("_bad") if path_exists(spark, path) else spark.createDataFrame([], LEDGER)
+    return rows.withColumnsRenamed({"in": "in_chars", "out": "out_chars"})
 
 
 def append_ledger(rows: DataFrame, path: str) -> bool:
@@ -62,14 +59,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-def read_dataset(spark: SparkSession, path: str, schema: T.StructType = EXAMPLE) -> DataFrame:
+def read_dataset(spark: SparkSession, path: str, schema: T.StructType | str = EXAMPLE) -> DataFrame:
     """Dataset lines; the first broken one fails the read."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def unwritten(new: DataFrame, spark: SparkSession, path: str, key: str = "id", schema: T.StructType = EXAMPLE) -> DataFrame:
+def unwritten(new: DataFrame, spark: SparkSession, path: str, key: str = "id", schema: T.StructType | str = EXAMPLE) -> DataFrame:
     """Rows whose key the dataset does not have yet."""
     return new.join(read_dataset(spark, path, schema).select(key).distinct(), key, "left_anti")
 
@@ -91,7 +88,6 @@ def example_rows(pairs: DataFrame, now: Column | None = None) -> DataFrame:
 
 def parse_requests(lines: DataFrame, col: str = "value") -> DataFrame:
     """(id, text, meta, error) of request lines; a broken line is a row with an error."""
-    full = T.StructType([*REQUEST.fields, T.StructField("_bad", T.StringType())])
-    x = lines.withColumn("_r", F.from_json(F.col(col), full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    x = lines.withColumn("_r", F.from_json(F.col(col), REQUEST + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     bad = F.col("_r._bad").isNotNull() | F.col("_r.text").isNull()
     return x.select("_r.id", "_r.text", "_r.meta", F.when(bad, F.lit("invalid request")).alias("error"))

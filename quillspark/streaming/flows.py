@@ -25,9 +25,9 @@ def answers(requests: DataFrame, col: str = "value") -> DataFrame:
         rows = [(t, 0, 0, 0) if t is None or len(t) < 10 else checkpoint_text(t) for t in text]
         return pd.DataFrame(rows, columns=["text", "units", "kept", "protected"])
 
-    x = lines.compact_logs(r, "text", "_logs").withColumn("_o", run("_logs"))
-    ratio = F.when(F.length("text") > 0, F.round(F.length("_o.text") / F.length("text"), 4)).otherwise(1.0)
-    return x.select("id", F.col("_o.text").alias("text"), ratio.alias("ratio"), "_o.units", "_o.kept", "_o.protected", "error")
+    x = lines.compact_logs(r, "text", "__logs").withColumn("__o", run("__logs"))
+    ratio = F.when(F.length("text") > 0, F.round(F.length("__o.text") / F.length("text"), 4)).otherwise(1.0)
+    return x.select("id", F.col("__o.text").alias("text"), ratio.alias("ratio"), "__o.units", "__o.kept", "__o.protected", "error")
 
 
 def ledger_windows(ledger: DataFrame, width: str = "1 day", late: str = "7 days") -> DataFrame:
