@@ -1,24 +1,29 @@
 """Records of evaluation splits that also appear in the training split (problem 2).
 
-Both sides are folded to letters and digits. Every evaluation text of length L may differ
-from a training text by k = L // 8 edits (more if the training text is longer). It is cut into
-passages of ``GRAM`` letters on a fixed grid; k edits spoil at most k passages, so
-every match keeps all but k of them, each within k places of its own. The passages of a shard
-of evaluation texts form one Aho-Corasick automaton, which scans all training texts. A first
-count uses only the rarest k + ``EXTRA`` passages of each text (at least ``EXTRA`` of
-those survive). For what is left the matched intervals are merged into coverage, which
-must reach the surviving share, and a bit-parallel edit distance decides.
-
-The scan is one pass over the training texts per shard. A shard holds a bounded number of
-letters, and only a shard is broadcast.
+Both sides are folded to letters and digits. An evaluation text of length L may differ from a
+training text by k edits, k an eighth of the longer one. It is cut into one passage more
+than the most edits any partner allows, evenly spread, of at most ``GRAM`` letters each. An edit
+spoils one passage at most and moves the others by one place at most, so a match keeps all
+but k passages, each within k places of its own.
+
+The passages of a shard of evaluation texts form one Aho-Corasick automaton, which scans all
+training texts. Matched passages are counted per evaluation text, those out of place left out; a text
+that keeps enough goes on to a bound on letter pairs (an edit changes two of them), then its matched
+intervals are merged into coverage, and a bit-parallel edit distance decides.
+
+A shard holds a bounded number of letters; only a shard is broadcast, and the scan is one pass over the
+training texts per shard.
 
 Defined cases: null, blank and letterless texts never match; equal texts are compared once
-per distinct text and expanded to their rows; texts too short for a passage grid match
-only when equal after folding or by direct comparison within the short class; extra columns are ignored.
+per distinct text and expanded to their rows; short texts are cut into shorter passages, down to
+one letter; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+from array import array
+
 import ahocorasick
 import numpy as np
 import pandas as pd
@@ -30,9 +35,9 @@ from quillspark.functions.folding import fold_letters
 from quillspark.operators.spread import spread_out
 from quillspark.session import materialize
 
-GRAM = 5
-EXTRA = 6
-SHARD_LETTERS = 1_500_000
+GRAM = 6
+PAIRS = 512
+SHARD_LETTERS = 8_000_000
 
 
 @F.pandas_udf(T.StringType())
@@ -92,90 +97,117 @@ def same(a: str, b: str) -> bool:
     return abs(len(a) - len(b)) <= most and edit_distance(a, b, most) <= most
 
 
+def pair_counts(text: str) -> np.ndarray:
+    """How often each neighbouring pair of letters occurs, in ``PAIRS`` slots."""
+    c = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    return np.bincount((c[:-1] * np.uint32(31) + c[1:]) % np.uint32(PAIRS), minlength=PAIRS).astype(np.int16)
+
+
 class PassageShard:
-    """The automaton and passage lists of one shard of evaluation texts."""
+    """The automaton of one shard of evaluation texts and where each of its passages stands.
+
+    Texts are held in order of length, so those within reach of a training text are one range;
+    places are held in order of passage and position, so those near a hit are one range too.
+    """
 
     def __init__(self, ids: list[int], texts: list[str]):
-        self.ids, self.texts = ids, texts
-        self.length = np.array([len(t) for t in texts], dtype=np.int32)
-        # the longer text of a pair may have L * 8 // 7 letters
-        self.slack = np.maximum(self.length * 8 // 7 // 8, 1).astype(np.int32)
-        grid = [[t[i : i + GRAM] for i in range(0, len(t) - GRAM + 1, GRAM)] for t in texts]
-        count: dict[str, int] = {}
-        for g in grid:
-            for p in g:
-                count[p] = count.get(p, 0) + 1
-        self.need = np.array([max(1, len(g) - int(k)) for g, k in zip(grid, self.slack)], dtype=np.int32)
-        self.first_need = np.ones(len(texts), dtype=np.int32)
-        post: dict[str, list[tuple[int, int]]] = {}
-        self.short = [i for i, g in enumerate(grid) if len(g) - int(self.slack[i]) < 1]
-        for i, g in enumerate(grid):
-            k = int(self.slack[i])
-            take = min(len(g), k + EXTRA)
-            self.first_need[i] = max(1, take - k)
-            for j in sorted(range(len(g)), key=lambda j: (count[g[j]], j))[:take]:
-                post.setdefault(g[j], []).append((i, j * GRAM))
-        self.post = []
+        order = sorted(range(len(ids)), key=lambda i: len(texts[i]))
+        self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
+        self.length = np.array([len(t) for t in self.texts], dtype=np.int64)
+        self.most = self.length * 8 // 7 // 8  # edits allowed with the longest partner
+        grams: dict[str, int] = {}
+        gram, pos, who = array("l"), array("l"), array("l")
+        for i, t in enumerate(self.texts):
+            n, r = len(t), int(self.most[i]) + 1
+            size = max(1, min(GRAM, n // r))
+            for k in range(r):
+                a = k * n // r
+                g = t[a : a + size]
+                gram.append(grams.setdefault(g, len(grams)))
+                pos.append(a)
+                who.append(i)
+        self.span = int(self.length[-1]) + 2 if texts else 2
+        place = np.array(gram, dtype=np.int64) * self.span + np.array(pos, dtype=np.int64)
+        by = np.argsort(place, kind="stable")
+        self.place, self.who = place[by], np.array(who, dtype=np.int32)[by]
+        self.size = np.array([len(g) for g in grams], dtype=np.int64)
         self.auto = ahocorasick.Automaton()
-        for n, (p, at) in enumerate(post.items()):
-            self.auto.add_word(p, n)
-            self.post.append((np.array([x for x, _ in at], dtype=np.int32), np.array([y for _, y in at], dtype=np.int32)))
-        if post:
+        for g, k in grams.items():
+            self.auto.add_word(g, k)
+        if grams:
             self.auto.make_automaton()
-        self.grid = grid
-
-    def _coverage(self, i: int, text: str) -> int:
-        """Passages of text ``i`` found within ``slack`` places of their own: the matched intervals, merged on the grid."""
-        k, found, g = int(self.slack[i]), 0, self.grid[i]
-        missing = 0
-        for j, p in enumerate(g):
-            at = j * GRAM
-            if text.find(p, max(0, at - k), at + k + GRAM) >= 0:
+        self.pairs = np.stack([pair_counts(t) for t in self.texts]) if texts else np.zeros((0, PAIRS), dtype=np.int16)
+
+    def coverage(self, i: int, text: str, edits: int) -> tuple[int, float]:
+        """(passages of text ``i`` found in place, share of its letters under the merged intervals)."""
+        mine = self.texts[i]
+        r = int(self.most[i]) + 1
+        size = max(1, min(GRAM, len(mine) // r))
+        found, covered, end = 0, 0, 0
+        for a in (k * len(mine) // r for k in range(r)):
+            if text.find(mine[a : a + size], max(0, a - edits), a + edits + size) >= 0:
                 found += 1
-            else:
-                missing += 1
-                if missing > k:
-                    return 0
-        return found
+                covered += a + size - max(a, end)
+                end = a + size
+        return found, covered / max(1, len(mine))
 
     def scan(self, text: str) -> list[tuple[int, float]]:
-        """(evaluation text, coverage) for all texts of the shard that ``text`` matches."""
-        out = []
+        """(evaluation id, coverage) for all texts of the shard that ``text`` matches."""
         n = len(text)
-        who, where = [], []
-        if self.post:
-            for end, p in self.auto.iter(text):
-                ev, at = self.post[p]
-                who.append(ev)
-                where.append(at - (end - GRAM + 1))
-        hits: list[int] = []
-        if who:
-            ev, off = np.concatenate(who), np.concatenate(where)
-            ev = ev[(np.abs(off) <= self.slack[ev])]
-            c = np.bincount(ev, minlength=len(self.ids))
-            ok = (c >= self.first_need) & (np.abs(self.length - n) * 8 <= np.maximum(self.length, n))
-            hits = np.nonzero(ok)[0].tolist()
-        for i in hits:
-            covered = self._coverage(i, text)
-            if covered >= self.need[i] and same(self.texts[i], text):
-                out.append((i, covered * GRAM / max(1, len(self.texts[i]))))
-        for i in self.short if n <= 2 * GRAM + 2 else ():
-            if i not in hits and abs(len(self.texts[i]) - n) * 8 <= max(n, len(self.texts[i])) and same(self.texts[i], text):
-                out.append((i, 1.0))
+        lo = int(np.searchsorted(self.length, n - n // 8))
+        hi = int(np.searchsorted(self.length, n * 8 // 7 + 1, side="right"))
+        hits = list(self.auto.iter(text)) if lo < hi else []
+        if not hits:
+            return []
+        seen = np.array(hits, dtype=np.int64)
+        gram = seen[:, 1]
+        at = seen[:, 0] + 1 - self.size[gram]
+        reach = n * 8 // 7 // 8 + 1
+        base = gram * self.span
+        first = np.searchsorted(self.place, base + np.maximum(at - reach, 0))
+        count = np.searchsorted(self.place, base + np.minimum(at + reach, self.span - 2), side="right") - first
+        upto = np.cumsum(count)
+        who = self.who[np.arange(upto[-1]) + np.repeat(first - upto + count, count)]
+        kept = np.bincount(who, minlength=len(self.ids))[lo:hi]
+        edits = np.maximum(self.length[lo:hi], n) // 8
+        near = np.nonzero(kept > self.most[lo:hi] - edits)[0]
+        if not len(near):
+            return []
+        mine = pair_counts(text)
+        near = near[np.abs(self.pairs[lo + near] - mine).sum(axis=1) <= 4 * edits[near]]
+        out = []
+        for j in near.tolist():
+            i, k = lo + j, int(edits[j])
+            if abs(int(self.length[i]) - n) > k:
+                continue
+            found, share = self.coverage(i, text, k)
+            if found > int(self.most[i]) - k and edit_distance(self.texts[i], text, k) <= k:
+                out.append((self.ids[i], round(share, 6)))
         return out
 
 
+_SHARDS: dict[str, PassageShard] = {}
+
+
+def _held(name: str, ids: list[int], texts: list[str]) -> PassageShard:
+    """The shard, built once per worker; a worker holds one at a time."""
+    if name not in _SHARDS:
+        _SHARDS.clear()
+        _SHARDS[name] = PassageShard(ids, texts)
+    return _SHARDS[name]
+
+
 def _scan(train: DataFrame, shard: list, spark) -> DataFrame:
     """(eval_class, train_class, coverage) of one shard."""
-    held = spark.sparkContext.broadcast(([int(r[0]) for r in shard], [r[1] for r in shard]))
+    held = spark.sparkContext.broadcast((uuid.uuid4().hex, [int(r[0]) for r in shard], [r[1] for r in shard]))
 
     def run(batches):
-        s = PassageShard(*held.value)
+        s = _held(*held.value)
         for pdf in batches:
             a, b, c = [], [], []
             for i, t in zip(pdf["cls"], pdf["t"]):
                 for j, cov in s.scan(t):
-                    a.append(s.ids[j])
+                    a.append(j)
                     b.append(i)
                     c.append(cov)
             yield pd.DataFrame({"eval_class": pd.Series(a, dtype="int64"), "train_class": pd.Series(b, dtype="int64"), "coverage": pd.Series(c, dtype="float64")})
