@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import uuid
 from array import array
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -37,6 +38,7 @@ from quillspark.session import materialize
 
 GRAM = 6
 PAIRS = 512
+TOGETHER = 64
 SHARD_LETTERS = 8_000_000
 
 
@@ -151,21 +153,39 @@ class PassageShard:
                 end = a + size
         return found, covered / max(1, len(mine))
 
-    def scan(self, text: str) -> list[tuple[int, float]]:
-        """(evaluation id, coverage) for all texts of the shard that ``text`` matches."""
+    def scan(self, texts: list[str]) -> list[tuple[int, int, float]]:
+        """(evaluation id, number of the text, coverage) for all matches of some training texts, scanned together."""
+        hits: list[tuple[int, int]] = []
+        bounds = [0]
+        for t in texts:
+            hits += self.auto.iter(t)
+            bounds.append(len(hits))
+        if not hits:
+            return []
+        seen = np.fromiter(chain.from_iterable(hits), dtype=np.int64, count=2 * len(hits))
+        gram = seen[1::2]
+        at = seen[::2] + 1 - self.size[gram]
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        reach = np.repeat(sizes * 8 // 7 // 8 + 1, np.diff(bounds))
+        low = gram * self.span + np.maximum(at - reach, 0)
+        by = np.argsort(low)  # look-ups in order stay near each other
+        first = np.empty_like(low)
+        count = np.empty_like(low)
+        first[by] = f = np.searchsorted(self.place, low[by])
+        count[by] = np.searchsorted(self.place, (gram * self.span + np.minimum(at + reach, self.span - 2))[by], side="right") - f
+        out: list[tuple[int, int, float]] = []
+        for k, t in enumerate(texts):
+            f, c = first[bounds[k] : bounds[k + 1]], count[bounds[k] : bounds[k + 1]]
+            if len(f):
+                out += [(i, k, share) for i, share in self._matches(t, f, c)]
+        return out
+
+    def _matches(self, text: str, first: np.ndarray, count: np.ndarray) -> list[tuple[int, float]]:
         n = len(text)
         lo = int(np.searchsorted(self.length, n - n // 8))
         hi = int(np.searchsorted(self.length, n * 8 // 7 + 1, side="right"))
-        hits = list(self.auto.iter(text)) if lo < hi else []
-        if not hits:
+        if lo >= hi:
             return []
-        seen = np.array(hits, dtype=np.int64)
-        gram = seen[:, 1]
-        at = seen[:, 0] + 1 - self.size[gram]
-        reach = n * 8 // 7 // 8 + 1
-        base = gram * self.span
-        first = np.searchsorted(self.place, base + np.maximum(at - reach, 0))
-        count = np.searchsorted(self.place, base + np.minimum(at + reach, self.span - 2), side="right") - first
         upto = np.cumsum(count)
         who = self.who[np.arange(upto[-1]) + np.repeat(first - upto + count, count)]
         kept = np.bincount(who, minlength=len(self.ids))[lo:hi]
@@ -173,8 +193,7 @@ class PassageShard:
         near = np.nonzero(kept > self.most[lo:hi] - edits)[0]
         if not len(near):
             return []
-        mine = pair_counts(text)
-        near = near[np.abs(self.pairs[lo + near] - mine).sum(axis=1) <= 4 * edits[near]]
+        near = near[np.abs(self.pairs[lo + near] - pair_counts(text)).sum(axis=1) <= 4 * edits[near]]
         out = []
         for j in near.tolist():
             i, k = lo + j, int(edits[j])
@@ -205,10 +224,11 @@ def _scan(train: DataFrame, shard: list, spark) -> DataFrame:
         s = _held(*held.value)
         for pdf in batches:
             a, b, c = [], [], []
-            for i, t in zip(pdf["cls"], pdf["t"]):
-                for j, cov in s.scan(t):
+            cls, texts = pdf["cls"].tolist(), pdf["t"].tolist()
+            for k in range(0, len(texts), TOGETHER):
+                for j, i, cov in s.scan(texts[k : k + TOGETHER]):
                     a.append(j)
-                    b.append(i)
+                    b.append(cls[k + i])
                     c.append(cov)
             yield pd.DataFrame({"eval_class": pd.Series(a, dtype="int64"), "train_class": pd.Series(b, dtype="int64"), "coverage": pd.Series(c, dtype="float64")})
 
