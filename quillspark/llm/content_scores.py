@@ -36,6 +36,7 @@ _DIGITS = str.maketrans("0134578$@!|", "oieastbsail")
 _DIGITS_L = str.maketrans("0134578$@!|", "oleastbsall")
 _TOKEN = re.compile(r"[$@]?[^\W_](?:[\w$@*!|]*[\w$@*])?|[*][\w*]*\w", re.U)
 _APART = re.compile(r"(?<![^\W_])(?:[^\W\d_]([ .\-·_*]))(?:[^\W\d_]\1)+[^\W\d_](?![^\W_])")
+_STOP = re.compile(r"[.!?…。\n;|\"](?:\s|$|[\"'|])|\n")
 _RUN3 = re.compile(r"(.)\1\1+")
 _RUN2 = re.compile(r"(.)\1+")
 _LATIN = re.compile(r"[a-z]")
@@ -162,8 +163,8 @@ class Scorer:
                 weight = 1.0 - 0.15 * best
         return (tuple(sorted(found)), weight) if found else None
 
-    def hits(self, text: str) -> list[tuple[int, tuple[str, ...], float]]:
-        """(word position, lexicon words, weight) along the text."""
+    def hits(self, text: str) -> list[tuple[int, tuple[str, ...], float, int]]:
+        """(word position, lexicon words, weight, sentence) along the text."""
         t = unicodedata.normalize("NFKC", text)
         t = fold(t)
         joined: set[str] = set()
@@ -177,8 +178,11 @@ class Scorer:
             t = _APART.sub(join, t)
         out = []
         memo = self.memo
+        said, end = 0, 0
         for k, m in enumerate(_TOKEN.finditer(t)):
             w = m[0]
+            said += _STOP.search(t, end, m.start()) is not None
+            end = m.end()
             if w in memo:
                 r = memo[w]
             else:
@@ -187,7 +191,7 @@ class Scorer:
                     memo.clear()
                 memo[w] = r
             if r is not None:
-                out.append((k, r[0], r[1]))
+                out.append((k, r[0], r[1], said))
         return out
 
     def _follow(self, hits, at: int, seq, k: int, weight: float) -> tuple[int, float] | None:
@@ -207,20 +211,18 @@ class Scorer:
     def matches(self, text: str) -> list[tuple[str, float]]:
         hits = self.hits(text)
         out: list[tuple[str, float]] = []
-        for i, (pos, words, weight) in enumerate(hits):
+        for i, (pos, words, weight, said) in enumerate(hits):
             for w in words:
                 for k in self.starts.get(w, ()):
                     category, seq = self.rules[k]
                     r = self._follow(hits, i, seq, 1, weight)
                     if r:
-                        a, b = pos - 6, hits[r[0]][0] + 6
-                        j, mention = i, 0
-                        while j > 0 and hits[j - 1][0] >= a:
+                        # a word of mention shortly before, in the same sentence, speaks of such language
+                        j, mention = i - 1, False
+                        while j >= 0 and hits[j][0] >= pos - 5 and hits[j][3] == said:
+                            mention = mention or any(x in lex.MENTION for x in hits[j][1])
                             j -= 1
-                        while j < len(hits) and hits[j][0] <= b:
-                            mention += any(x in lex.MENTION for x in hits[j][1])
-                            j += 1
-                        out.append((category, max(0.0, r[1] - 0.6 * min(1, mention))))
+                        out.append((category, max(0.0, r[1] - 0.6 * mention)))
                 for c in self.lone.get(w, ()):
                     out.append((c, LONE * weight))
         return out

@@ -68,11 +68,19 @@ def p4_length_spikes(spark: SparkSession, sf: str) -> DataFrame:
 TOKENIZERS = "/opt/tokenizers"
 
 
-def p5_token_budget(spark: SparkSession, sf: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+def _token_counts(spark: SparkSession, sf: str, tokenizers: str) -> tuple[DataFrame, list[str]]:
     msc = table(spark, sf, "msc").select("row_id", "source", "corpus", "language", "domain", "loaded_at")
     counter = token_budget.longest_match_counter(spark, token_budget.piece_vocabulary(os.path.join(tokenizers, "piece_bpe_32k.model")))
     slices = {"corpus": token_budget.named(F.col("corpus")), "language": token_budget.clean_language(F.col("language")), "domain": token_budget.named(F.col("domain"))}
-    return token_budget.budget(token_budget.token_counts(msc, counter, "row_id", "source", "loaded_at", slices), list(slices))
+    return token_budget.token_counts(msc, counter, "row_id", "source", "loaded_at", slices), list(slices)
+
+
+def p5_record_tokens(spark: SparkSession, sf: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return token_budget.arrivals(_token_counts(spark, sf, tokenizers)[0]).withColumnRenamed("id", "row_id")
+
+
+def p5_token_budget(spark: SparkSession, sf: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return token_budget.budget(*_token_counts(spark, sf, tokenizers))
 
 
 def _sizer(spark: SparkSession, tokenizers: str):
@@ -139,6 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": p4_found,
         "p4_shortened": p4_shortened,
         "p4_length_spikes": p4_length_spikes,
+        "p5_record_tokens": p5_record_tokens,
         "p5_token_budget": p5_token_budget,
         "p6_pack": p6_pack,
         "p6_fill_report": p6_fill_report,

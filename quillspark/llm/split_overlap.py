@@ -105,6 +105,16 @@ def pair_counts(text: str) -> np.ndarray:
     return np.bincount((c[:-1] * np.uint32(31) + c[1:]) % np.uint32(PAIRS), minlength=PAIRS).astype(np.int16)
 
 
+def all_pair_counts(texts: list[str]) -> np.ndarray:
+    """``pair_counts`` of many texts at once."""
+    c = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    slot = (c[:-1] * np.uint32(31) + c[1:]) % np.uint32(PAIRS)
+    inside = owner[:-1] == owner[1:]
+    return np.bincount(owner[:-1][inside] * PAIRS + slot[inside], minlength=len(texts) * PAIRS).astype(np.int16).reshape(len(texts), PAIRS)
+
+
 class PassageShard:
     """The automaton of one shard of evaluation texts and where each of its passages stands.
 
@@ -131,14 +141,14 @@ class PassageShard:
         self.span = int(self.length[-1]) + 2 if texts else 2
         place = np.array(gram, dtype=np.int64) * self.span + np.array(pos, dtype=np.int64)
         by = np.argsort(place, kind="stable")
-        self.place, self.who = place[by], np.array(who, dtype=np.int32)[by]
+        self.place, self.who = place[by], np.array(who, dtype=np.int64)[by]
         self.size = np.array([len(g) for g in grams], dtype=np.int64)
         self.auto = ahocorasick.Automaton()
         for g, k in grams.items():
             self.auto.add_word(g, k)
         if grams:
             self.auto.make_automaton()
-        self.pairs = np.stack([pair_counts(t) for t in self.texts]) if texts else np.zeros((0, PAIRS), dtype=np.int16)
+        self.pairs = all_pair_counts(self.texts) if texts else np.zeros((0, PAIRS), dtype=np.int16)
 
     def coverage(self, i: int, text: str, edits: int) -> tuple[int, float]:
         """(passages of text ``i`` found in place, share of its letters under the merged intervals)."""
@@ -173,21 +183,22 @@ class PassageShard:
         count = np.empty_like(low)
         first[by] = f = np.searchsorted(self.place, low[by])
         count[by] = np.searchsorted(self.place, (gram * self.span + np.minimum(at + reach, self.span - 2))[by], side="right") - f
+        upto = np.cumsum(count)
+        step = first - upto + count
+        who = self.who[np.arange(upto[-1]) + np.repeat(step, count)]
+        ends = np.concatenate([[0], upto])[bounds]
         out: list[tuple[int, int, float]] = []
         for k, t in enumerate(texts):
-            f, c = first[bounds[k] : bounds[k + 1]], count[bounds[k] : bounds[k + 1]]
-            if len(f):
-                out += [(i, k, share) for i, share in self._matches(t, f, c)]
+            if ends[k] < ends[k + 1]:
+                out += [(i, k, share) for i, share in self._matches(t, who[ends[k] : ends[k + 1]])]
         return out
 
-    def _matches(self, text: str, first: np.ndarray, count: np.ndarray) -> list[tuple[int, float]]:
+    def _matches(self, text: str, who: np.ndarray) -> list[tuple[int, float]]:
         n = len(text)
         lo = int(np.searchsorted(self.length, n - n // 8))
         hi = int(np.searchsorted(self.length, n * 8 // 7 + 1, side="right"))
         if lo >= hi:
             return []
-        upto = np.cumsum(count)
-        who = self.who[np.arange(upto[-1]) + np.repeat(first - upto + count, count)]
         kept = np.bincount(who, minlength=len(self.ids))[lo:hi]
         edits = np.maximum(self.length[lo:hi], n) // 8
         near = np.nonzero(kept > self.most[lo:hi] - edits)[0]
