@@ -26,12 +26,15 @@ def ledger_path(env: dict[str, str] | None = None) -> str:
 
 
 def _tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    """The sound objects among JSON lines; broken lines and lines that hold no object are left out."""
+    row = F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    x = spark.read.text(path).where(F.col("value").rlike(r"^\s*\{")).select(row.alias("r"))
+    return x.where("r is not null and r._bad is null").select("r.*").drop("_bad")
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """All sound ledger rows, with in_chars and out_chars; broken lines are left out, a missing file is an empty table."""
-    rows = _tolerant(spark, path, LEDGER).where("_bad is null").drop("_bad") if path_exists(spark, path) else spark.createDataFrame([], LEDGER)
+    rows = _tolerant(spark, path, LEDGER) if path_exists(spark, path) else spark.createDataFrame([], LEDGER)
     return rows.withColumnsRenamed({"in": "in_chars", "out": "out_chars"})
 
 
