@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quillspark.functions import grammar as g
+from quillspark.operators.evaluate import STOP_WORDS
 from quillspark.plans.queries import NOW, PROJECT, SESSION_DAY
 
 NL = "chr(10)"
@@ -42,7 +44,7 @@ _UNI = f"regexp_replace(text, '(?:{BREAKS})\\z', '')"
 UNI_LINES = f"""
 src as (select doc_id, text, string_split_regex({_UNI}, '{BREAKS}') as l from documents where text is not null),
 ln as (select doc_id, unnest(l) as line, generate_subscripts(l, 1) as i from src)"""
-W = r"\p{L}\p{N}_"  # RE2's own word class is ASCII
+W = r"\p{L}\p{M}\p{N}\p{Pc}"  # RE2's own word class is ASCII
 
 
 def words_of(flags: str, body: str) -> str:
@@ -102,6 +104,26 @@ sw as (select threshold, case when sum(y) > 0 then sum(case when score >= thresh
   case when count(*) filter (score >= threshold) > 0 then sum(case when score >= threshold then y else 0 end) / count(*) filter (score >= threshold) else 1.0 end as "precision",
   count(*) filter (score >= threshold) / count(*) as retention from t, s group by threshold)"""
 
+_ENTITIES = {
+    "block_id": r"blk_-?\d+", "ip": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "node": f"dfs\\.[{W}]+(?:\\$[{W}]+)?", "port": r":\d{4,5}\b", "timestamp": r"\d{6}\s+\d{6}", "url": r"https?://\S+",
+    "path": f"(?:/[{W}.-]+){{2,}}", "size": r"(?i)\b\d+(?:\.\d+)?(?:KB|MB|GB|bytes?)\b",
+}
+_ERR = words_of("i", "FATAL|ERROR|CRITICAL|FAILED|Exception")
+CUT = "chr(1)"
+_CLAUSES = f"""
+src as (select doc_id, string_split(text, {NL}) as l from documents where text is not null),
+ln as (select doc_id, unnest(l) as line, generate_subscripts(l, 1) as i from src),
+ab as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::int as base from ln),
+mk as (select *, string_split(regexp_replace(regexp_replace(regexp_replace(line, '([!?;。！？；؟؛]+)', '\\1' || {CUT}, 'g'), '([,،])(\\s)', '\\1' || {CUT} || '\\2', 'g'), '(\\.)(\\s|$)', '\\1' || {CUT} || '\\2', 'g'), {CUT}) as p from ab where line <> ''),
+pc as (select doc_id, i, base, unnest(p) as raw, generate_subscripts(p, 1) as k from mk),
+po as (select *, base + coalesce(sum(length(raw)) over (partition by doc_id, i order by k rows between unbounded preceding and 1 preceding), 0)::int as pos from pc),
+cl as (select doc_id, i, k, regexp_replace(regexp_replace(raw, '^\\s+', ''), '\\s+$', '') as clause, pos + length(raw) - length(regexp_replace(raw, '^\\s+', '')) as start_off from po where regexp_replace(raw, '\\s+', '', 'g') <> '')"""
+
+
+def _status(pattern: str) -> str:
+    return pattern.replace(r"\w", f"[{W}]").replace("'", "''")
+
+
 ORACLES: dict[str, str] = {
     "ledger_summary": _summary(),
     "ledger_by_source": _BY_KEY.format("source"),
@@ -137,7 +159,10 @@ select d.doc_id, case when coalesce(n.n, 0) >= 2 then a.out else d.text end as o
     "turn_failures": f"select conv_id, count(*) filter (regexp_matches(text, '{_FAILURE}')) as n_failures, count(*) filter (length(text) >= 300 and not regexp_matches(text, '{_FAILURE}')) as n_considered from conversations where text is not null group by conv_id",
     "conversation_budget": "select conv_id, t as total_tokens, t > 1000 * 0.5 as is_open from (select conv_id, ceil((sum(length(coalesce(text, ''))) + count(*) - 1) / 4)::bigint as t from conversations group by conv_id)",
     "turn_recency": "select conv_id, turn, n as from_end, n <= 2 as is_recent from (select conv_id, turn, row_number() over (partition by conv_id order by turn desc) as n from (select distinct conv_id, turn from conversations))",
-    "eligible_turns": None,
+    "eligible_turns": f"""with o as (select * from (select *, row_number() over (partition by conv_id, turn order by received_at) as k from conversations) where k = 1),
+b as (select conv_id, ceil((sum(length(coalesce(text, ''))) + count(*) - 1) / 4) > 500 as is_open from o group by conv_id),
+r as (select *, row_number() over (partition by conv_id order by turn desc, received_at desc) as n from o)
+select conv_id, count(*) filter (n > 2 and is_open and coalesce(length(text) >= 300 and not regexp_matches(text, '{_FAILURE}'), false) and coalesce(lower(trim(role)), '') <> 'system') as n_eligible, count(*) as n_turns from r join b using (conv_id) group by conv_id""",
     "part_routes": "select case when lower(trim(role)) = 'tool' then 'value' else 'text' end as route, count(*) as n from conversations group by 1",
     "exact_duplicates": f"select sha256({_NORM.format('text')}) as fingerprint, min(doc_id) as first_id, count(*) as copies from documents where text is not null group by 1 having count(*) > 1",
     "new_payloads": "select ex_id, id from examples where source is not null and batch_no > 0 and id is not null and id not in (select id from examples where source is not null and batch_no = 0 and id is not null) union all select ex_id, id from examples where source is not null and batch_no > 0 and id is null",
@@ -162,8 +187,30 @@ list_sort(list(ms))[greatest(0, round_even(0.95 * count(*), 0)::bigint - 1) + 1]
     "latency_p95": "select list_sort(list(ms))[least(count(*) - 1, floor(0.95 * count(*))::bigint) + 1] as p from ledger where ms is not null",
     "threshold_sweep": f"with {_SWEEP} select * from sw",
     "chosen_threshold": f"with {_SWEEP} select * from sw order by case when recall >= 0.95 then 0 else 1 end, case when recall >= 0.95 then retention else -recall end, threshold limit 1",
-    "repeated_sentences": None,
-    "stage_metrics": None,
+    "repeated_sentences": f"""select ex_id, len(s) <> len(list_distinct(s)) as repeats from (select ex_id, list_transform(list_filter(string_split_regex(target, '[.!?\\n]+'), lambda x: len(regexp_extract_all(x, '[{W}@./:+%-]+')) >= 4), lambda x: {_NORM.format('x')}) as s from examples where target is not null)""",
+    "entity_preservation": f"""with {_LOGS}, {_CLOGS},
+b as (select d.doc_id, d.text, res.out from documents d join res using (doc_id)),
+e as (""" + " union all ".join(f"select doc_id, '{k}' as entity, list_distinct(regexp_extract_all(text, '{p}')) as o, list_distinct(regexp_extract_all(out, '{p}')) as c from b" for k, p in _ENTITIES.items()) + """)
+select doc_id, entity, len(o) as original, len(list_intersect(o, c)) as preserved, len(o) - len(list_intersect(o, c)) as lost, round_even(len(list_intersect(o, c)) / greatest(len(o), 1), 3) as ratio from e""",
+    "critical_facts": f"""with {_LOGS}, {_CLOGS},
+b as (select d.doc_id, string_split_regex(regexp_replace(d.text, '(?:{BREAKS})\\z', ''), '{BREAKS}') as o, string_split_regex(regexp_replace(res.out, '(?:{BREAKS})\\z', ''), '{BREAKS}') as c from documents d join res using (doc_id)),
+f as (select doc_id, list_filter(o, lambda x: regexp_matches(x, '{_ERR}')) as o, list_filter(c, lambda x: regexp_matches(x, '{_ERR}')) as c from b),
+p as (select *, list_distinct(list_transform(o, lambda x: regexp_replace(trim(x), '\\d+', 'N', 'g'))) as po, list_distinct(list_transform(c, lambda x: regexp_replace(trim(x), '\\d+', 'N', 'g'))) as pc from f)
+select doc_id, len(o) as error_lines_original, len(c) as error_lines_compressed, len(po) as patterns_total, len(list_intersect(po, pc)) as patterns_preserved, round_even(len(list_intersect(po, pc)) / greatest(len(po), 1), 3) as preservation_rate from p""",
+    "clause_split": f"with {_CLAUSES} select doc_id, row_number() over (partition by doc_id order by i, k) - 1 as pos, clause, start_off, start_off + length(clause) as end_off from cl",
+    "checkpoint_status": f"""with {_CLAUSES}, fl as (select doc_id, {", ".join(f"regexp_matches(clause, '{words_of('i', _status(p))}') as is_{k}" for k, p in g.STATUS.items())},
+  regexp_matches(clause, '{words_of("i", _status(g.NARRATION))}') as is_narration, regexp_matches(clause, '^[^.!?。！？:：\n]{{1,48}}[:：]$') as is_label,
+  (regexp_matches(clause, '^\\.{{2,}}$') or (regexp_matches(clause, '(?i)^(?:collected [0-9]+ items|.*(?:^|[^{W}])PASSED)$') and not regexp_matches(clause, '{words_of("i", _status(g.STATUS["fail"]))}'))) as is_tool_noise from cl)
+select doc_id, {", ".join(f"count(*) filter ({f}) as {f}" for f in ("is_done", "is_next", "is_decision", "is_fail", "is_constraint", "is_narration", "is_label", "is_tool_noise"))},
+  count(*) filter (not is_tool_noise and (is_done or is_next or is_decision or is_fail or is_constraint)) as keep_status from fl group by doc_id""",
+    "tfidf_similarity": f"""with w as (select ex_id, 0 as d, unnest(regexp_extract_all(lower(source), '[{W}]{{2,}}')) as w from examples where source is not null and target is not null
+  union all select ex_id, 1, unnest(regexp_extract_all(lower(target), '[{W}]{{2,}}')) from examples where source is not null and target is not null),
+t as (select ex_id, w, count(*) filter (d = 0)::double as a, count(*) filter (d = 1)::double as b from w where w not in ({", ".join(repr(x) for x in STOP_WORDS)}) group by 1, 2),
+r as (select *, row_number() over (partition by ex_id order by a + b desc, w) as k from t),
+v as (select ex_id, a * (ln(3.0 / ((a > 0)::int + (b > 0)::int + 1)) + 1) as a, b * (ln(3.0 / ((a > 0)::int + (b > 0)::int + 1)) + 1) as b from r where k <= 5000)
+select ex_id, round(case when sum(a * a) > 0 and sum(b * b) > 0 then sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) else 0 end, 6) as cosine from v group by ex_id""",
+    "ledger_one_line": f"""select case when s.requests > 0 then (select {_HUMAN} from (select s.saved_tokens as v)) || ' saved · ' || s.saved_pct || '% · ' || s.requests || ' reqs · today ' || (select {_HUMAN} from (select d.saved_tokens as v)) else 'no data' end as line
+from ({_summary()}) s, (select floor(coalesce(sum(greatest(0, {_IN} - {_OUT})), 0) * 0.25)::bigint as saved_tokens from ledger where ts >= epoch(timestamp '{SESSION_DAY}') and ts < epoch(timestamp '{SESSION_DAY}') + 86400) d""",
     "adaptive_thresholds": f"with {_SWEEP} select round(greatest(0.1, least(0.6, 0.28 + greatest(-0.1, least(0.1, stddev_pop(score) * 0.3 - 0.1)))), 6) as threshold from s",
 }
 

@@ -217,9 +217,14 @@ def _turns(spark, sf):
     return table(spark, sf, "conversations")
 
 
+def _once(spark, sf):
+    """Turns sent twice count once: the first to arrive."""
+    return neardup.first_seen(_turns(spark, sf), F.struct("conv_id", "turn"), "received_at")
+
+
 @query
 def turn_recency(spark, sf):
-    return policy.with_recency(_turns(spark, sf).dropDuplicates(["conv_id", "turn"]), "conv_id", "turn", POLICY).select("conv_id", "turn", "from_end", "is_recent")
+    return policy.with_recency(_once(spark, sf), "conv_id", "turn", POLICY).select("conv_id", "turn", "from_end", "is_recent")
 
 
 @query
@@ -234,7 +239,7 @@ def turn_failures(spark, sf):
 
 @query
 def eligible_turns(spark, sf):
-    x = policy.eligible_turns(_turns(spark, sf).dropDuplicates(["conv_id", "turn"]), "conv_id", "turn", "role", "text", 1000, POLICY)
+    x = policy.eligible_turns(_once(spark, sf), "conv_id", "turn", "role", "text", 1000, POLICY)
     return x.groupBy("conv_id").agg(F.count_if("eligible").alias("n_eligible"), F.count(F.lit(1)).alias("n_turns"))
 
 
@@ -248,7 +253,7 @@ def part_routes(spark, sf):
 @query
 def checkpoint(spark, sf):
     """Old, eligible turns become checkpoints, once per payload; each conversation's estimate before and after."""
-    x = policy.eligible_turns(_turns(spark, sf), "conv_id", "turn", "role", "text", 1000, POLICY)
+    x = policy.eligible_turns(_once(spark, sf), "conv_id", "turn", "role", "text", 1000, POLICY)
 
     def work(payloads: DataFrame) -> DataFrame:
         return compaction.checkpoint(spread_out(payloads), "payload").withColumnRenamed("text_out", "small")
