@@ -24,7 +24,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillspark.functions.folding import fold_words
 from quillspark.session import delete_path, fresh_path, materialize, path_exists
@@ -262,8 +261,8 @@ def deduplicate_batches(df: DataFrame, batch_col: str, id_col: str, text_col: st
     spark = df.sparkSession
     index = index or HistoryIndex(spark)
     numbers = [r[0] for r in df.select(batch_col).distinct().orderBy(F.col(batch_col).asc_nulls_last()).collect()]  # one value per delivery
-    out = None
+    turned = fresh_path(spark, "turned")
     for b in numbers:
-        part = index.ingest(df.where(F.col(batch_col).eqNullSafe(F.lit(b))), id_col, text_col)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "kept_id long, dup_id long")
+        # each batch's result is written at once, so no plan spans batches
+        index.ingest(df.where(F.col(batch_col).eqNullSafe(F.lit(b))), id_col, text_col).write.mode("append").parquet(turned)
+    return spark.read.schema("kept_id long, dup_id long").parquet(turned) if numbers else spark.createDataFrame([], "kept_id long, dup_id long")
