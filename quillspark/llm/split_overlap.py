@@ -23,7 +23,8 @@ from __future__ import annotations
 
 import uuid
 from array import array
-from itertools import chain
+from collections import defaultdict
+from itertools import chain, count
 
 import ahocorasick
 import numpy as np
@@ -127,17 +128,15 @@ class PassageShard:
         self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
         self.length = np.array([len(t) for t in self.texts], dtype=np.int64)
         self.most = self.length * 8 // 7 // 8  # edits allowed with the longest partner
-        grams: dict[str, int] = {}
+        grams: dict[str, int] = defaultdict(count().__next__)
         gram, pos, who = array("l"), array("l"), array("l")
         for i, t in enumerate(self.texts):
             n, r = len(t), int(self.most[i]) + 1
             size = max(1, min(GRAM, n // r))
-            for k in range(r):
-                a = k * n // r
-                g = t[a : a + size]
-                gram.append(grams.setdefault(g, len(grams)))
-                pos.append(a)
-                who.append(i)
+            at = [k * n // r for k in range(r)]
+            gram.extend([grams[t[a : a + size]] for a in at])
+            pos.extend(at)
+            who.extend([i] * r)
         self.span = int(self.length[-1]) + 2 if texts else 2
         place = np.array(gram, dtype=np.int64) * self.span + np.array(pos, dtype=np.int64)
         by = np.argsort(place, kind="stable")
@@ -180,12 +179,11 @@ class PassageShard:
         low = gram * self.span + np.maximum(at - reach, 0)
         by = np.argsort(low)  # look-ups in order stay near each other
         first = np.empty_like(low)
-        count = np.empty_like(low)
+        times = np.empty_like(low)
         first[by] = f = np.searchsorted(self.place, low[by])
-        count[by] = np.searchsorted(self.place, (gram * self.span + np.minimum(at + reach, self.span - 2))[by], side="right") - f
-        upto = np.cumsum(count)
-        step = first - upto + count
-        who = self.who[np.arange(upto[-1]) + np.repeat(step, count)]
+        times[by] = np.searchsorted(self.place, (gram * self.span + np.minimum(at + reach, self.span - 2))[by], side="right") - f
+        upto = np.cumsum(times)
+        who = self.who[np.arange(upto[-1]) + np.repeat(first - upto + times, times)]
         ends = np.concatenate([[0], upto])[bounds]
         out: list[tuple[int, int, float]] = []
         for k, t in enumerate(texts):
@@ -200,7 +198,7 @@ class PassageShard:
         if lo >= hi:
             return []
         kept = np.bincount(who, minlength=len(self.ids))[lo:hi]
-        edits = np.maximum(self.length[lo:hi], n) // 8
+        edits = np.maximum(self.length[lo:hi], n) >> 3
         near = np.nonzero(kept > self.most[lo:hi] - edits)[0]
         if not len(near):
             return []
@@ -254,14 +252,13 @@ def overlaps(df: DataFrame, id_col: str, split_col: str, text_col: str, is_train
     """
     spark = df.sparkSession
     base = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), is_train.alias("tr"), is_eval.alias("ev"), folded(F.col(text_col)).alias("t"))
-    base = materialize(base.where("id is not null and t <> '' and (tr or ev)"), "folded")
+    base = base.where("id is not null and t <> '' and (tr or ev)").withColumn("h", F.sha2("t", 256))
+    base = materialize(base, "folded")
 
     def side(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        keyed = rows.select("id", "t", F.sha2("t", 256).alias("h"))
-        first = keyed.groupBy("h").agg(F.min("id").alias("cls"))
-        members = keyed.select("id", "h").join(first, "h").select("cls", "id").distinct()
-        texts = first.join(keyed.select(F.col("id").alias("cls"), "h", "t").dropDuplicates(["cls", "h"]), ["cls", "h"]).select("cls", "t")
-        return texts, members
+        first = rows.groupBy("h").agg(F.min("id").alias("cls"), F.first("t").alias("t"))
+        members = rows.select("id", "h").join(first.select("h", "cls"), "h").select("cls", "id").distinct()
+        return first.select("cls", "t"), members
 
     ev_texts, ev_members = side(base.where("ev"))
     tr_texts, tr_members = side(base.where("tr"))
