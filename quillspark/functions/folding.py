@@ -10,6 +10,8 @@ import re
 import unicodedata
 
 _WORD = re.compile(r"[^\W_]+")
+_REST = re.compile(r"[\W_]+")
+_ASCII_REST = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
 def fold(text: str) -> str:
@@ -28,7 +30,7 @@ def fold_words(text: str | None) -> list[str]:
 def fold_letters(text: str | None) -> str:
     if not text:
         return ""
-    if not text.isascii():
-        # marks and invisible characters are no word characters and fall out with the punctuation
-        text = unicodedata.normalize("NFKD", text.casefold())
-    return "".join(_WORD.findall(text.casefold()))
+    if text.isascii():
+        return text.lower().encode().translate(None, _ASCII_REST).decode()
+    # marks and invisible characters are no word characters and fall out with the punctuation
+    return _REST.sub("", unicodedata.normalize("NFKD", text.casefold()).casefold())

@@ -76,6 +76,9 @@ contains_natural = over(pairs.contains_natural, T.BooleanType())
 prelude = over(compaction_prelude, T.StringType())
 
 
+rewrite_body = over(lambda t: payloads.rewrite_body(t, compaction_prelude), T.StringType())
+
+
 def source_chunks(most: int):
     return over(lambda t: pairs.source_chunks(t, most), STRINGS)
 
@@ -91,17 +94,45 @@ SQL = {
     in (
         "compress_rules", "token_count", "protected_spans", "risk_spans", "sentence_spans", "split_clauses", "tokenize", "compact_base64", "compact_json", "fold_blocks", "unfold_blocks", "trim_output",
         "echo_ratio", "html_text", "json_identity", "routable_json", "error_item", "compact_python", "compact_js", "compact_code", "without_comments", "normal", "fingerprint", "simhash", "word_id",
-        "sentence_labels", "token_recall", "token_subsequence", "rewrite_reasons", "contains_exact", "contains_natural", "prelude",
+        "sentence_labels", "token_recall", "token_subsequence", "rewrite_reasons", "contains_exact", "contains_natural", "prelude", "rewrite_body",
     )
 }
 
 
+class Clauses:
+    """Table function: one row per clause."""
+
+    def eval(self, text: str):
+        for k, (a, b) in enumerate(spans.clauses(text or "")):
+            yield k, text[a:b], a, b
+
+
+class SourceChunks:
+    """Table function: pieces of at most ``most`` characters."""
+
+    def eval(self, text: str, most: int):
+        yield from enumerate(pairs.source_chunks(text or "", most))
+
+
+class ArticleChunks:
+    """Table function: paragraphs packed into chunks of ``least`` to ``most`` characters."""
+
+    def eval(self, text: str, least: int, most: int):
+        yield from enumerate(pairs.article_chunks(text or "", least, most))
+
+
+TABLES = {"tc_clauses": (Clauses, "pos int, clause string, start_off int, end_off int"), "tc_source_chunks": (SourceChunks, "k int, chunk string"), "tc_article_chunks": (ArticleChunks, "k int, chunk string")}
+
+
 def register(spark: SparkSession) -> list[str]:
     """Make the functions available in SQL; returns their names."""
     names = []
     for name, f in SQL.items():
         spark.udf.register(f"tc_{name}", f)
         names.append(f"tc_{name}")
+    for name, (cls, ddl) in TABLES.items():
+        spark.udtf.register(name, F.udtf(cls, returnType=ddl))
+        names.append(name)
     return sorted(names)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,24 +39,39 @@ def banded(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return one.select("id", udfs.simhash(F.col("t")).alias("h"))
 
 
-def near_pairs(hashes: DataFrame, most: int = 3, parts: int = 4) -> DataFrame:
+def near_pairs(hashes: DataFrame, most: int = 3, parts: int = 5) -> DataFrame:
     """(id_a, id_b) whose hashes differ in at most ``most`` bits.
 
-    The 64 bits are cut into ``parts`` = ``most`` + 1 blocks; two such hashes agree in one
-    block, so an equi join on (block, bits) finds all of them. A pair is emitted by its first common
-    block only. Equal hashes meet once as a class: members link to their smallest id.
+    The 64 bits are cut into ``parts`` blocks. Two such hashes agree in all but ``most`` of them, so an
+    equi join on every choice of ``parts`` - ``most`` blocks finds all pairs; more parts make longer,
+    more selective keys (5: ten keys of 25 bits, 6: twenty of 31). A pair is emitted by the first choice
+    it agrees on. Equal hashes meet once as a class: members link to their smallest id.
     """
-    width = 64 // parts
+    edges = [64 * k // parts for k in range(parts + 1)]
+    choices = list(combinations(range(parts), parts - most))
     cls = hashes.groupBy("h").agg(F.min("id").alias("id"))
     copies = hashes.join(cls.withColumnRenamed("id", "rep"), "h").where("id <> rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
-    bits = lambda c, k: F.shiftrightunsigned(c, k * width).bitwiseAND((1 << width) - 1)
-    keys = cls.select("id", "h", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), bits(F.col("h"), k).alias("b")) for k in range(parts)])).alias("x")).select("id", "h", "x.k", "x.b")
+
+    def block(c: Column, k: int) -> Column:
+        return F.shiftrightunsigned(c, edges[k]).bitwiseAND((1 << (edges[k + 1] - edges[k])) - 1)
+
+    def key(blocks: tuple[int, ...]) -> Column:
+        out = F.lit(0).cast("long")
+        for k in blocks:
+            out = F.shiftleft(out, edges[k + 1] - edges[k]).bitwiseOR(block(F.col("h"), k))
+        return out
+
+    keys = cls.select("id", "h", F.explode(F.array(*[F.struct(F.lit(n).alias("k"), key(c).alias("b")) for n, c in enumerate(choices)])).alias("x")).select("id", "h", "x.k", "x.b")
     a, b = keys.select(*[F.col(c).alias(c + "_a") for c in keys.columns]), keys.select(*[F.col(c).alias(c + "_b") for c in keys.columns])
     p = a.join(b, (F.col("k_a") == F.col("k_b")) & (F.col("b_a") == F.col("b_b")) & (F.col("id_a") < F.col("id_b")))
+    apart = F.col("h_a").bitwiseXOR(F.col("h_b"))
     earlier = F.lit(False)
-    for k in range(parts):
-        earlier = earlier | ((F.lit(k) < F.col("k_a")) & (bits(F.col("h_a"), k) == bits(F.col("h_b"), k)))
-    p = p.where((F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b"))) <= most) & ~earlier)
+    for n, c in enumerate(choices):
+        agree = F.lit(True)
+        for k in c:
+            agree = agree & (block(apart, k) == 0)
+        earlier = earlier | ((F.lit(n) < F.col("k_a")) & agree)
+    p = p.where((F.bit_count(apart) <= most) & ~earlier)
     return p.select("id_a", "id_b").union(copies)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import lines
+from quillspark.operators.spread import salted_join
 
 
 @dataclass(frozen=True)
@@ -47,9 +48,26 @@ def with_recency(turns: DataFrame, conv: str, turn: str, p: Policy, tie: str = "
     return x.withColumn("is_recent", F.col("from_end") <= p.keep_recent)
 
 
+def mark_recent(turns: DataFrame, conv: str, turn: str, p: Policy, tie: str = "received_at", salts: int = 16) -> DataFrame:
+    """Adds ``is_recent`` without ranking whole conversations.
+
+    The last turns of each salted part of a conversation, then of those parts together, give the
+    place from which turns are recent; a conversation of any size is spread over tasks.
+    """
+    place = F.struct(F.coalesce(F.col(turn), F.lit(-1)).alias("a"), F.col(tie).alias("b"))
+    x = turns.withColumn("__place", place)
+    part = Window.partitionBy(conv, "__salt").orderBy(F.desc("__place"))
+    last = x.select(conv, "__place").withColumn("__salt", F.pmod(F.xxhash64("__place"), F.lit(salts)))
+    last = last.withColumn("__r", F.row_number().over(part)).where(F.col("__r") <= p.keep_recent)
+    both = last.withColumn("__r", F.row_number().over(Window.partitionBy(conv).orderBy(F.desc("__place")))).where(F.col("__r") <= p.keep_recent)
+    cut = both.groupBy(conv).agg(F.min("__place").alias("__cut"))
+    out = salted_join(x, cut, conv, F.col("__place"), "left", salts)
+    return out.withColumn("is_recent", F.coalesce(F.col("__place") >= F.col("__cut"), F.lit(False))).drop("__place", "__cut")
+
+
 def eligible_turns(turns: DataFrame, conv: str, turn: str, role: str, text: str, limit: int | None, p: Policy) -> DataFrame:
     """Every turn with ``eligible``: old enough, its conversation over budget, large and no failure; system turns only on request."""
-    x = with_recency(turns, conv, turn, p).join(conversation_budget(turns, conv, text, limit, p), conv)
+    x = salted_join(mark_recent(turns, conv, turn, p), conversation_budget(turns, conv, text, limit, p), conv, F.col(turn))
     is_system = F.coalesce(F.lower(F.trim(role)) == "system", F.lit(False))
     ok = ~F.col("is_recent") & F.col("is_open") & F.coalesce(should_consider(F.col(text), p), F.lit(False))
     return x.withColumn("eligible", ok & (F.lit(p.compact_system) | ~is_system))

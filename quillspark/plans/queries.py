@@ -435,6 +435,28 @@ def article_rows(spark, sf):
     return x.select("id", "chunk", F.size("units").alias("n_units"), F.aggregate("labels", F.lit(0), lambda a, v: a + v).alias("n_kept"))
 
 
+# the parameters of a small generator run
+PHRASES = [
+    ("en", ["Ship the release.", "Please review it.", "Is it safe?", "Run the tests.", "Then tag it.", "Never skip the review.", "You may merge.", "Do not force push.", "Safety goes first."], ["Run the tests.", "Check the log."], "It rained again."),
+    ("pt", ["Publique a versão.", "Revise, por favor.", "É seguro?", "Rode os testes.", "Depois marque.", "Nunca pule a revisão.", "Pode mesclar.", "Não force o envio.", "Segurança primeiro."], [], "Choveu de novo."),
+]
+
+
+@query
+def policy_rows(spark, sf):
+    phrases = spark.createDataFrame(PHRASES, "language string, keep array<string>, commands array<string>, noise string")
+    x = datasets.policy_rows(spark, phrases, 0, 40)
+    return x.select("id", "language", F.size("units").alias("n_units"), F.size("target_unit_ids").alias("n_kept"), F.length("source").alias("n_chars"))
+
+
+@query
+def chat_bodies(spark, sf):
+    """Requests made of the turns, with their text contents compacted."""
+    body = F.to_json(F.struct(F.array(F.struct(F.lower(F.trim("role")).alias("role"), F.col("text").alias("content"))).alias("messages")))
+    x = _once(spark, sf).where("text is not null").withColumn("body", body)
+    return x.select("conv_id", "turn", udfs.rewrite_body("body").alias("out"))
+
+
 # ---- evaluation
 
 @query

@@ -230,3 +230,27 @@ def test_sql_functions_and_salted_join(spark):
     assert spark.sql("select tc_token_count('a b c') as n, tc_fingerprint('A') = tc_fingerprint('a') as same").first()[:] == (3, True)
     left = spark.range(1000).select("id", F.lit("hot").alias("k"))
     assert salted_join(left, spark.createDataFrame([("hot", 1)], "k string, v int"), "k", F.col("id")).where("v = 1").count() == 1000
+
+
+def test_table_functions_and_bodies(spark):
+    udfs.register(spark)
+    assert [r["clause"] for r in spark.sql("select * from tc_clauses('a, b. c')").collect()] == ["a,", "b.", "c"]
+    assert spark.sql("select count(*) from tc_source_chunks(repeat('word ', 100), 200)").first()[0] == 3
+    from quillspark.functions import payloads
+
+    up = payloads.rewrite_body('{"messages": [{"role": "user", "content": "ab"}, {"content": [{"type": "text", "text": "c"}, {"type": "image"}]}], "k": 1}', str.upper)
+    assert json.loads(up) == {"messages": [{"role": "user", "content": "AB"}, {"content": [{"type": "text", "text": "C"}, {"type": "image"}]}], "k": 1}
+    assert payloads.rewrite_body("nope", str.upper) == "nope" and json.loads(payloads.rewrite_body('{"input": ["a", 1]}', str.upper)) == {"input": ["A", 1]}
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from quillspark.__main__ import main
+
+    led = tmp_path / "l.jsonl"
+    led.write_text('{"ts": 1.0, "in": 1000, "out": 200, "source": "cli", "session": "s"}\n')
+    assert main(["gain", "--ledger", str(led)]) == 0 and "Tokens saved:    200" in capsys.readouterr().out
+    assert main(["gain", "--ledger", str(led), "--oneline", "-s", "s"]) == 0 and capsys.readouterr().out == "200 saved · 80.0%\n"
+    assert main(["gain", "--ledger", str(led), "--json"]) == 0 and '"saved_tokens": 200' in capsys.readouterr().out
+    assert main(["gain", "--ledger", str(led), "--reset"]) == 1 and led.exists() and main(["gain", "--ledger", str(led), "--reset", "-y"]) == 0 and not led.exists()
+    (tmp_path / "t.txt").write_text(CHECKPOINT)
+    assert main(["checkpoint", str(tmp_path / "t.txt")]) == 0 and "Decision: keep the cache." in capsys.readouterr().out
