@@ -73,7 +73,7 @@ class Trie:
                     t = token[i - 1]
                     cost = 0 if t == c or (wild and t == "*") else 1
                     d = min(row[i] + 1, new[i - 1] + 1, row[i - 1] + cost)
-                    if before is not None and i > 1 and t == last and token[i - 2] == c:
+                    if most == 1 and before is not None and i > 1 and t == last and token[i - 2] == c:
                         d = min(d, before[i - 2] + 1)
                     new.append(d)
                 if min(new) <= most:
@@ -81,6 +81,40 @@ class Trie:
         return out
 
 
+class Parts:
+    """Tells tokens that can be near no word, before the automaton runs.
+
+    One edit leaves the first or the second half of a word as it is, a swap across the middle all but
+    the two letters there; two edits leave a third of it as it is, at most two places off.
+    """
+
+    def __init__(self, words: set[str]):
+        self.halves: set[tuple[int, str]] = set()
+        self.rests: set[tuple[int, str]] = set()
+        self.thirds: set[tuple[int, int, str]] = set()
+        for w in words:
+            m, h = len(w), len(w) // 2
+            self.halves |= {(m, w[:h]), (-m, w[h:])}
+            self.rests.add((m, w[: h - 1] + w[h + 1 :]))
+            cut = (0, m // 3, 2 * m // 3, m)
+            self.thirds |= {(m, k, w[cut[k] : cut[k + 1]]) for k in range(3)}
+
+    def one(self, t: str) -> bool:
+        n = len(t)
+        h = n // 2
+        if (n, t[: h - 1] + t[h + 1 :]) in self.rests:
+            return True
+        return any((m, t[: m // 2]) in self.halves or (-m, t[n - (m - m // 2) :]) in self.halves for m in (n - 1, n, n + 1))
+
+    def two(self, t: str) -> bool:
+        n = len(t)
+        for m in range(n - 2, n + 3):
+            a, b = m // 3, 2 * m // 3
+            if (m, 0, t[:a]) in self.thirds or (m, 2, t[n - (m - b) :]) in self.thirds or any((m, 1, t[k : k + b - a]) in self.thirds for k in range(a - 2, a + 3)):
+                return True
+        return False
+
+
 class Scorer:
     """The compiled lexicon and rules. ``terms``: (term, category) pairs of the reviewers' list."""
 
@@ -107,6 +141,7 @@ class Scorer:
         words = {w for _, seq in self.rules for ws, _ in seq for w in ws} | set(self.lone) | lex.MENTION
         self.words = frozenset(words)
         self.fuzzy = Trie({w for w in words if len(w) >= 6})
+        self.parts = Parts({w for w in words if len(w) >= 6})
         self.trie = Trie(words)
         self.short: dict[str, str] = {}
         for w in sorted(words, key=len):
@@ -155,7 +190,7 @@ class Scorer:
             for u in (t, t[1:], t[:-1]):
                 if u in self.words:
                     found.add(u)
-        if not found and t.isalpha() and len(t) >= 5:
+        if not found and t.isalpha() and len(t) >= 5 and (self.parts.two(t) if len(t) >= 10 else self.parts.one(t)):
             near = self.fuzzy.within(t, 2 if len(t) >= 10 else 1)
             if near:
                 best = min(d for _, d in near)

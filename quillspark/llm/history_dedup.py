@@ -32,6 +32,7 @@ SKETCH_BITS = 16
 NEED_NUM, NEED_DEN = 7, 8
 ARITY = 3
 CROWD = 48.0
+FEW = 500_000
 _MASK = (1 << 63) - 1
 
 
@@ -132,10 +133,20 @@ def _near(a: DataFrame, b: DataFrame, ordered: bool) -> DataFrame:
     return l.join(r, "cell").where(cond).select("id_a", "id_b").distinct()
 
 
-def _rerank(pairs: DataFrame, va: DataFrame, vb: DataFrame) -> DataFrame:
-    """The candidate pairs whose full vectors are near enough."""
-    x = pairs.join(va.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("vec").alias("vec_a")), "id_a")
-    x = x.join(vb.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("vec").alias("vec_b")), "id_b")
+def _rerank(pairs: DataFrame, va: DataFrame, vb: DataFrame) -> DataFrame | None:
+    """The candidate pairs whose full vectors are near enough; nothing if there are no candidates.
+
+    The candidates are written first and counted. Up to ``FEW`` of them are broadcast, so that the
+    stored vectors are read but not shuffled; more are joined by shuffle.
+    """
+    pairs = materialize(pairs, "pairs")
+    n = pairs.count()
+    if not n:
+        return None
+    small = F.broadcast if n <= FEW else (lambda x: x)
+    a = va.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("vec").alias("vec_a"))
+    b = vb.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("vec").alias("vec_b"))
+    x = a.join(small(pairs), "id_a").join(b, "id_b")
     overlap = F.size(F.array_intersect("vec_a", "vec_b"))
     return x.where(overlap * NEED_DEN >= F.greatest("n_a", "n_b") * NEED_NUM).select("id_a", "id_b")
 
@@ -220,17 +231,17 @@ class HistoryIndex:
         """(kept, dup) for the distinct vectors of a slice; the accepted ones are appended."""
         keys = materialize(probes(reps, self._sketch), "probes")
         cells, stored = self._stored("cells"), self._stored("vectors")
-        if cells is not None:
-            hits = _rerank(_near(cells, keys, False), stored, reps)
-            old = materialize(hits.groupBy(F.col("id_b").alias("dup")).agg(F.min("id_a").alias("kept")), "old")
-        else:
-            old = self.spark.createDataFrame([], "dup long, kept long")
-        fresh = keys.join(old.select(F.col("dup").alias("id")), "id", "left_anti")
-        edges = materialize(_rerank(_near(fresh, fresh, True), reps, reps), "edges")
-        fate = old.select("kept", "dup")
-        new = self._settle(edges)
+        hits = _rerank(_near(cells, keys, False), stored, reps) if cells is not None else None
+        fate, fresh = None, keys
+        if hits is not None:
+            fate = materialize(hits.groupBy(F.col("id_b").alias("dup")).agg(F.min("id_a").alias("kept")).select("kept", "dup"), "old")
+            fresh = keys.join(fate.select(F.col("dup").alias("id")), "id", "left_anti")
+        edges = _rerank(_near(fresh, fresh, True), reps, reps)
+        new = self._settle(materialize(edges, "edges")) if edges is not None else None
         if new is not None:
-            fate = fate.unionByName(new)
+            fate = new if fate is None else fate.unionByName(new)
+        if fate is None:
+            fate = self.spark.createDataFrame([], "kept long, dup long")
         gone = fate.select(F.col("dup").alias("id"))
         reps.join(gone, "id", "left_anti").select("id", "n", "vec").write.mode("append").parquet(f"{self.path}/vectors")
         keys.join(gone, "id", "left_anti").repartition("cell").sortWithinPartitions("cell").write.mode("append").parquet(f"{self.path}/cells")

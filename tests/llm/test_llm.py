@@ -347,6 +347,22 @@ def test_levenshtein_equals_brute_force():
         assert all(plain_distance(w, t) <= 4 for w in near)
 
 
+def test_parts_lose_no_near_word():
+    rng = random.Random(14)
+    words = {"".join(rng.choice("abcd") for _ in range(rng.randint(6, 13))) for _ in range(80)}
+    trie, parts = content_scores.Trie(words), content_scores.Parts(words)
+    for _ in range(400):
+        t = list(rng.choice(sorted(words)))
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(t))
+            t[k : k + rng.choice([0, 1, 2])] = rng.choice([[], ["a"], ["d", "b"], t[k : k + 2][::-1]])
+        t = "".join(t)
+        if len(t) >= 5:
+            most = 2 if len(t) >= 10 else 1
+            if trie.within(t, most):
+                assert parts.two(t) if most == 2 else parts.one(t)
+
+
 def test_score_frames(spark):
     rows = [(1, "s", HITS[0][0], 1), (1, "s", HITS[0][0], 1), (2, None, None, 1), (3, "", " ", 1), (4, "s", "line " * 60_000 + HITS[8][0], 1)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, score int")
