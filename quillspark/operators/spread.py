@@ -41,11 +41,16 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread_by: Column,
 
 
 def spread_out(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal rows out for costly per-row work: by the session's shuffle partitions, at least two per core.
+    """Deal rows out for costly per-row work, if their input is too small to be split over all cores.
 
-    Adaptive execution judges partitions by bytes and would merge small but costly ones; a
-    fixed number is left as it is.
+    Inputs of two splits per core or more, by the optimizer's estimate of their bytes, stay
+    where they are: no shuffle. Smaller ones go to the session's shuffle partitions, at least two per core;
+    adaptive execution would merge those by bytes, but leaves a fixed number as it is.
     """
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if not keys and df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() >= 2 * cores * split:
+        return df
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * cores)
     return df.repartition(n, *keys)
