@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quillspark.functions import grammar as g
 from quillspark.operators.evaluate import STOP_WORDS
-from quillspark.plans.queries import NOW, PROJECT, SESSION_DAY
+from quillspark.plans.queries import NOW, PHRASES, PROJECT, SESSION_DAY
 
 NL = "chr(10)"
 BODY = f"string_split(case when right(text, 1) = {NL} then left(text, length(text) - 1) else text end, {NL})"
@@ -215,5 +215,16 @@ from ({_summary()}) s, (select floor(coalesce(sum(greatest(0, {_IN} - {_OUT})),
 }
 
 
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]::varchar[]"
+
+
+_PHRASES = " union all ".join(f"select '{l}' as language, {_list(k)} as keep, {_list(c)} as commands, '{n}' as noise" for l, k, c, n in PHRASES)
+ORACLES["policy_rows"] = f"""with p as ({_PHRASES}), r as (select *, range as i from p, range(40)),
+k as (select *, case when len(commands) > 0 then commands[1 + i % len(commands)] else keep[4] end as command from r)
+select 'policy-' || language || '-' || i as id, language, (13 + i % 5)::int as n_units, 9 as n_kept,
+  (list_sum(list_transform(keep, lambda x: length(x))) - length(keep[4]) + length(command) + (3 + i % 5) * length(noise) + length(keep[6]) + 12 + i % 5)::int as n_chars from k"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: v for k, v in ORACLES.items() if v}
