@@ -22,7 +22,7 @@ import itertools
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.folding import fold_words
@@ -101,33 +101,53 @@ def _probe_keys(vec: np.ndarray, counts: np.ndarray, total: float) -> list[tuple
     return keys
 
 
+def _nibbles(vec: np.ndarray) -> int:
+    """Counts of elements in 16 groups, four bits each, cut off at 15: a short form whose distance never exceeds that of the vectors."""
+    c = np.minimum(np.bincount((vec >> 20) & 15, minlength=16), 15)
+    return int((c << (4 * np.arange(16))).astype(np.uint64).sum().astype(np.int64))
+
+
+def _short_distance(a: Column, b: Column) -> Column:
+    out = F.lit(0)
+    for k in range(16):
+        part = lambda x: F.shiftrightunsigned(x, 4 * k).bitwiseAND(15).cast("int")  # noqa: B023, E731
+        out = out + F.abs(part(a) - part(b))
+    return out
+
+
 def probes(vecs: DataFrame, table) -> DataFrame:
-    """(cell, n, pos, id): the cells each vector is filed under and probes, in order of rarity. ``table``: the broadcast sketch."""
+    """(cell, n, pos, id, short): the cells each vector is filed under and probes, in order of rarity. ``table``: the broadcast sketch."""
 
     def run(batches):
         counts, total = table.value
         for pdf in batches:
-            cell, ns, pos, ids = [], [], [], []
+            cell, ns, pos, ids, short = [], [], [], [], []
             for i, n, v in zip(pdf["id"], pdf["n"], pdf["vec"]):
-                for k, p in _probe_keys(np.asarray(v, dtype=np.int64), counts, total):
+                v = np.asarray(v, dtype=np.int64)
+                brief = _nibbles(v)
+                for k, p in _probe_keys(v, counts, total):
+                    short.append(brief)
                     cell.append(k)
                     pos.append(p)
                     ns.append(n)
                     ids.append(i)
-            yield pd.DataFrame({"cell": pd.Series(cell, dtype="int64"), "n": pd.Series(ns, dtype="int32"), "pos": pd.Series(pos, dtype="int32"), "id": pd.Series(ids, dtype="int64")})
+            yield pd.DataFrame({"cell": pd.Series(cell, dtype="int64"), "n": pd.Series(ns, dtype="int32"), "pos": pd.Series(pos, dtype="int32"), "id": pd.Series(ids, dtype="int64"), "short": pd.Series(short, dtype="int64")})
 
-    return vecs.select("id", "n", "vec").mapInPandas(run, "cell long, n int, pos int, id long")
+    return vecs.select("id", "n", "vec").mapInPandas(run, "cell long, n int, pos int, id long, short long")
 
 
 def _near(a: DataFrame, b: DataFrame, ordered: bool) -> DataFrame:
-    """Candidate (id_a, id_b) sharing a cell, within the ring and position bounds."""
-    l = a.select("cell", F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"))
-    r = b.select("cell", F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
+    """Candidate (id_a, id_b) sharing a cell, within the bounds of ring, position and short form."""
+    l = a.select("cell", F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("short").alias("s_a"))
+    r = b.select("cell", F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("short").alias("s_b"))
     need = F.greatest("n_a", "n_b") * NEED_NUM
     cond = (F.least("n_a", "n_b") * NEED_DEN >= need)
     # the shared elements up to the cell's last coordinate and those after it bound the overlap
     best = F.least("pos_a", "pos_b") + 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
     cond = cond & (best * NEED_DEN >= need)
+    # vectors near enough are at most this far apart, and their short forms no farther
+    reach = F.col("n_a") + F.col("n_b") - 2 * F.ceil(need / NEED_DEN)
+    cond = cond & (_short_distance(F.col("s_a"), F.col("s_b")) <= reach)
     if ordered:
         cond = cond & (F.col("id_a") < F.col("id_b"))
     return l.join(r, "cell").where(cond).select("id_a", "id_b").distinct()
