@@ -252,21 +252,22 @@ def overlaps(df: DataFrame, id_col: str, split_col: str, text_col: str, is_train
     """
     spark = df.sparkSession
     base = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), is_train.alias("tr"), is_eval.alias("ev"), folded(F.col(text_col)).alias("t"))
-    base = base.where("id is not null and t <> '' and (tr or ev)").withColumn("h", F.sha2("t", 256))
+    base = base.where("id is not null and t <> '' and (tr or ev)").withColumns({"h": F.xxhash64("t"), "g": F.xxhash64(F.lit(1), F.col("t"))})
     base = materialize(base, "folded")
 
     def side(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        first = rows.groupBy("h").agg(F.min("id").alias("cls"), F.first("t").alias("t"))
-        members = rows.select("id", "h").join(first.select("h", "cls"), "h").select("cls", "id").distinct()
+        first = rows.groupBy("h", "g").agg(F.min("id").alias("cls"), F.first("t").alias("t"))
+        members = rows.select("id", "h", "g").join(first.select("h", "g", "cls"), ["h", "g"]).select("cls", "id")
         return first.select("cls", "t"), members
 
     ev_texts, ev_members = side(base.where("ev"))
     tr_texts, tr_members = side(base.where("tr"))
-    tr_texts = materialize(tr_texts, "train")
-    # shards of bounded size, sorted by script and length so that a shard's texts are alike
+    # shards of bounded size
     lettered = materialize(ev_texts.withColumn("len", F.length("t")), "eval")
     total = lettered.agg(F.sum("len")).first()[0] or 0
     n_shards = max(1, -(-total // SHARD_LETTERS))
+    if n_shards > 1:
+        tr_texts = materialize(tr_texts, "train")
     lettered = lettered.withColumn("shard", F.pmod(F.xxhash64("cls"), F.lit(n_shards)).cast("int"))
     links = None
     for s in range(n_shards):
@@ -277,18 +278,19 @@ def overlaps(df: DataFrame, id_col: str, split_col: str, text_col: str, is_train
         links = part if links is None else links.unionByName(part)
     if links is None:
         links = spark.createDataFrame([], "eval_class long, train_class long, coverage double")
-    return materialize(links, "links"), materialize(ev_members, "members"), materialize(tr_members, "members")
+    return materialize(links, "links"), ev_members, tr_members
 
 
 def overlap_pairs(links: DataFrame, ev: DataFrame, tr: DataFrame) -> DataFrame:
     """All (row_id_a, row_id_b) pairs of rows, smaller first."""
     x = links.join(ev.select(F.col("cls").alias("eval_class"), F.col("id").alias("e")), "eval_class")
     x = x.join(tr.select(F.col("cls").alias("train_class"), F.col("id").alias("t")), "train_class")
-    return x.select(F.least("e", "t").alias("row_id_a"), F.greatest("e", "t").alias("row_id_b"))
+    return x.select(F.least("e", "t").alias("row_id_a"), F.greatest("e", "t").alias("row_id_b")).distinct()
 
 
 def overlap_report(df: DataFrame, links: DataFrame, ev: DataFrame, tr: DataFrame, id_col: str, split_col: str, source_col: str) -> DataFrame:
     """Per evaluation split and source: records, records that also appear in training, and their links."""
+    ev, tr = ev.distinct(), tr.distinct()
     per_class = tr.groupBy(F.col("cls").alias("train_class")).agg(F.count(F.lit(1)).alias("n"))
     found = links.join(per_class, "train_class").groupBy("eval_class").agg(F.sum("n").alias("n_pairs"), F.max("coverage").alias("coverage"))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(split_col).alias("split"), F.col(source_col).alias("source_name"))
