@@ -19,6 +19,7 @@ INDEX_ROW = r"^index [0-9a-fA-F]+\.\.[0-9a-fA-F]+( [0-7]+)?$"
 DIFF_META = ("diff --git ", "index ", "--- ", "+++ ", "@@ ", "new file mode ", "deleted file mode ", "similarity index ", "rename from ", "rename to ")
 NO_NEWLINE = "\\ No newline at end of file"
 LEVEL = r"(?idU)\b(FATAL|ERROR|ERR|FAILED|FAIL|CRITICAL|WARN(?:ING)?|INFO|DEBUG|TRACE)\b"
+LEVEL_WEIGHTS = {"FATAL": 1.0, "ERROR": 1.0, "ERR": 1.0, "FAILED": 1.0, "FAIL": 1.0, "CRITICAL": 1.0, "WARN": 0.7, "WARNING": 0.7, "INFO": 0.3, "DEBUG": 0.1, "TRACE": 0.1}
 TRACE = r"(?idU)^\s*(Traceback \(most recent call last\)|at .+\(.+:\d+:\d+\)|File \".+\", line \d+|.*Error:|.*Exception:|.*Failed to)"
 SUMMARY = r"(?idU)^\s*(?:\d+\s+(?:passed|failed|errors?|skipped|warnings?)|=+ .* =+$|total|summary|(?:test|build) result)"
 TRACE_HEAD = "Traceback (most recent call last)"
@@ -53,18 +54,17 @@ def is_diff(text: Column) -> Column:
     return text.rlike(r"(?m)(?:\A|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])diff --git ")
 
 
-def line_score(line: Column) -> Column:
-    """Weight of a log line; the first level named decides, then traces, then summaries."""
-    level = F.upper(F.regexp_extract(line, LEVEL, 1))
-    return (
-        F.when(level.isin("FATAL", "ERROR", "ERR", "FAILED", "FAIL", "CRITICAL"), 1.0)
-        .when(level.isin("WARN", "WARNING"), 0.7)
-        .when(level == "INFO", 0.3)
-        .when(level.isin("DEBUG", "TRACE"), 0.1)
-        .when(line.rlike(TRACE), 0.8)
-        .when(line.rlike(SUMMARY), 0.9)
-        .otherwise(0.2)
-    )
+def line_level(line: Column) -> Column:
+    """The first level a line names, upper case; empty if none."""
+    return F.upper(F.regexp_extract(line, LEVEL, 1))
+
+
+def line_score(line: Column, level: Column | None = None) -> Column:
+    """Weight of a log line; the first level named decides, then traces, then summaries. ``level``: the level, if at hand."""
+    level = line_level(line) if level is None else level
+    plain = F.when(line.rlike(TRACE), 0.8).when(line.rlike(SUMMARY), 0.9).otherwise(0.2)
+    weights = F.create_map(*[F.lit(x) for pair in LEVEL_WEIGHTS.items() for x in pair])
+    return F.coalesce(weights[level], plain)
 
 
 def is_failure(text: Column) -> Column:
@@ -201,8 +201,11 @@ def compact_logs(df: DataFrame, col: str, out: str = "out") -> DataFrame:
         full = lambda k: h(k) > 0
         return (h(0) == 2) | (full(0) & ((h(1) == 2) | (full(1) & ((h(2) == 2) | (full(2) & (h(3) == 2))))))
 
+    # the weights are a column of their own: what a lambda refers to twice would be worked out twice
+    x = x.withColumn("__q_c", F.transform("__q_l", lambda s: line_score(s)))
+
     def mark(s: Column, i: Column) -> Column:
-        score = line_score(s)
+        score = F.get("__q_c", i)
         held = (score >= 0.7) | (i < 2) | (i >= F.col("__q_n") - 2) | in_trace(i)
         tier = F.when(held & (score >= 0.8), 0).when(held, 1).when(score.between(0.2, 0.79), 2).otherwise(3)
         key = F.regexp_replace(F.regexp_replace(s, r"(?U)\d+", "N"), r"(?U)^\s+|\s+$", "")

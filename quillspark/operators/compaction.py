@@ -91,17 +91,17 @@ def clause_rows(df: DataFrame, key: str, col: str) -> DataFrame:
 
     Letters of a line are all part of a match, so offsets are sums of the lengths before.
     """
-    src = df.where(F.col(col).isNotNull()).select(key, F.split(F.col(col), "\n", -1).alias("l"))
-    src = src.withColumn("at", F.transform(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.aggregate(F.slice("l", F.lit(1), i), F.lit(0), lambda a, s: a + F.length(s) + 1)))
-    row = src.select(key, F.posexplode(F.arrays_zip("l", "at")).alias("ln", "z")).where(F.col("z.l") != "")
-    row = row.withColumn("m", F.regexp_extract_all(F.col("z.l"), F.lit(CLAUSE), F.lit(1)))
-    cut = row.select(key, "ln", F.col("z.at").alias("base"), F.posexplode("m").alias("k", "raw"), F.col("m"))
+    from pyspark.sql.window import Window
+
+    src = df.where(F.col(col).isNotNull()).select(key, F.posexplode(F.split(F.col(col), "\n", -1)).alias("ln", "line"))
+    before = Window.partitionBy(key).orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
+    row = src.withColumn("base", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("int")).where("line <> ''")
+    row = row.select(key, "ln", "base", F.regexp_extract_all("line", F.lit(CLAUSE), F.lit(1)).alias("m"))
+    cut = row.select(key, "ln", "base", F.posexplode("m").alias("k", "raw"), F.col("m"))
     start = F.col("base") + F.aggregate(F.slice("m", F.lit(1), F.col("k")), F.lit(0), lambda a, s: a + F.length(s))
     bare = F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")
     lead = F.length("raw") - F.length(F.regexp_replace("raw", r"(?U)^\s+", ""))
     out = cut.select(key, "ln", "k", bare.alias("clause"), (start + lead).alias("start_off")).where("clause <> ''")
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy(key).orderBy("ln", "k")
     return out.select(key, (F.row_number().over(w) - 1).alias("pos"), "clause", "start_off", (F.col("start_off") + F.length("clause")).alias("end_off"))
 

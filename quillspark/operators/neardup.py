@@ -95,15 +95,17 @@ def take_accepted(df: DataFrame, id_col: str, text: str, count: int, most: int =
     return df.join(good.withColumnRenamed("id", id_col), id_col, "left_semi")
 
 
-def ngrams(text: Column, n: int) -> Column:
-    words = F.filter(F.split(F.lower(text), r"(?U)[^\p{L}\p{N}]+", -1), lambda w: w != "")
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.concat_ws(" ", F.slice(words, i + 1, n)))).otherwise(F.array().cast("array<string>"))
+def ngram_rows(df: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
+    """(id, g): the n-word runs of each text as 64-bit digests. Words are a column of their own, so a text is split once."""
+    x = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.filter(F.split(F.lower(F.col(text)), r"(?U)[^\p{L}\p{N}]+", -1), lambda w: w != "").alias("w"))
+    x = x.where(F.size("w") >= n).select("id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("k"))
+    return x.select("id", F.xxhash64(F.slice("w", F.col("k"), n)).alias("g"))
 
 
 def ngram_overlap(left: DataFrame, right: DataFrame, left_id: str, left_text: str, right_text: str, n: int = 8) -> DataFrame:
     """Per left row the number of its distinct n-grams and how many the right texts hold; n-grams meet as digests."""
-    words = left.where(F.col(left_text).isNotNull()).select(F.col(left_id).alias("id"), F.explode(F.array_distinct(ngrams(F.col(left_text), n))).alias("g"))
-    held = right.where(F.col(right_text).isNotNull()).select(F.explode(ngrams(F.col(right_text), n)).alias("g")).distinct()
+    words = ngram_rows(left, left_id, left_text, n).distinct()
+    held = ngram_rows(right.withColumn("__k", F.lit(0)), "__k", right_text, n).select("g").distinct()
     hit = words.join(held.withColumn("hit", F.lit(1)), "g", "left")
     return hit.groupBy("id").agg(F.count(F.lit(1)).alias("n_grams"), F.count("hit").alias("n_shared")).withColumn("share", F.round(F.col("n_shared") / F.col("n_grams"), 4))
 
