@@ -123,7 +123,7 @@ def start_weights(vocab: int = 8000, width: int = 64, hidden: int = 128, seed: i
         w |= {f"{d}.Wx": r.uniform(-k, k, (3 * hidden, width)), f"{d}.Wh": r.uniform(-k, k, (3 * hidden, hidden)), f"{d}.b": r.uniform(-k, k, 3 * hidden), f"{d}.bhn": r.uniform(-k, k, hidden)}
     if attention:
         w |= {"norm.weight": np.ones(2 * hidden), "norm.bias": np.zeros(2 * hidden)}
-        for n, rows in (("query", hidden // 4), ("key", hidden // 4), ("value", 2 * hidden)):
+        for n, rows in (("query", max(1, hidden // 4)), ("key", max(1, hidden // 4)), ("value", 2 * hidden)):
             w |= {f"attention_{n}.weight": r.normal(0, 0.05, (rows, 2 * hidden)), f"attention_{n}.bias": np.zeros(rows)}
     return w | {"keep_head.weight": r.normal(0, 0.05, (1, 2 * hidden)), "keep_head.bias": np.zeros(1)}
 
