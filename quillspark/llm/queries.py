@@ -83,6 +83,11 @@ def p5_token_budget(spark: SparkSession, sf: str, tokenizers: str = TOKENIZERS)
     return token_budget.budget(*_token_counts(spark, sf, tokenizers))
 
 
+def p5_calibration(spark: SparkSession, sf: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    msc = table(spark, sf, "msc").select("source", "language")
+    return token_budget.calibration(msc, "source", token_budget.clean_language(F.col("language")), os.path.join(tokenizers, "piece_bpe_32k.model"))
+
+
 def _sizer(spark: SparkSession, tokenizers: str):
     from public_tokenizers import PATTERN
 
@@ -149,6 +154,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_length_spikes": p4_length_spikes,
         "p5_record_tokens": p5_record_tokens,
         "p5_token_budget": p5_token_budget,
+        "p5_calibration": p5_calibration,
         "p6_pack": p6_pack,
         "p6_fill_report": p6_fill_report,
         "p7_mix": p7_mix,
