@@ -10,8 +10,8 @@ found is compared on the full vectors, and accepted rows are appended to the cel
 
 Two texts say the same if ``overlap * 8 >= 7 * max(words)``, words counted with repeats.
 
-Defined cases: null, blank or word-less texts are accepted and never matched; a repeated id
-within one batch is kept once (its smallest text digest); ties go to the smallest
+Defined cases: null, blank or word-less texts are accepted and never matched; ids are taken to be
+unique, of a repeated id within a batch one text is compared; ties go to the smallest
 accepted (batch, id); an empty batch changes nothing; extra columns are ignored.
 """
 
