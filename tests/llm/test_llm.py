@@ -204,6 +204,15 @@ def test_shortened_and_spikes(spark):
     df = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha beta"), (3, "Alpha  beta ..."), (4, "zeta"), (5, None), (6, "alpha betas")], "id long, t string")
     got = {(r["id"]) for r in pair_defects.shortened_responses(df, "id", "t").collect()}
     assert got == {2, 3}
+    rng = random.Random(15)
+    many = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 7))) for _ in range(120)]
+    frame = spark.createDataFrame(list(enumerate(many)), "id long, t string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["id"] for r in pair_defects.shortened_responses(frame.repartition(3), "id", "t").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == {i for i, t in enumerate(many) if any(u != t and u.startswith(t) for u in many)}
     cut = spark.createDataFrame([("x" * 40,)] * 30 + [("y" * k,) for k in range(30, 50)], "t string")
     assert [r["n_chars"] for r in pair_defects.length_spikes(cut, "t").collect()] == [40]
 
