@@ -268,20 +268,20 @@ class HistoryIndex:
         return fate
 
     def _settle(self, edges: DataFrame) -> DataFrame | None:
-        """Accept in order of id: a row is turned away if an accepted earlier row is near it."""
-        out = None
+        """Accept in order of id: a row is turned away if an accepted earlier row is near it, for the smallest such row."""
+        every, struck = edges, None
         while not edges.isEmpty():
             roots = edges.select(F.col("id_a").alias("r")).distinct().join(edges.select(F.col("id_b").alias("r")).distinct(), "r", "left_anti")
-            struck = edges.join(roots, edges["id_a"] == roots["r"]).groupBy(F.col("id_b").alias("dup")).agg(F.min("id_a").alias("kept"))
-            struck = materialize(struck.select("kept", "dup"), "struck")
-            out = struck if out is None else out.unionByName(struck)
-            # pairs with a row already turned away say nothing more; the smallest accepted
-            # neighbour of a struck row is a root of this round or a row found in a later one
-            dead = struck.select(F.col("dup").alias("d"))
-            edges = edges.join(dead, edges["id_a"] == dead["d"], "left_anti")
-            edges = edges.join(dead, edges["id_b"] == dead["d"], "left_anti")
-            edges = materialize(edges, "edges")
-        return out
+            hit = materialize(edges.join(roots, edges["id_a"] == roots["r"], "left_semi").select(F.col("id_b").alias("d")).distinct(), "struck")
+            struck = hit if struck is None else struck.union(hit)
+            # pairs with a row already turned away say nothing more
+            edges = edges.join(hit, edges["id_a"] == hit["d"], "left_anti")
+            edges = materialize(edges.join(hit, edges["id_b"] == hit["d"], "left_anti"), "edges")
+        if struck is None:
+            return None
+        # a smaller neighbour may have been accepted in a later round than the one that struck the row
+        found = every.join(struck, every["id_b"] == struck["d"], "left_semi").join(struck, every["id_a"] == struck["d"], "left_anti")
+        return materialize(found.groupBy(F.col("id_b").alias("dup")).agg(F.min("id_a").alias("kept")).select("kept", "dup"), "settled")
 
     def drop(self) -> None:
         delete_path(self.spark, self.path)

@@ -66,6 +66,12 @@ def test_history_dedup_crowded_cells_and_reopened_index(spark, monkeypatch):
     assert a | b == greedy(list(enumerate(texts)))
 
 
+def test_history_dedup_names_the_smallest_accepted_row(spark):
+    index = history_dedup.HistoryIndex(spark)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 6), (5, 6)], "id_a long, id_b long")
+    assert {tuple(r) for r in index._settle(edges).collect()} == {(1, 2), (3, 6)}
+
+
 def test_history_dedup_empty(spark):
     df = spark.createDataFrame([], "ex_id long, batch_no int, source string")
     assert history_dedup.deduplicate_batches(df, "batch_no", "ex_id", "source").count() == 0
