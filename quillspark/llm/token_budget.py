@@ -4,7 +4,7 @@ For a longest-match subword vocabulary the count is exact and linear: a trie who
 a failure link and the number of tokens that are emitted when the link is taken, both worked out
 once per vocabulary. Letters outside the vocabulary cost one token per UTF-8 byte, as under
 byte fallback. For a merge-based tokenizer the same count is an estimate; ``calibration``
-reports how far it is off on a bounded sample.
+reports how far it is off over all texts.
 
 Defined cases: null and blank texts have 0 tokens and are not usable; a text that arrived
 before (the first by arrival, then by id) is counted in the totals but not as usable; null or blank
@@ -14,6 +14,8 @@ slices are ``unknown``; language tags are cleaned to their base code, ``und`` an
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,7 +128,10 @@ def piece_vocabulary(path: str) -> list[str]:
     """The ordinary pieces of a sentencepiece model file."""
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    return _pieces(sentencepiece.SentencePieceProcessor(model_file=path))
+
+
+def _pieces(sp) -> list[str]:
     return [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
 
 
@@ -186,18 +191,31 @@ def named(col: Column) -> Column:
     return F.when(F.trim(col) != "", F.trim(col)).otherwise(F.lit("unknown"))
 
 
-def calibration(df: DataFrame, text_col: str, by: Column, model_path: str, most: int = 2000) -> DataFrame:
-    """(slice, n, estimated, exact, ratio): longest-match counts against the model's own encoding.
+_MODELS: dict[str, tuple] = {}
 
-    A report on at most ``most`` texts, taken by digest; counts and totals elsewhere cover all texts.
-    """
-    import sentencepiece
 
-    spark = df.sparkSession
-    rows = df.where(F.trim(text_col) != "").select(by.alias("slice"), F.col(text_col).alias("t")).orderBy(F.xxhash64("t")).limit(most).collect()
-    sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
-    m = LongestMatch(piece_vocabulary(model_path))
-    exact = sp.encode([r["t"] for r in rows], num_threads=1) if rows else []
-    out = [(r["slice"], m.count(r["t"]), len(e)) for r, e in zip(rows, exact)]
-    x = spark.createDataFrame(out, "slice string, e long, x long")
-    return x.groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("estimated"), F.sum("x").alias("exact"), F.round(F.sum("e") / F.sum("x"), 4).alias("ratio"))
+def calibration(df: DataFrame, text_col: str, by: Column, model_path: str) -> DataFrame:
+    """(slice, n, estimated, exact, ratio): longest-match counts against the model's own encoding, over every text that is not blank.
+
+    Both counts are made in one pass on the executors; the model file, of fixed size, is broadcast.
+    """
+    with open(model_path, "rb") as f:
+        proto = f.read()
+    held = df.sparkSession.sparkContext.broadcast(proto)
+    key = hashlib.sha256(proto).hexdigest()
+
+    @F.pandas_udf("e long, x long")
+    def both(text: pd.Series) -> pd.DataFrame:
+        if key not in _MODELS:
+            import sentencepiece
+
+            sp = sentencepiece.SentencePieceProcessor(model_proto=held.value)
+            _MODELS[key] = sp, LongestMatch(_pieces(sp))
+        sp, m = _MODELS[key]
+        rows = [(m.count(t), len(sp.encode(t))) if t and t.strip() else (0, 0) for t in text]
+        return pd.DataFrame(rows, columns=["e", "x"], dtype="int64")
+
+    src = spread_out(df.select(by.alias("slice"), F.col(text_col).alias("t")).where(F.trim("t") != ""))
+    x = src.select("slice", both("t").alias("c")).select("slice", "c.*")  # a condition on the counts here would be pushed below the exchange and make them twice
+    ratio = F.round(F.try_divide(F.sum("e"), F.sum("x")), 4)
+    return x.groupBy("slice").agg(F.count_if(F.col("e") > 0).alias("n"), F.sum("e").alias("estimated"), F.sum("x").alias("exact"), ratio.alias("ratio")).where("n > 0")

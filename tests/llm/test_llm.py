@@ -260,6 +260,27 @@ def test_budget(spark):
     assert got == {"en": (2, 1, 4, 2), "unknown": (2, 0, 0, 0), "pt": (1, 1, 2, 2)}
 
 
+def test_calibration_covers_every_text(spark):
+    import os
+
+    import sentencepiece
+
+    from quillspark.llm import queries
+
+    path = os.path.join(queries.TOKENIZERS, "piece_bpe_32k.model")
+    rng = random.Random(16)
+    rows = [("one text again and again", "hot")] * 1500 + [(sentence(rng, 6), rng.choice(["a", "b"])) for _ in range(900)] + [("A lone text.", "rare"), (None, "a"), (" ", "a"), ("\n\t", "blank"), ("\u200b", "none")]
+    df = spark.createDataFrame(rows, "t string, lang string")
+    got = {r["slice"]: (r["n"], r["estimated"], r["exact"]) for r in token_budget.calibration(df, "t", F.col("lang"), path).collect()}
+    sp, m = sentencepiece.SentencePieceProcessor(model_file=path), token_budget.LongestMatch(token_budget.piece_vocabulary(path))
+    want = {}
+    for t, lang in rows:
+        if t and t.strip():
+            n, e, x = want.get(lang, (0, 0, 0))
+            want[lang] = n + 1, e + m.count(t), x + len(sp.encode(t))
+    assert got == want and sum(n for n, *_ in got.values()) == 2402
+
+
 # ---- 6
 
 def test_best_pattern_equals_brute_force():
