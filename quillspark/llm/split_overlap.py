@@ -167,7 +167,9 @@ class PassageShard:
         hits: list[tuple[int, int]] = []
         bounds = [0]
         for t in texts:
-            hits += self.auto.iter(t)
+            lo, hi = self._within(len(t))
+            if lo < hi:
+                hits += self.auto.iter(t)
             bounds.append(len(hits))
         if not hits:
             return []
@@ -176,7 +178,7 @@ class PassageShard:
         at = seen[::2] + 1 - self.size[gram]
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         reach = np.repeat(sizes * 8 // 7 // 8 + 1, np.diff(bounds))
-        low = gram * self.span + np.maximum(at - reach, 0)
+        low = gram * self.span + np.clip(at - reach, 0, self.span - 1)  # a hit beyond the longest text stays among its own passage's places
         by = np.argsort(low)  # look-ups in order stay near each other
         first = np.empty_like(low)
         times = np.empty_like(low)
@@ -191,12 +193,13 @@ class PassageShard:
                 out += [(i, k, share) for i, share in self._matches(t, who[ends[k] : ends[k + 1]])]
         return out
 
+    def _within(self, n: int) -> tuple[int, int]:
+        """The range of texts whose length a text of ``n`` letters can match."""
+        return int(np.searchsorted(self.length, n - n // 8)), int(np.searchsorted(self.length, n * 8 // 7 + 1, side="right"))
+
     def _matches(self, text: str, who: np.ndarray) -> list[tuple[int, float]]:
         n = len(text)
-        lo = int(np.searchsorted(self.length, n - n // 8))
-        hi = int(np.searchsorted(self.length, n * 8 // 7 + 1, side="right"))
-        if lo >= hi:
-            return []
+        lo, hi = self._within(n)
         kept = np.bincount(who, minlength=len(self.ids))[lo:hi]
         edits = np.maximum(self.length[lo:hi], n) >> 3
         near = np.nonzero(kept > self.most[lo:hi] - edits)[0]

@@ -122,6 +122,17 @@ def test_overlaps_equal_brute_force(spark):
     assert got == want and want
 
 
+def test_overlaps_with_long_training_text(spark):
+    rng = random.Random(17)
+    short = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (40, 90, 300)]
+    long = "".join(rng.choice("abcdefgh") for _ in range(40_000)) + "".join(short)
+    shard = split_overlap.PassageShard([1, 2, 3], short)
+    assert [m[:2] for m in shard.scan([short[0], long, short[2][1:], long[-2000:]])] == [(1, 0), (3, 2)]
+    df = spark.createDataFrame([*((k, "test", t) for k, t in enumerate(short)), (10, "train", long), (11, "train", short[1] + "x"), (12, "train", long[5:])], "row_id long, split string, source string")
+    found = split_overlap.overlaps(df, "row_id", "split", "source", F.col("split") == "train", F.col("split") == "test")
+    assert [tuple(r) for r in split_overlap.overlap_pairs(*found).collect()] == [(1, 11)]
+
+
 def test_overlaps_empty(spark):
     df = spark.createDataFrame([], "row_id long, split string, source string")
     links, ev, tr = split_overlap.overlaps(df, "row_id", "split", "source", F.col("split") == "train", F.col("split") == "test")
