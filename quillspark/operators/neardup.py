@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import udfs
+from quillspark.operators.spread import salted_join
 from quillspark.session import materialize
 
 MASK32 = (1 << 32) - 1
@@ -39,6 +40,20 @@ def banded(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return one.select("id", udfs.simhash(F.col("t")).alias("h"))
 
 
+def with_copies(df: DataFrame, id_col: str, text: str, most: int = 3) -> DataFrame:
+    """(id_a, id_b): ``near_pairs`` of the distinct normalised texts, and every further document of a text beside the text's first id.
+
+    Digests and hashes of all documents are made once; a text that fills much of the table is one row
+    per task where it is grouped and is divided over tasks where its documents meet their first.
+    """
+    x = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), udfs.normal(F.col(text)).alias("t"))
+    x = materialize(x.select("id", F.sha2("t", 256).alias("d"), udfs.simhash(F.col("t")).alias("h")), "digests")
+    one = x.groupBy("d", "h").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    first = one.where("n > 1").select("d", "first_id")
+    members = salted_join(x.select("id", "d"), first, "d", F.col("id")).where("id <> first_id").select(F.col("first_id").alias("id_a"), F.col("id").alias("id_b"))
+    return near_pairs(one.select(F.col("first_id").alias("id"), "h"), most).union(members)
+
+
 def near_pairs(hashes: DataFrame, most: int = 3, parts: int = 5) -> DataFrame:
     """(id_a, id_b) whose hashes differ in at most ``most`` bits.
 

@@ -305,7 +305,7 @@ def exact_duplicates(spark, sf):
 
 @query
 def simhash_pairs(spark, sf):
-    return neardup.near_pairs(neardup.banded(spread_out(_docs(spark, sf)), "doc_id", "text"))
+    return neardup.with_copies(spread_out(_docs(spark, sf)), "doc_id", "text")
 
 
 @query

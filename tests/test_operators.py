@@ -98,6 +98,17 @@ def test_near_duplicates(spark):
     assert neardup.exact_groups(df, "id", "t").where("copies = 2").count() == 3
 
 
+def test_every_copy_has_its_class(spark):
+    rng = random.Random(18)
+    texts = [" ".join(rng.choice("abcdefgh") * 3 + str(rng.randint(0, 99)) for _ in range(40)) for _ in range(5)]
+    rows = [(100, texts[0]), (101, texts[0].upper()), *((k, " " + texts[1]) for k in range(30)), (200, texts[2]), (201, texts[2] + " tail"), (202, texts[2] + "  TAIL"), (300, texts[3]), (400, None), (401, "")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = sorted(tuple(r) for r in neardup.with_copies(df, "id", "t").collect())
+    pairs_ = sorted(tuple(r) for r in neardup.near_pairs(neardup.banded(df, "id", "t")).collect())
+    copies = [(100, 101), *((0, k) for k in range(1, 30)), (201, 202)]
+    assert got == sorted(pairs_ + copies) and not set(pairs_) & set(copies)
+
+
 def test_splits_windows_and_checks(spark):
     keys = [f"g{k}:{j}" for k in range(40) for j in range(2)]
     df = spark.createDataFrame([(k,) for k in keys], "id string")
