@@ -29,6 +29,7 @@ from quillspark.operators.spread import spread_out
 CATEGORIES = ("abusive", "hateful", "sexual")
 THRESHOLD = 0.5
 LONE = 0.15
+MOST = 24  # letters of a token, drawn-out ones counted once
 
 # fixed values: Cyrillic and Greek letters that look like Latin ones
 _LOOKS = str.maketrans("аеорсухіјѕԁһвкмнтгпиαορνικετυχβ", "aeopcyxijsdhbkmhtrniaopvikeTuxb".lower())
@@ -167,9 +168,13 @@ class Scorer:
             t = t.translate(_LOOKS)
             if t in self.words:
                 return (t,), 1.0
-        if len(t) > 24 or not _LATIN.search(t):
+        if not _LATIN.search(t):
             return None
+        if len(t) > MOST and min(len(_RUN2.sub(r"\1", t.translate(table))) for table in ({}, _DIGITS, _DIGITS_L)) > MOST:
+            return None  # too long however far it is drawn out
         if "*" in t:
+            if len(t) > MOST:
+                t = _RUN3.sub(r"\1", t)
             if len(t.replace("*", "")) >= 2:
                 found = {w for w, d in self.trie.within(t, 0, True)}
                 if not found and len(t) >= 4:
@@ -184,7 +189,7 @@ class Scorer:
                 found = {s}
             else:
                 u = _RUN3.sub(r"\1", t)
-                if len(u) >= 6:
+                if 6 <= len(u) <= MOST:
                     found = {w for w, _ in self.fuzzy.within(u, 1)}
         elif apart:
             for u in (t, t[1:], t[:-1]):

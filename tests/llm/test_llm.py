@@ -383,6 +383,16 @@ def test_scores():
         assert all(v < content_scores.THRESHOLD for v, _ in s.score(t).values()), (t, s.score(t))
 
 
+def test_long_stretches_are_found():
+    s = content_scores.Scorer(TERMS)
+    for n in (3, 20, 30, 5000):
+        for token in ("idi" + "o" * n + "t", "1d1" + "0" * n + "t", "idi" + "o0" * n + "t", "idi" + "*" * n + "ot", "i" * n + "d" * n + "iot", "ver" + "m" * n + "in"):
+            assert s.lookup(token) is not None, token[:40]
+        assert s.score("You are such an idi" + "o" * n + "t.").get("abusive") == s.score("You are such an idiooot.").get("abusive")
+        assert s.score("GO TO HELL, YOU JACK" + "A" * n + "SS").get("abusive", (0, 0))[0] >= content_scores.THRESHOLD
+    assert s.lookup("abcdefgh" * 40) is None and s.lookup("qWxyz012" * 500) is None
+
+
 def test_levenshtein_equals_brute_force():
     rng = random.Random(13)
     words = {"".join(rng.choice("abc") for _ in range(rng.randint(3, 8))) for _ in range(60)}
