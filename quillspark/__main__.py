@@ -25,6 +25,8 @@ def parser() -> argparse.ArgumentParser:
         c = sub.add_parser(name, help=f"{name} text files")
         c.add_argument("path", help="a file or folder of text files")
         c.add_argument("--out", help="folder for the result; by default it is printed")
+        if name == "compact":
+            c.add_argument("--rows", required=True, help="Parquet table of labelled clause rows, on which the scorer is fitted")
     return p
 
 
@@ -67,8 +69,7 @@ def texts(spark, args: argparse.Namespace) -> int:
     if args.what == "checkpoint":
         out = compaction.checkpoint(df, "text")
     else:
-        w = scorer.start_weights(vocab=2000, width=16, hidden=16)
-        out = compaction.compact(df, "text", lambda t: scorer.window_scores(scorer.hashed_units(t, 2000), w), 0.5)
+        out = compaction.compact(df, "text", scorer.default_score(scorer.labelled_clauses(spark.read.parquet(args.rows), "id")))
     if args.out:
         out.select("path", "text_out", "units", "kept", "protected", "ratio").write.mode("overwrite").json(args.out)
     else:

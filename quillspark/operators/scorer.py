@@ -7,6 +7,10 @@ Without weights, ``fit_default`` trains a logistic regression on clause features
 from __future__ import annotations
 
 import hashlib
+import math
+import re
+import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -186,6 +190,35 @@ def fit_default(clauses: DataFrame, most: int = 200_000):
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), LogisticRegression(labelCol="label", regParam=0.001, maxIter=50)]).fit(sample)
 
 
+_WORD_GAP = re.compile(r"[ \t\n\x0b\f\r]+")
+_PATH = re.compile(r"\w/\w", re.A)
+_CODE = re.compile(r"`|\w_\w|[a-z][A-Z]", re.A)
+_STATUS = re.compile(rf"(?<!\w)(?:{'|'.join(g.STATUS.values())})(?!\w)", re.I)
+_NARRATION = re.compile(rf"(?<!\w)(?:{g.NARRATION})(?!\w)", re.I)
+
+
+def feature_row(clause: str, pos: int, of: int) -> list[float]:
+    """The values of ``clause_features`` for a clause that is already in Python."""
+    n = max(1, len(clause))
+    upper = sum(c.isupper() and unicodedata.category(c) == "Lu" for c in clause)
+    return [
+        math.log1p(len(clause)), math.log1p(len(_WORD_GAP.split(clause))), sum("0" <= c <= "9" for c in clause) / n, upper / n, float(_PATH.search(clause) is not None), float(_CODE.search(clause) is not None),
+        float(_STATUS.search(clause) is not None), float(_NARRATION.search(clause) is not None), float("?" in clause), pos / max(1, of),
+    ]
+
+
+def default_score(clauses: DataFrame) -> Callable[[list[str]], list[float]]:
+    """The keep probabilities of a document's clauses under ``fit_default`` on labelled clauses; a few numbers go to the workers."""
+    fitted = fit_default(clauses).stages[-1]
+    weights, bias = np.array(fitted.coefficients.toArray()), float(fitted.intercept)
+
+    def score(texts: list[str]) -> list[float]:
+        x = np.array([feature_row(t, k, len(texts)) for k, t in enumerate(texts)])
+        return sigmoid(x @ weights + bias).tolist()
+
+    return score
+
+
 def hashed_units(texts: list[str], vocab: int = 8000, most: int = 256) -> list[list[int]]:
     """Token ids without a vocabulary file: hashed words between begin and end marks."""
     return [[1, *(4 + int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big") % (vocab - 4) for t in x.split()), 2][:most] for x in texts]

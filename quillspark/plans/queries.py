@@ -268,11 +268,13 @@ def checkpoint_documents(spark, sf):
     return compaction.checkpoint(spread_out(_docs(spark, sf)), "text").select("doc_id", "text_out", "units", "kept", "protected", "ratio")
 
 
+def _clause_score(spark, sf):
+    return scorer.default_score(scorer.labelled_clauses(table(spark, sf, "clause_rows"), "id"))
+
+
 @query
 def compact_documents(spark, sf):
-    w = scorer.start_weights(vocab=2000, width=16, hidden=16)
-    score = lambda texts: scorer.window_scores(scorer.hashed_units(texts, 2000), w)
-    x = compaction.compact(spread_out(_docs(spark, sf)), "text", score, threshold=0.5)
+    x = compaction.compact(spread_out(_docs(spark, sf)), "text", _clause_score(spark, sf))
     return x.select("doc_id", "units", "kept", "protected", "ratio")
 
 

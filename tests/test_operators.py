@@ -191,6 +191,27 @@ def test_recurrent_scorer_step_by_step():
     assert right / 240 > 0.9
 
 
+def test_default_scorer_in_compaction(spark, sf, tmp_path, capsys):
+    clauses = [CHECKPOINT, "", "  two  words ", "ÀÉ ǅ straße 12 ٣", "see src/x or a_b, fooBar `x`?", "Okay, LIMITED to é/é", "fatal\u2028error", "undone nextish", "日本 é_é", "FALHOU: não concluído", "Kſ thanks"]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(clauses)], "pos int, c string")
+    want = {r["pos"]: [float(r[f]) for f in scorer.FEATURES] for r in df.withColumns(scorer.clause_features(F.col("c"), F.col("pos"), F.lit(len(clauses)))).collect()}
+    for k, c in enumerate(clauses):
+        assert np.allclose(scorer.feature_row(c, k, len(clauses)), want[k]), c
+    # labels by what a clause holds: the query's scorer learns them, untrained weights cannot
+    rows = [(f"r{k}", [{"text": f"You should ask number {k}?"}, {"text": "the sky is grey and wide"}] * 4, [1, 0] * 4) for k in range(40)]
+    labelled = spark.createDataFrame(rows, "id string, units array<struct<text:string>>, labels array<int>")
+    score = scorer.default_score(scorer.labelled_clauses(labelled, "id"))
+    assert [s >= 0.28 for s in score(["You should ask number 5?", "the sky is grey and wide"] * 3)] == [True, False] * 3
+    fitted = scorer.fit_default(scorer.labelled_clauses(labelled, "id"))
+    said = fitted.transform(scorer.labelled_clauses(labelled, "id").where("id = 'r7'").orderBy("pos")).collect()
+    assert np.allclose(score([r["clause"] for r in said]), [r["probability"][1] for r in said])
+    labelled.write.parquet(str(tmp_path / "rows"))
+    (tmp_path / "t.txt").write_text(" ".join("the sky is grey and wide." for _ in range(12)))
+    from quillspark.__main__ import main
+
+    assert main(["compact", str(tmp_path / "t.txt"), "--rows", str(tmp_path / "rows")]) == 0 and capsys.readouterr().out.count("sky") == 1
+
+
 def test_sources(spark, tmp_path):
     assert io.ledger_path({"QUILLSPARK_LEDGER": "/x"}) == "/x" and io.ledger_path({"XDG_DATA_HOME": "/d"}) == "/d/quillspark/ledger.jsonl" and io.ledger_path({"HOME": "/h"}).startswith("/h/.local/share")
     p = str(tmp_path / "l.jsonl")
