@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillspark.functions import lines, pairs
+from quillspark.functions import lines
 
 from quillspark.operators.compaction import REPORT, checkpoint_text
 from quillspark.sources.io import parse_requests
@@ -51,28 +53,58 @@ def distinct_payloads(rows: DataFrame, text: str, at: str, late: str = "1 hour")
 
 
 STATE = "hashes array<bigint>"
+CHOICES = list(combinations(range(5), 2))  # as in near_pairs: hashes within three bits agree in two of five blocks
+
+
+def _block_keys(h: np.ndarray) -> list[np.ndarray]:
+    """One key per choice of blocks for each hash."""
+    u, edges = h.view(np.uint64), [64 * k // 5 for k in range(6)]
+    masks = [np.uint64(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k]) for k in range(5)]
+    return [u & (masks[a] | masks[b]) for a, b in CHOICES]
+
+
+def _near_any(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each hash is within three bits of a known one; both sides meet under every choice of blocks."""
+    near = np.zeros(len(h), dtype=bool)
+    for mine, theirs in zip(_block_keys(h), _block_keys(known)):
+        by = np.argsort(theirs)
+        first = np.searchsorted(theirs[by], mine)
+        times = np.searchsorted(theirs[by], mine, side="right") - first
+        # candidate by candidate, so that a block shared by many costs time but no room
+        for k in range(int(times.max(initial=0))):
+            open_ = np.nonzero((times > k) & ~near)[0]
+            if not len(open_):
+                break
+            apart = (h[open_] ^ known[by[first[open_] + k]]).view(np.uint64)
+            near[open_] = np.bitwise_count(apart) <= 3
+    return near
 
 
 def _fresh(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    known = list(state.get[0]) if state.exists else []
-    out = []
-    for b in batches:
-        for i, t in zip(b["id"], b["text"]):
-            h = pairs.simhash(t)
-            if not any(((h ^ k) & ((1 << 64) - 1)).bit_count() <= 3 for k in known):
-                known.append(h)
-                out.append(i)
-    state.update((known,))
+    known = np.array(state.get[0] if state.exists else [], dtype=np.int64)
+    rows = pd.concat(list(batches)).sort_values("id", kind="stable")
+    rows = rows[~_near_any(rows["h"].to_numpy(dtype=np.int64), known)]
+    hashes = rows["h"].to_numpy(dtype=np.int64)
+    index: dict[tuple[int, int], list[int]] = {}
+    out, new = [], []
+    for i, h, *keys in zip(rows["id"].tolist(), hashes.tolist(), *(k.tolist() for k in _block_keys(hashes))):
+        if any(((h ^ g) & ((1 << 64) - 1)).bit_count() <= 3 for k in enumerate(keys) for g in index.get(k, ())):
+            continue
+        out.append(i)
+        new.append(h)
+        for k in enumerate(keys):
+            index.setdefault(k, []).append(h)
+    state.update((known.tolist() + new,))
     yield pd.DataFrame({"id": pd.Series(out, dtype="int64")})
 
 
-def fresh_examples(rows: DataFrame, bands: int = 256) -> DataFrame:
-    """Ids of rows that are no near-copies of earlier ones of their band; the hashes of a band are state.
+def fresh_examples(rows: DataFrame) -> DataFrame:
+    """Ids of rows whose SimHash is more than three bits from those of all rows accepted before, in order of micro-batch, then id.
 
-    Rows meet by the first bits of their SimHash, so the state of one key stays small; rows of
-    different bands are not compared.
+    Hashes are made on all tasks. Whether a row is accepted depends on all rows accepted before, so that is
+    settled at one key, by the blocks of ``near_pairs``; its state is eight bytes per accepted row.
     """
     from quillspark.functions.udfs import simhash
 
-    x = rows.where("text is not null").withColumn("band", F.pmod(F.shiftrightunsigned(simhash("text"), 48), F.lit(bands)))
-    return x.groupBy("band").applyInPandasWithState(_fresh, "id bigint", STATE, "append", GroupStateTimeout.NoTimeout)
+    x = rows.where("text is not null").select("id", simhash("text").alias("h"), F.lit(0).alias("all"))
+    return x.groupBy("all").applyInPandasWithState(_fresh, "id bigint", STATE, "append", GroupStateTimeout.NoTimeout)

@@ -256,6 +256,36 @@ def test_streams(spark, tmp_path, book):
     assert sorted(r["id"] for r in spark.table("f").collect()) == [0, 2]
 
 
+def test_stream_misses_no_near_copy(spark, tmp_path, monkeypatch):
+    rng = random.Random(19)
+    full = (1 << 64) - 1
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    hashes, base = [], [rng.getrandbits(64) for _ in range(12)]
+    for _ in range(150):
+        h = rng.choice(base)
+        for b in rng.sample(range(64), rng.randint(0, 5)):
+            h ^= 1 << b
+        hashes.append(h)
+        base += [h] if rng.random() < 0.2 else []
+    monkeypatch.setattr(udfs, "simhash", lambda c: F.col(c).cast("long"))
+    texts = str(tmp_path / "texts")
+    os.makedirs(texts)
+    s = spark.readStream.schema("id long, text string").option("maxFilesPerTrigger", 1).json(texts)
+    for n, part in enumerate((range(0, 70), range(70, 150))):
+        with open(f"{texts}/{n}.json", "w") as f:
+            f.writelines(json.dumps({"id": k, "text": str(signed(hashes[k]))}) + "\n" for k in part)
+        q = flows.fresh_examples(s).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).start()
+        q.processAllAvailable()
+        q.stop()
+    kept: list = []
+    for k, h in enumerate(hashes):
+        if not any(((h ^ hashes[j]) & full).bit_count() <= 3 for j in kept):
+            kept.append(k)
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == kept
+    # only bits that parted rows before
+    assert any(((h ^ g) >> 48) & 255 and (h ^ g).bit_count() <= 3 for h in hashes for g in hashes)
+
+
 def test_sql_functions_and_salted_join(spark):
     names = udfs.register(spark)
     assert "tc_compress_rules" in names
