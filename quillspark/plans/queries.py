@@ -463,9 +463,11 @@ def chat_bodies(spark, sf):
 
 @query
 def evaluation_gate(spark, sf):
-    ex = spread_out(table(spark, sf, "examples").where("source is not null and target is not null"))
-    x = evaluate.measured(ex.withColumn("language", F.lower(F.substring(F.trim("language"), 1, 2))), "source", "target", "target", "protected_spans")
-    return evaluate.gate(x, "language", min_recall=0.0, min_ratio=0.1, max_ratio=0.9)
+    """The gate over the checkpoints of the sources, against their targets."""
+    ex = table(spark, sf, "examples").where("source is not null and target is not null")
+    ex = ex.select(F.lower(F.substring(F.trim("language"), 1, 2)).alias("language"), "source", "target", "protected_spans")
+    x = compaction.checkpoint(spread_out(ex), "source")
+    return evaluate.gate(evaluate.measured(x, "source", "text_out", "target", "protected_spans"), "language")
 
 
 @query

@@ -166,6 +166,21 @@ def test_evaluation(spark):
     assert r[0]["use"] and not r[1]["use"]
 
 
+def test_gate_measures_an_operator(spark, sf):
+    from quillspark.plans import queries
+
+    got = {r["language"]: r for r in queries.evaluation_gate(spark, sf).collect()}
+    ex = spark.read.parquet(f"{sf}/examples.parquet").where("source is not null and target is not null").select("source", "target", F.lower(F.substring(F.trim("language"), 1, 2)).alias("language"))
+    recall: dict = {}
+    for r in compaction.checkpoint(ex, "source").collect():
+        recall.setdefault(r["language"], []).append(pairs.token_recall(r["target"], r["text_out"]))
+    for k, v in recall.items():
+        v = [x for x in v if x is not None]
+        assert abs(got[k]["valuable_token_recall"] - (sum(v) / len(v) if v else 1.0)) < 1e-9
+    assert min(r["valuable_token_recall"] for r in got.values()) < 1.0
+    assert all(r["passed"] == (r["protected_span_corruptions"] == 0 and r["extractive_validity"] == 1.0 and r["valuable_token_recall"] >= 0.8) for r in got.values())
+
+
 def test_recurrent_scorer_step_by_step():
     w = scorer.start_weights(vocab=30, width=4, hidden=3, attention=True)
     units = [[1, 5, 2], [1, 7, 8, 9, 2], [1, 3, 2]]
