@@ -57,6 +57,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that are needed for the length of a ``with`` block and deleted at its end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        """As ``materialize``."""
+        path = fresh_path(self.spark, label)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_) -> None:
+        while self.paths:
+            delete_path(self.spark, self.paths.pop())
+
+
 def delete_path(spark: SparkSession, path: str) -> bool:
     """Remove a file or folder through Hadoop's file system layer."""
     jvm = spark._jvm
