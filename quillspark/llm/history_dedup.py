@@ -1,12 +1,28 @@
 """Checking new batches against everything accepted before (problem 1).
 
-A text is a sparse count vector over its folded words. The accepted rows live in a persisted
-inverted file: one cell per vector coordinate (or per combination of coordinates where one
-alone would be crowded), split into rings by vector length, beside the full vectors. A query
-probes the cells of its rarest coordinates first. Once the coordinates left to probe
-cannot hold the overlap that a match needs, no unseen vector can be near enough and probing
-ends; that point is known beforehand, so the probes of all queries are one join. What is
-found is compared on the full vectors, and accepted rows are appended to the cells.
+A text is a sparse count vector over its folded words, held as the set of its (word,
+occurrence) coordinates; the distance of two texts is the Manhattan distance of their count
+vectors, ``n_a + n_b - 2 * overlap``. Accepted vectors live in a persisted inverted file of
+cells:
+
+* a tree of centres, fitted on a bounded sample (``SAMPLE`` vectors, taken by hash), routes each vector to the nearer of
+  two centres at every node; its upper levels make the groups, its leaves are divided into cells of about
+  ``cell_rows`` vectors;
+* the directory holds for each cell the ring of distances to its group's centre, the range of
+  vector lengths and the box of coordinates its vectors have, as ``1 << BOX`` bits;
+* the full vectors lie in files of ``cells_per_file`` cells.
+
+A query of length n can only match within distance R = 2 * (n // 8) + 1. It is probed by bounds
+on the distance to anything a cell can hold: a side of a node is left out if its centre is
+farther than the other by more than 2R (a match lies within R of the query and nearer to its own
+centre); a cell is left out if its ring or its range of lengths is out of reach, or if more than n // 8
+coordinates of the query lie outside its box. Centre distances are taken between folded vectors of
+``WIDTH`` slots, which are never farther apart than the vectors. What remains cannot be excluded;
+its files, and only these, are read, and full vectors decide. Accepted rows are appended as further cells. When the
+history has grown ``REFIT`` times since the centres were fitted, later cells get new centres.
+
+Directory and queries meet in blocks: a task holds at most ``BLOCK`` cells and about ``PART``
+queries, and a query is sent only to blocks with a group within its reach.
 
 Two texts say the same if ``overlap * 8 >= 7 * max(words)``, words counted with repeats.
 
@@ -17,24 +33,31 @@ accepted (batch, id); an empty batch changes nothing; extra columns are ignored.
 
 from __future__ import annotations
 
-import itertools
+import io
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.folding import fold_words
-from quillspark.session import delete_path, fresh_path, materialize, path_exists
+from quillspark.session import Scratch, delete_path, fresh_path, path_exists
 
-SKETCH_BITS = 16
 NEED_NUM, NEED_DEN = 7, 8
-ARITY = 3
-CROWD = 48.0
+WIDTH = 256
+BOX = 13
+SAMPLE = 4096
+DEPTH, GROUP_DEPTH, LEAF_SAMPLE = 9, 4, 8
+REFIT = 16
+BLOCK, PART = 16_384, 8_192
 FEW = 500_000
 _MASK = (1 << 63) - 1
 
+VECTOR = "id long, n int, sig string, near_a long, near_b long, leaf int, grp int, ring int, vec array<bigint>"
+
+DIRECTORY = "cell long, gen int, grp int, held long, n_lo int, n_hi int, ring_lo int, ring_hi int, box binary"
+
 
 def _elements(text: str | None, memo: dict[str, int]) -> list[int]:
     """Distinct hashes of (word, occurrence): their set overlap is the overlap of the counts."""
@@ -74,105 +97,284 @@ def vectors(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return src.mapInPandas(run, "id long, n int, sig string, vec array<bigint>")
 
 
-def _probe_keys(vec: np.ndarray, counts: np.ndarray, total: float) -> list[tuple[int, int]]:
-    """(cell, position of its last coordinate) for one vector.
+def _flat(vecs) -> tuple[np.ndarray, np.ndarray]:
+    """(all coordinates, the start of each vector among them); no vector is empty."""
+    sizes = np.fromiter((len(v) for v in vecs), dtype=np.int64, count=len(vecs))
+    return np.concatenate([np.asarray(v, dtype=np.int64) for v in vecs]), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+
+
+def _folded(slots: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Counts per slot of each vector."""
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(slots))))
+    return np.bincount(owner * width + slots, minlength=len(starts) * width).reshape(len(starts), width).astype(np.int32)
+
+
+def sketches(vecs) -> np.ndarray:
+    """The folded vectors: coordinates added up in ``WIDTH`` slots, so no two are farther apart than their vectors."""
+    flat, starts = _flat(vecs)
+    return _folded((flat >> 16) & (WIDTH - 1), starts, WIDTH)
+
+
+def _nibbles(flat: np.ndarray, starts: np.ndarray, shift: int) -> np.ndarray:
+    """Counts in 16 slots, four bits each, cut off at 15: a short form whose distance never exceeds that of the vectors."""
+    c = np.minimum(_folded((flat >> shift) & 15, starts, 16), 15).astype(np.uint64)
+    return (c << (np.uint64(4) * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).astype(np.int64)
+
 
-    Two matching vectors share at least ``ARITY`` of the first ``n // 8 + ARITY`` elements in
-    the order of rarity. Of such a shared set either one element is rare, or a pair is
-    rare, or the whole triple serves as the cell; every choice depends on the elements alone,
-    so both sides make the same one.
+def _distance(s: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    return np.abs(s - centre).sum(axis=1)
+
+
+class CentreTree:
+    """Centres in pairs: every node sends a vector to the nearer of its two.
+
+    ``left``/``right`` hold node numbers, or -1 - leaf. Nodes ``GROUP_DEPTH`` levels down, and
+    leaves above that, are the roots of the groups.
     """
-    n = len(vec)
-    c = counts[vec & ((1 << SKETCH_BITS) - 1)]
-    order = np.lexsort((vec, c))[: n // NEED_DEN + ARITY]
-    rare = [(int(vec[o]), float(c[o]), p) for p, o in enumerate(order)]
-    if n < 2 * ARITY:
-        return [(e, p) for e, _, p in rare]
-    keys = [(e, p) for e, k, p in rare if k <= CROWD]
-    hot = [x for x in rare if x[1] > CROWD]
-    cold_pair = {}
-    for (e1, k1, p1), (e2, k2, p2) in itertools.combinations(hot, 2):
-        if k1 * k2 / total <= CROWD:
-            cold_pair[p1, p2] = True
-            keys.append(((e1 * 1_000_003 + e2) & _MASK, p2))
-    for (e1, _, p1), (e2, _, p2), (e3, _, p3) in itertools.combinations(hot, 3):
-        if (p1, p2) not in cold_pair and (p1, p3) not in cold_pair and (p2, p3) not in cold_pair:
-            keys.append(((e1 * 1_000_003 * 1_000_003 + e2 * 1_000_003 + e3 + 7) & _MASK, p3))
-    return keys
-
-
-def _nibbles(vec: np.ndarray) -> int:
-    """Counts of elements in 16 groups, four bits each, cut off at 15: a short form whose distance never exceeds that of the vectors."""
-    c = np.minimum(np.bincount((vec >> 20) & 15, minlength=16), 15)
-    return int((c << (4 * np.arange(16))).astype(np.uint64).sum().astype(np.int64))
-
-
-def _short_distance(a: Column, b: Column) -> Column:
-    out = F.lit(0)
-    for k in range(16):
-        part = lambda x: F.shiftrightunsigned(x, 4 * k).bitwiseAND(15).cast("int")  # noqa: B023, E731
-        out = out + F.abs(part(a) - part(b))
-    return out
 
+    def __init__(self, centres: np.ndarray, child: np.ndarray, top: np.ndarray):
+        self.centres, self.child, self.top = centres, child, top
+        self._index()
+
+    def _index(self) -> None:
+        self.group: dict[int, int] = {}
+        homes = []
+        stack = [(0, 0, self.top)] if len(self.child) else [(-1, 0, self.top)]
+        while stack:
+            ref, depth, centre = stack.pop()
+            if ref < 0 or depth == GROUP_DEPTH:
+                self.group[ref] = len(homes)
+                homes.append(centre)
+            else:
+                stack += [(int(self.child[ref, k]), depth + 1, self.centres[ref, k]) for k in (0, 1)]
+        self.homes = np.array(homes, dtype=np.int32)
+
+    @classmethod
+    def fit(cls, s: np.ndarray) -> CentreTree:
+        rng = np.random.default_rng(5)
+        centres: list = []
+        child: list = []
+        leaves = 0
+        todo = [(np.arange(len(s)), 0, None, 0)]
+        while todo:
+            idx, depth, parent, side = todo.pop()
+            cut = cls._cut(s[idx], rng) if depth < DEPTH and len(idx) > LEAF_SAMPLE else None
+            if cut is None:
+                ref = -1 - leaves
+                leaves += 1
+            else:
+                ref = len(child)
+                p, q, near = cut
+                centres.append((p, q))
+                child.append([0, 0])
+                todo += [(idx[near], depth + 1, ref, 0), (idx[~near], depth + 1, ref, 1)]
+            if parent is not None:
+                child[parent][side] = ref
+        return cls(np.array(centres, dtype=np.int32).reshape(-1, 2, WIDTH), np.array(child, dtype=np.int32).reshape(-1, 2), np.median(s, axis=0).astype(np.int32))
+
+    @staticmethod
+    def _cut(x: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        p = x[_distance(x, x[rng.integers(len(x))]).argmax()]
+        q = x[_distance(x, p).argmax()]
+        for _ in range(4):
+            near = _distance(x, p) <= _distance(x, q)
+            if near.all() or not near.any():
+                return None
+            p, q = np.median(x[near], axis=0).astype(np.int32), np.median(x[~near], axis=0).astype(np.int32)
+        near = _distance(x, p) <= _distance(x, q)
+        return None if near.all() or not near.any() else (p, q, near)
+
+    def place(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(leaf, group, distance to the group's centre) of each folded vector."""
+        leaf, grp = np.zeros(len(s), dtype=np.int32), np.zeros(len(s), dtype=np.int32)
+        stack = [(0 if len(self.child) else -1, np.arange(len(s)))]
+        while stack:
+            ref, idx = stack.pop()
+            if not len(idx):
+                continue
+            if ref in self.group:
+                grp[idx] = self.group[ref]
+            if ref < 0:
+                leaf[idx] = -1 - ref
+                continue
+            near = _distance(s[idx], self.centres[ref, 0]) <= _distance(s[idx], self.centres[ref, 1])
+            stack += [(int(self.child[ref, 0]), idx[near]), (int(self.child[ref, 1]), idx[~near])]
+        return leaf, grp, np.abs(s - self.homes[grp]).sum(axis=1).astype(np.int32)
+
+    def reach(self, s: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """Which groups may hold a vector within ``r`` of each query: a boolean per (query, group)."""
+        out = np.zeros((len(s), len(self.homes)), dtype=bool)
+        stack = [(0 if len(self.child) else -1, np.arange(len(s)))]
+        while stack:
+            ref, idx = stack.pop()
+            if not len(idx):
+                continue
+            if ref in self.group:
+                out[idx, self.group[ref]] = True
+                continue
+            gap = _distance(s[idx], self.centres[ref, 0]) - _distance(s[idx], self.centres[ref, 1])
+            stack += [(int(self.child[ref, 0]), idx[gap <= 2 * r[idx]]), (int(self.child[ref, 1]), idx[-gap <= 2 * r[idx]])]
+        return out
+
+    def pack(self) -> bytes:
+        held = io.BytesIO()
+        np.savez_compressed(held, centres=self.centres, child=self.child, top=self.top)
+        return held.getvalue()
+
+    @classmethod
+    def unpack(cls, data: bytes) -> CentreTree:
+        x = np.load(io.BytesIO(data), allow_pickle=False)
+        return cls(x["centres"], x["child"], x["top"])
+
+
+def radius(n: np.ndarray) -> np.ndarray:
+    """The farthest a match of a vector of ``n`` coordinates can be, whatever its own length."""
+    return 2 * (n // NEED_DEN) + 1
+
+
+def placed(vecs: DataFrame, tree) -> DataFrame:
+    """Vectors with short forms, leaf, group and ring. ``tree``: the broadcast centres."""
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            flat, starts = _flat(pdf["vec"])
+            leaf, grp, ring = tree.value.place(_folded((flat >> 16) & (WIDTH - 1), starts, WIDTH))
+            yield pd.DataFrame({"id": pdf["id"], "n": pdf["n"], "sig": pdf["sig"], "near_a": _nibbles(flat, starts, 24), "near_b": _nibbles(flat, starts, 28), "leaf": leaf, "grp": grp, "ring": ring, "vec": pdf["vec"]})
+
+    return vecs.select("id", "n", "sig", "vec").mapInPandas(run, VECTOR)
 
-def probes(vecs: DataFrame, table) -> DataFrame:
-    """(cell, n, pos, id, short): the cells each vector is filed under and probes, in order of rarity. ``table``: the broadcast sketch."""
+
+def _boxes(cells: DataFrame, gen: int) -> DataFrame:
+    """The directory rows of vectors that have a ``cell``, sorted by it. A cell that lies across two batches gets a row for each part."""
 
     def run(batches):
-        counts, total = table.value
         for pdf in batches:
-            cell, ns, pos, ids, short = [], [], [], [], []
-            for i, n, v in zip(pdf["id"], pdf["n"], pdf["vec"]):
-                v = np.asarray(v, dtype=np.int64)
-                brief = _nibbles(v)
-                for k, p in _probe_keys(v, counts, total):
-                    short.append(brief)
-                    cell.append(k)
-                    pos.append(p)
-                    ns.append(n)
-                    ids.append(i)
-            yield pd.DataFrame({"cell": pd.Series(cell, dtype="int64"), "n": pd.Series(ns, dtype="int32"), "pos": pd.Series(pos, dtype="int32"), "id": pd.Series(ids, dtype="int64"), "short": pd.Series(short, dtype="int64")})
+            if not len(pdf):
+                continue
+            pdf = pdf.sort_values("cell", kind="stable")
+            cell, first = np.unique(pdf["cell"].to_numpy(), return_index=True)
+            flat, starts = _flat(pdf["vec"])
+            sizes = np.diff(np.append(starts, len(flat)))
+            at = np.repeat(np.repeat(np.arange(len(cell)), np.diff(np.append(first, len(pdf)))), sizes)
+            bits = np.zeros((len(cell), 1 << BOX), dtype=np.uint8)
+            bits[at, flat & ((1 << BOX) - 1)] = 1
+            by = pdf.groupby("cell", sort=True)
+            lo, hi = by[["n", "ring"]].min(), by[["n", "ring"]].max()
+            yield pd.DataFrame({
+                "cell": cell, "gen": np.int32(gen), "grp": by["grp"].first().to_numpy(), "held": by.size().to_numpy(), "n_lo": lo["n"].to_numpy(), "n_hi": hi["n"].to_numpy(),
+                "ring_lo": lo["ring"].to_numpy(), "ring_hi": hi["ring"].to_numpy(), "box": [b.tobytes() for b in np.packbits(bits, axis=1)],
+            })
+
+    return cells.select("cell", "grp", "n", "ring", "vec").mapInPandas(run, DIRECTORY)
+
+
+def _open_cells(flat: np.ndarray, starts: np.ndarray, n: np.ndarray, cells: pd.DataFrame, trees: dict[int, CentreTree]) -> tuple[np.ndarray, np.ndarray]:
+    """(query number, cell) for every cell that the bounds do not exclude. Queries: their coordinates end to end, where each starts and how many it has."""
+    r, ends = radius(n), np.append(starts, len(flat))[1:]
+    slots = flat & ((1 << BOX) - 1)
+    s = _folded((flat >> 16) & (WIDTH - 1), starts, WIDTH)
+    names, n_lo, n_hi, lo, hi = (cells[c].to_numpy(dtype=np.int64) for c in ("cell", "n_lo", "n_hi", "ring_lo", "ring_hi"))
+    bits = np.ascontiguousarray(np.unpackbits(np.frombuffer(b"".join(cells["box"]), dtype=np.uint8).reshape(len(cells), -1), axis=1).T)
+    telling = bits.sum(axis=1, dtype=np.int64) * 2 < len(cells)  # slots that most boxes have exclude little
+    away, open_to, home = [], [], np.zeros(len(cells), dtype=np.int64)
+    for gen, own in cells.groupby("gen", sort=True).indices.items():
+        home[own] = len(away) + cells["grp"].to_numpy()[own]
+        away += [_distance(s, c) for c in trees[gen].homes]
+        open_to += list(trees[gen].reach(s, r).T)
+    away, open_to = np.array(away), np.array(open_to)
+    who, what = [], []
+    step = max(1, 1_000_000 // len(cells))
+    for a in range(0, len(n), step):
+        z = slice(a, a + step)
+        d, most, least = away[home, z], n[z] * NEED_DEN, n[z] * NEED_NUM
+        fits = open_to[home, z] & (d - r[z] <= hi[:, None]) & (d + r[z] >= lo[:, None]) & ((n_lo * NEED_NUM)[:, None] <= most) & ((n_hi * NEED_DEN)[:, None] >= least)
+        fits = np.ascontiguousarray(fits.T)
+        for j in np.nonzero(fits.any(axis=1))[0].tolist():
+            k, fit, spare = a + j, fits[j], int(n[a + j]) // NEED_DEN
+            mine = slots[starts[k] : ends[k]]
+            mine = mine[telling[mine]]
+            if len(mine) > spare:
+                inside = bits[mine].sum(axis=0, dtype=np.uint8 if len(mine) < 256 else np.int32)
+                fit = fit & (inside >= len(mine) - spare)
+            hit = names[fit]
+            if len(hit):
+                what.append(hit)
+                who.append(np.full(len(hit), k))
+    if not who:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return np.concatenate(who), np.concatenate(what)
+
+
+def probes(queries: DataFrame, n_queries: int, directory: DataFrame, trees, top_cell: int) -> DataFrame:
+    """(cell, q, q_n, q_near_a, q_near_b): the cells that each query has to look into.
+
+    Queries and directory meet in blocks: of cells by number, of queries by hash. ``trees``: the broadcast centres by generation.
+    """
+    blocks, salts = max(1, -(-top_cell // BLOCK)), max(1, -(-n_queries // PART))
+    spread = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
+    d = directory.withColumn("block", F.floor(F.col("cell") / BLOCK).cast("int"))
+    if blocks > 1:
+        held = d.select(F.col("block").alias("to"), "gen", "grp").distinct()  # which groups a block has: at most groups x blocks rows
+        q = _groups_in_reach(queries, trees).withColumn("salt", spread)
+        q = q.join(held, ["gen", "grp"]).drop("gen", "grp").dropDuplicates(["id", "to"])
+    else:
+        q = queries.select("id", "n", "near_a", "near_b", "vec").withColumn("salt", spread).withColumn("to", F.lit(0))
+    d = d.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
-    return vecs.select("id", "n", "vec").mapInPandas(run, "cell long, n int, pos int, id long, short long")
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        none = np.zeros(0, dtype=np.int64)
+        i, cell = none, none
+        if len(a) and len(b):
+            flat, starts = _flat(a["vec"])
+            i, cell = _open_cells(flat, starts, a["n"].to_numpy(dtype=np.int64), b, trees.value)
+        out = a[["id", "n", "near_a", "near_b"]].iloc[i]
+        return pd.DataFrame({"cell": cell, "q": out["id"].to_numpy(), "q_n": out["n"].to_numpy(), "q_near_a": out["near_a"].to_numpy(), "q_near_b": out["near_b"].to_numpy()})
 
+    met = q.groupBy("to", "salt").cogroup(d.groupBy("block", "part"))
+    return met.applyInPandas(run, "cell long, q long, q_n int, q_near_a long, q_near_b long")
 
-def _near(a: DataFrame, b: DataFrame, ordered: bool) -> DataFrame:
-    """Candidate (id_a, id_b) sharing a cell, within the bounds of ring, position and short form."""
-    l = a.select("cell", F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("short").alias("s_a"))
-    r = b.select("cell", F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("short").alias("s_b"))
-    need = F.greatest("n_a", "n_b") * NEED_NUM
-    cond = (F.least("n_a", "n_b") * NEED_DEN >= need)
-    # the shared elements up to the cell's last coordinate and those after it bound the overlap
-    best = F.least("pos_a", "pos_b") + 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
-    cond = cond & (best * NEED_DEN >= need)
-    # vectors near enough are at most this far apart, and their short forms no farther
-    reach = F.col("n_a") + F.col("n_b") - 2 * F.ceil(need / NEED_DEN)
-    cond = cond & (_short_distance(F.col("s_a"), F.col("s_b")) <= reach)
-    if ordered:
-        cond = cond & (F.col("id_a") < F.col("id_b"))
-    return l.join(r, "cell").where(cond).select("id_a", "id_b").distinct()
+
+def _groups_in_reach(queries: DataFrame, trees) -> DataFrame:
+    """Each query once per (gen, grp) that may hold a match of it."""
+
+    @F.pandas_udf("array<struct<gen:int,grp:int>>")
+    def groups(n: pd.Series, vec: pd.Series) -> pd.Series:
+        s, r = sketches(vec), radius(n.to_numpy(dtype=np.int64))
+        out: list[list[dict]] = [[] for _ in range(len(n))]
+        for gen, tree in trees.value.items():
+            for i, g in zip(*np.nonzero(tree.reach(s, r))):
+                out[i].append({"gen": int(gen), "grp": int(g)})
+        return pd.Series(out)
+
+    return queries.select("id", "n", "near_a", "near_b", "vec", F.explode(groups("n", "vec")).alias("x")).select("id", "n", "near_a", "near_b", "vec", "x.gen", "x.grp")
 
 
-def _rerank(pairs: DataFrame, va: DataFrame, vb: DataFrame) -> DataFrame | None:
-    """The candidate pairs whose full vectors are near enough; nothing if there are no candidates.
+def _short_distance(a: str, b: str) -> str:
+    return " + ".join(f"abs(cast(shiftrightunsigned({a}, {4 * k}) & 15 as int) - cast(shiftrightunsigned({b}, {4 * k}) & 15 as int))" for k in range(16))
 
-    The candidates are written first and counted. Up to ``FEW`` of them are broadcast, so that the
-    stored vectors are read but not shuffled; more are joined by shuffle.
+
+def rerank(probed: DataFrame, n_probes: int | None, stored: DataFrame, queries: DataFrame, ordered: bool) -> DataFrame:
+    """(id_a, id_b) of stored vectors in probed cells that are near enough to the query by their full vectors.
+
+    Up to ``FEW`` probes, if counted, are broadcast, so that stored vectors are read but not shuffled; others are joined as the optimizer sees fit.
     """
-    pairs = materialize(pairs, "pairs")
-    n = pairs.count()
-    if not n:
-        return None
-    small = F.broadcast if n <= FEW else (lambda x: x)
-    a = va.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("vec").alias("vec_a"))
-    b = vb.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("vec").alias("vec_b"))
-    x = a.join(small(pairs), "id_a").join(b, "id_b")
-    overlap = F.size(F.array_intersect("vec_a", "vec_b"))
-    return x.where(overlap * NEED_DEN >= F.greatest("n_a", "n_b") * NEED_NUM).select("id_a", "id_b")
+    p = F.broadcast(probed) if n_probes is not None and n_probes <= FEW else probed
+    need = f"greatest(n, q_n) * {NEED_NUM}"
+    # vectors near enough are at most this far apart, and their short forms no farther
+    reach = f"n + q_n - 2 * ceil({need} / {NEED_DEN})"
+    cond = f"least(n, q_n) * {NEED_DEN} >= {need} and {_short_distance('near_a', 'q_near_a')} <= {reach} and {_short_distance('near_b', 'q_near_b')} <= {reach}"
+    if ordered:
+        cond = f"id < q and {cond}"
+    x = stored.select("cell", "id", "n", "near_a", "near_b", "vec").join(p, "cell").where(cond).select("id", "n", "vec", "q", "q_n")
+    x = x.join(queries.select(F.col("id").alias("q"), F.col("vec").alias("q_vec")), "q")
+    overlap = F.size(F.array_intersect("vec", "q_vec"))
+    return x.where(overlap * NEED_DEN >= F.greatest("n", "q_n") * NEED_NUM).select(F.col("id").alias("id_a"), F.col("q").alias("id_b")).distinct()
 
 
 class HistoryIndex:
-    """The persisted cells and vectors of all accepted rows.
+    """The persisted cells, directory and centres of all accepted rows.
 
     ``ingest`` takes a batch whose ids are larger than all ids taken before and returns
     (kept_id, dup_id) for the rows to turn away. Batches above ``first`` rows are taken in
@@ -180,58 +382,75 @@ class HistoryIndex:
     history before most of its rows arrive and is never compared pairwise.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, first: int = 4096, growth: int = 8):
+    def __init__(self, spark: SparkSession, path: str | None = None, first: int = 4096, growth: int = 8, cell_rows: int = 16, cells_per_file: int = 1024):
         self.spark = spark
         self.path = path or fresh_path(spark, "history")
         self.first, self.growth = first, growth
-        self._sketch = None
-        if path and path_exists(spark, f"{path}/sketch"):
-            self._load_sketch()
-
-    def _load_sketch(self) -> None:
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.float64)
-        rows = self.spark.read.parquet(f"{self.path}/sketch").toPandas()  # at most 2**SKETCH_BITS + 1 rows
-        body = rows[rows["slot"] >= 0]
-        counts[body["slot"].to_numpy()] = body["c"].to_numpy()
-        self._sketch = self.spark.sparkContext.broadcast((counts, max(1.0, float(rows.loc[rows["slot"] < 0, "c"].sum()))))
+        self.cell_rows, self.cells_per_file = cell_rows, cells_per_file
+        self.trees: dict[int, CentreTree] = {}
+        self.rows = self.rows_at_fit = self.next_cell = 0
+        self.files_read: list[str] = []  # files of vectors read for the last batch
+        if path and path_exists(spark, f"{path}/centres"):
+            for gen, rows, data in spark.read.parquet(f"{path}/centres").collect():  # one row per generation
+                self.trees[gen] = CentreTree.unpack(bytes(data))
+                self.rows_at_fit = max(self.rows_at_fit, rows)
+            if path_exists(spark, f"{path}/cells"):
+                held, top = spark.read.parquet(f"{path}/cells").agg(F.sum("held"), F.max("cell")).first()
+                self.rows, self.next_cell = int(held or 0), self._file_start(int(top) + 1) if top is not None else 0
+        self._held = None
+
+    def _file_start(self, cell: int) -> int:
+        return -(-cell // self.cells_per_file) * self.cells_per_file
+
+    def _shared(self):
+        if self._held is None:
+            self._held = self.spark.sparkContext.broadcast(self.trees)  # a few trees of at most 2**DEPTH nodes
+        return self._held
 
     def fit(self, vecs: DataFrame) -> None:
-        """Fix the order of coordinates by counts over all vectors of the first batch, folded into 2**SKETCH_BITS slots."""
-        slots = vecs.select(F.explode("vec").alias("e")).groupBy(F.col("e").bitwiseAND((1 << SKETCH_BITS) - 1).cast("int").alias("slot")).agg(F.count(F.lit(1)).cast("double").alias("c"))
-        total = vecs.agg(F.count(F.lit(1)).cast("double").alias("c")).select(F.lit(-1).alias("slot"), "c")
-        slots.unionByName(total).coalesce(1).write.parquet(f"{self.path}/sketch")
-        self._load_sketch()
-
-    def _stored(self, name: str) -> DataFrame | None:
-        p = f"{self.path}/{name}"
-        return self.spark.read.parquet(p) if path_exists(self.spark, p) else None
+        """Further centres, from at most ``SAMPLE`` distinct vectors, taken in order of a hash."""
+        rows = vecs.select("sig", "vec").orderBy(F.xxhash64("sig"), "sig").limit(SAMPLE).dropDuplicates(["sig"]).select("vec").toPandas()
+        gen = len(self.trees)
+        self.trees[gen] = CentreTree.fit(sketches(rows["vec"]))
+        self.rows_at_fit = max(self.rows, len(rows))
+        self.spark.createDataFrame([(gen, self.rows_at_fit, bytearray(self.trees[gen].pack()))], "gen int, rows long, data binary").coalesce(1).write.mode("append").parquet(f"{self.path}/centres")
+        self._held = None
 
     def ingest(self, batch: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        vecs = materialize(vectors(batch, id_col, text_col), "vectors")
-        if self._sketch is None:
-            if vecs.isEmpty():
-                return self.spark.createDataFrame([], "kept_id long, dup_id long")
-            self.fit(vecs)
-        # one vector per text; later copies follow its fate
-        reps = vecs.groupBy("sig").agg(F.min("id").alias("id"))
-        reps = materialize(vecs.join(reps, ["sig", "id"], "left_semi").dropDuplicates(["id"]), "reps")
-        total = reps.count()
-        fate = None
-        for part in self._slices(reps, total):
-            f = self._ingest_slice(part)
-            fate = f if fate is None else fate.unionByName(f)
-        if fate is None:
-            return self.spark.createDataFrame([], "kept_id long, dup_id long")
-        members = vecs.select("id", "sig").distinct()
-        rep_of = members.join(reps.select("sig", F.col("id").alias("rep")), "sig")
-        out = rep_of.join(fate, rep_of["rep"] == fate["dup"], "left")
-        kept = F.coalesce("kept", "rep")
-        return out.where(kept != F.col("id")).select(kept.alias("kept_id"), F.col("id").alias("dup_id"))
+        """(kept_id, dup_id); what is written beside the index itself is removed with the next batch or ``close``."""
+        self.files_read = []
+        with Scratch(self.spark) as scratch:
+            vecs = scratch.keep(vectors(batch, id_col, text_col), "vectors")
+            nothing = self.spark.createDataFrame([], "kept_id long, dup_id long")
+            # one vector per text; later copies follow its fate
+            if not self.trees or self.rows >= REFIT * self.rows_at_fit:
+                if vecs.isEmpty():
+                    return nothing
+                self.fit(vecs)
+            firsts = vecs.groupBy("sig").agg(F.min("id").alias("id"))
+            firsts = vecs.join(firsts, ["sig", "id"], "left_semi").dropDuplicates(["id"])
+            reps = scratch.keep(placed(firsts, self._generation()), "placed")
+            total = reps.count()
+            if not total:
+                return nothing
+            fate = None
+            for part, size in self._slices(reps, total):
+                f = self._ingest_slice(part, size, scratch)
+                fate = f if fate is None else fate.unionByName(f)
+            rep_of = vecs.select("id", "sig").distinct().join(reps.select("sig", F.col("id").alias("rep")), "sig")
+            out = rep_of.join(fate, rep_of["rep"] == fate["dup"], "left")
+            kept = F.coalesce("kept", "rep")
+            out = out.where(kept != F.col("id")).select(kept.alias("kept_id"), F.col("id").alias("dup_id"))
+            done = fresh_path(self.spark, "fates")
+            out.write.parquet(done)
+            return self.spark.read.schema("kept_id long, dup_id long").parquet(done)
+
+    def _generation(self):
+        return self.spark.sparkContext.broadcast(self.trees[len(self.trees) - 1])
 
     def _slices(self, reps: DataFrame, total: int):
         if total <= self.first * self.growth:
-            if total:
-                yield reps
+            yield reps, total
             return
         shares, at = [], self.first
         while at * self.growth < total * 2:
@@ -239,61 +458,99 @@ class HistoryIndex:
             at *= self.growth
         cuts = reps.approxQuantile("id", shares, 0.0005)
         edges = [None, *cuts, None]
-        for lo, hi in zip(edges, edges[1:]):
+        for lo, hi, share in zip(edges, edges[1:], [*shares, 1.0]):
             part = reps
             if lo is not None:
                 part = part.where(F.col("id") > lo)
             if hi is not None:
                 part = part.where(F.col("id") <= hi)
-            yield part
-
-    def _ingest_slice(self, reps: DataFrame) -> DataFrame:
+            yield part, max(1, int(share * total))
+
+    def _in_cells(self, rest: DataFrame) -> DataFrame:
+        """``rest`` with its new cells: leaves of the tree, small neighbours in a group together, large ones divided by hash."""
+        counts = rest.groupBy("grp", "leaf").agg(F.count(F.lit(1)).alias("c")).orderBy("grp", "leaf").collect()  # one row per leaf, at most 2**DEPTH
+        at, rows, fill, last = self.next_cell - 1, [], 0, None
+        for grp, leaf, c in counts:
+            if c <= self.cell_rows:
+                if grp != last or fill + c > self.cell_rows:
+                    at, fill = at + 1, 0
+                rows.append((leaf, at, 1))
+                fill += c
+            else:
+                parts = -(-c // self.cell_rows)
+                rows.append((leaf, at + 1, parts))
+                at, fill = at + parts, self.cell_rows
+            last = grp
+        self.next_cell = self._file_start(at + 1)
+        self.rows += sum(r[2] for r in counts)
+        table = self.spark.createDataFrame(rows, "leaf int, first long, parts long")
+        return rest.join(F.broadcast(table), "leaf").withColumn("cell", F.col("first") + F.pmod(F.xxhash64("id"), "parts")).drop("first", "parts")
+
+    def _ingest_slice(self, reps: DataFrame, size: int, scratch: Scratch) -> DataFrame:
         """(kept, dup) for the distinct vectors of a slice; the accepted ones are appended."""
-        keys = materialize(probes(reps, self._sketch), "probes")
-        cells, stored = self._stored("cells"), self._stored("vectors")
-        hits = _rerank(_near(cells, keys, False), stored, reps) if cells is not None else None
-        fate, fresh = None, keys
-        if hits is not None:
-            fate = materialize(hits.groupBy(F.col("id_b").alias("dup")).agg(F.min("id_a").alias("kept")).select("kept", "dup"), "old")
-            fresh = keys.join(fate.select(F.col("dup").alias("id")), "id", "left_anti")
-        edges = _rerank(_near(fresh, fresh, True), reps, reps)
-        new = self._settle(materialize(edges, "edges")) if edges is not None else None
+        spark = self.spark
+        cells = f"{self.path}/cells"
+        none = spark.createDataFrame([], "kept long, dup long")
+        fate, rest = None, reps
+        if self.rows:
+            probed = scratch.keep(probes(reps, size, spark.read.schema(f"{DIRECTORY}, `from` long").parquet(cells), self._shared(), self.next_cell), "probes")
+            per_file = probed.groupBy(F.floor(F.col("cell") / self.cells_per_file).alias("f")).count().collect()  # one row per file of the index
+            if per_file:
+                files = [f"{self.path}/vectors/file={r[0]}" for r in per_file]
+                self.files_read += files
+                stored = spark.read.schema(f"{VECTOR}, cell long").parquet(*files)
+                hits = rerank(probed, sum(r[1] for r in per_file), stored, reps, False)
+                fate = scratch.keep(hits.groupBy(F.col("id_b").alias("dup")).agg(F.min("id_a").alias("kept")).select("kept", "dup"), "old")
+                rest = reps.join(fate.select(F.col("dup").alias("id")), "id", "left_anti")
+        base = self.next_cell
+        fresh = scratch.keep(self._in_cells(rest).repartition("cell").sortWithinPartitions("cell"), "fresh")
+        slice_cells = f"{cells}/from={base}"
+        _boxes(fresh, len(self.trees) - 1).write.mode("overwrite").parquet(slice_cells)
+        # the slice against itself, cells numbered from 0
+        shifted = spark.read.schema(DIRECTORY).parquet(slice_cells).withColumn("cell", F.col("cell") - base)
+        own = probes(fresh, size, shifted, self._shared(), self.next_cell - base).withColumn("cell", F.col("cell") + base)
+        new = self._settle(scratch.keep(rerank(own, None, fresh, fresh, True), "edges"), scratch)
         if new is not None:
             fate = new if fate is None else fate.unionByName(new)
-        if fate is None:
-            fate = self.spark.createDataFrame([], "kept long, dup long")
-        gone = fate.select(F.col("dup").alias("id"))
-        reps.join(gone, "id", "left_anti").select("id", "n", "vec").write.mode("append").parquet(f"{self.path}/vectors")
-        keys.join(gone, "id", "left_anti").repartition("cell").sortWithinPartitions("cell").write.mode("append").parquet(f"{self.path}/cells")
-        return fate
-
-    def _settle(self, edges: DataFrame) -> DataFrame | None:
+            fresh = fresh.join(new.select(F.col("dup").alias("id")), "id", "left_anti")
+        # boxes may still hold coordinates of rows turned away just now: looser, never wrong
+        fresh = fresh.withColumn("file", F.floor(F.col("cell") / self.cells_per_file))
+        fresh.repartition("file").sortWithinPartitions("file", "cell").write.mode("append").partitionBy("file").parquet(f"{self.path}/vectors")
+        return none if fate is None else fate
+
+    def _settle(self, edges: DataFrame, scratch: Scratch) -> DataFrame | None:
         """Accept in order of id: a row is turned away if an accepted earlier row is near it, for the smallest such row."""
-        every, struck = edges, None
-        while not edges.isEmpty():
-            roots = edges.select(F.col("id_a").alias("r")).distinct().join(edges.select(F.col("id_b").alias("r")).distinct(), "r", "left_anti")
-            hit = materialize(edges.join(roots, edges["id_a"] == roots["r"], "left_semi").select(F.col("id_b").alias("d")).distinct(), "struck")
+        struck = None
+        while True:
+            open_edges = edges
+            if struck is not None:  # pairs with a row already turned away say nothing more
+                open_edges = edges.join(struck, edges["id_a"] == struck["d"], "left_anti").join(struck, edges["id_b"] == struck["d"], "left_anti")
+            roots = open_edges.select(F.col("id_a").alias("r")).distinct().join(open_edges.select(F.col("id_b").alias("r")).distinct(), "r", "left_anti")
+            hit = scratch.keep(open_edges.join(roots, open_edges["id_a"] == roots["r"], "left_semi").select(F.col("id_b").alias("d")).distinct(), "struck")
+            if hit.isEmpty():
+                break
             struck = hit if struck is None else struck.union(hit)
-            # pairs with a row already turned away say nothing more
-            edges = edges.join(hit, edges["id_a"] == hit["d"], "left_anti")
-            edges = materialize(edges.join(hit, edges["id_b"] == hit["d"], "left_anti"), "edges")
         if struck is None:
             return None
         # a smaller neighbour may have been accepted in a later round than the one that struck the row
-        found = every.join(struck, every["id_b"] == struck["d"], "left_semi").join(struck, every["id_a"] == struck["d"], "left_anti")
-        return materialize(found.groupBy(F.col("id_b").alias("dup")).agg(F.min("id_a").alias("kept")).select("kept", "dup"), "settled")
+        found = edges.join(struck, edges["id_b"] == struck["d"], "left_semi").join(struck, edges["id_a"] == struck["d"], "left_anti")
+        return scratch.keep(found.groupBy(F.col("id_b").alias("dup")).agg(F.min("id_a").alias("kept")).select("kept", "dup"), "settled")
 
     def drop(self) -> None:
         delete_path(self.spark, self.path)
 
 
 def deduplicate_batches(df: DataFrame, batch_col: str, id_col: str, text_col: str, index: HistoryIndex | None = None) -> DataFrame:
-    """(kept_id, dup_id) over all batches of ``df``, taken one after the other."""
+    """(kept_id, dup_id) over all batches of ``df``, taken one after the other. An index that is not passed in is removed at the end."""
     spark = df.sparkSession
+    own = index is None
     index = index or HistoryIndex(spark)
     numbers = [r[0] for r in df.select(batch_col).distinct().orderBy(F.col(batch_col).asc_nulls_last()).collect()]  # one value per delivery
-    turned = fresh_path(spark, "turned")
+    found = None
     for b in numbers:
         # each batch's result is written at once, so no plan spans batches
-        index.ingest(df.where(F.col(batch_col).eqNullSafe(F.lit(b))), id_col, text_col).write.mode("append").parquet(turned)
-    return spark.read.schema("kept_id long, dup_id long").parquet(turned) if numbers else spark.createDataFrame([], "kept_id long, dup_id long")
+        f = index.ingest(df.where(F.col(batch_col).eqNullSafe(F.lit(b))), id_col, text_col)
+        found = f if found is None else found.unionByName(f)
+    if own:
+        index.drop()
+    return spark.createDataFrame([], "kept_id long, dup_id long") if found is None else found

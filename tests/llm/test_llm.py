@@ -4,12 +4,15 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions.folding import fold_letters, fold_words
 from quillspark.llm import bin_slack, content_scores, grouped_split, history_dedup, pair_defects, source_mix, split_overlap, token_budget, token_sizes
 from quillspark.operators.spread import spread_rank
+from quillspark.session import Scratch
 
 WORDS = [f"w{k}" for k in range(300)] + ["the", "of", "a", "Straße", "café"]
 
@@ -43,18 +46,33 @@ def greedy(rows):
     return out
 
 
-def test_history_dedup_equals_greedy(spark):
-    rng = random.Random(4)
+def dealt(rng, n=240):
     base = [sentence(rng, rng.choice([1, 2, 3, 5, 8, 9, 16, 40])) for _ in range(40)]
-    rows = [(i, i // 60, rng.choice([None, "", "  ...", *[shaken(rng, rng.choice(base), rng.choice([0, 0, 0.1, 0.2])) for _ in range(12)]]), 9) for i in range(240)]
+    return [(i, i // 120, rng.choice([None, "", "  ...", *[shaken(rng, rng.choice(base), rng.choice([0, 0, 0.1, 0.2])) for _ in range(12)]]), 9) for i in range(n)]
+
+
+def test_history_dedup_equals_greedy(spark):
+    rows = dealt(random.Random(4))
     df = spark.createDataFrame(rows, "ex_id long, batch_no int, source string, vec int")
-    index = history_dedup.HistoryIndex(spark, first=10, growth=2)
+    index = history_dedup.HistoryIndex(spark, first=10, growth=3, cell_rows=3, cells_per_file=4)
     got = {tuple(r) for r in history_dedup.deduplicate_batches(df, "batch_no", "ex_id", "source", index).collect()}
     assert got == greedy([(i, t) for i, _, t, _ in rows])
 
 
-def test_history_dedup_crowded_cells_and_reopened_index(spark, monkeypatch):
-    monkeypatch.setattr(history_dedup, "CROWD", 1.0)
+def test_history_dedup_in_blocks_by_shuffle_with_new_centres(spark, monkeypatch):
+    monkeypatch.setattr(history_dedup, "BLOCK", 8)
+    monkeypatch.setattr(history_dedup, "PART", 20)
+    monkeypatch.setattr(history_dedup, "FEW", 0)
+    monkeypatch.setattr(history_dedup, "REFIT", 2)
+    monkeypatch.setattr(history_dedup, "SAMPLE", 16)
+    rows = dealt(random.Random(14))
+    df = spark.createDataFrame(rows, "ex_id long, batch_no int, source string, vec int")
+    index = history_dedup.HistoryIndex(spark, cell_rows=2, cells_per_file=4)
+    got = {tuple(r) for r in history_dedup.deduplicate_batches(df, "batch_no", "ex_id", "source", index).collect()}
+    assert len(index.trees) > 1 and got == greedy([(i, t) for i, _, t, _ in rows])
+
+
+def test_history_dedup_reopened_index(spark):
     rng = random.Random(5)
     texts = [" ".join(rng.choice(WORDS[:25]) for _ in range(24)) for _ in range(30)]
     texts += [shaken(rng, t, 0.08) for t in texts]
@@ -66,10 +84,44 @@ def test_history_dedup_crowded_cells_and_reopened_index(spark, monkeypatch):
     assert a | b == greedy(list(enumerate(texts)))
 
 
+def test_history_dedup_reads_a_falling_share_of_history(spark):
+    """A last batch of ten rows, half of them copies, against 200 and 1,600 rows accepted before."""
+    rng = random.Random(15)
+    read = []
+    for n in (200, 1600):
+        texts = [f"t{k % 40} " * 3 + " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(4000)}" for _ in range(30)) for k in range(n)]
+        index = history_dedup.HistoryIndex(spark, cell_rows=4, cells_per_file=4)
+        index.ingest(spark.createDataFrame(list(enumerate(texts)), "ex_id long, source string"), "ex_id", "source")
+        last = [(n + k, texts[k * 31] if k % 2 else f"new {k} " * 9) for k in range(10)]
+        got = {tuple(r) for r in index.ingest(spark.createDataFrame(last, "ex_id long, source string"), "ex_id", "source").collect()}
+        assert got == {(k * 31, n + k) for k in range(1, 10, 2)}
+        read.append(spark.read.parquet(*index.files_read).count() / n)
+    assert read[1] < read[0] / 3
+
+
+def test_history_dedup_bounds_never_exclude_a_match():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 400 if k % 3 else 10**9, size=rng.integers(1, 90))) for k in range(300)]
+    sets += [np.unique(np.append(rng.permutation(v)[len(v) // 9 :], rng.integers(0, 10**9, size=len(v) // 20))) for v in sets]
+    tree = history_dedup.CentreTree.fit(history_dedup.sketches(sets))
+    leaf, grp, ring = tree.place(history_dedup.sketches(sets))
+    flat, starts = history_dedup._flat(sets)
+    box = [np.packbits(np.bincount(v & ((1 << history_dedup.BOX) - 1), minlength=1 << history_dedup.BOX) > 0).tobytes() for v in sets]
+    n = np.array([len(v) for v in sets])
+    cells = pd.DataFrame({"cell": np.arange(len(sets)), "gen": 0, "grp": grp, "n_lo": n, "n_hi": n, "ring_lo": ring, "ring_hi": ring, "box": box})
+    i, j = history_dedup._open_cells(flat, starts, n, cells, {0: tree})
+    open_pairs = set(zip(i.tolist(), j.tolist()))
+    near = {(a, b) for a in range(len(sets)) for b in range(len(sets)) if len(np.intersect1d(sets[a], sets[b])) * 8 >= 7 * max(n[a], n[b])}
+    assert near <= open_pairs and len(near) > 400 and len(open_pairs) < 3 * len(near)
+    again = history_dedup.CentreTree.unpack(tree.pack())
+    assert (again.place(history_dedup.sketches(sets))[1] == grp).all()
+
+
 def test_history_dedup_names_the_smallest_accepted_row(spark):
     index = history_dedup.HistoryIndex(spark)
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 6), (5, 6)], "id_a long, id_b long")
-    assert {tuple(r) for r in index._settle(edges).collect()} == {(1, 2), (3, 6)}
+    with Scratch(spark) as scratch:
+        assert {tuple(r) for r in index._settle(edges, scratch).collect()} == {(1, 2), (3, 6)}
 
 
 def test_history_dedup_empty(spark):
