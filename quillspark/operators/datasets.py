@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quillspark.functions import grammar as g
 from quillspark.functions import pairs
 
 ALIGNED = "tokens array<string>, labels array<int>, offsets array<array<int>>, coverage double, kept int, fixed int, error string"
@@ -58,15 +60,90 @@ def label_stats(df: DataFrame, by: str | None = None) -> DataFrame:
     return x
 
 
-def supervision_errors(df: DataFrame) -> Column:
-    """The error codes of each supervision row."""
-    fields = ["source", "central_message", "units", "target_unit_ids", "facts", "verification_questions"]
+_TEXT = r"(?U)\\S"  # something other than white space, as an SQL literal
+_LIST = """concat("['", array_join(array_sort({0}), "', '"), "']")"""  # a list of names as it is written in the codes
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(p: pd.DataFrame) -> pd.Series:
-        return pd.Series([pairs.supervision_errors({k: _plain(v) for k, v in zip(fields, r)}) for r in p[fields].itertuples(index=False, name=None)], dtype="object")
 
-    return run(F.struct(*[F.col(c) for c in fields]))
+def _first(items: str, good: str) -> str:
+    """SQL: the entries of ``items`` that are ``good`` and the first of their id, by position."""
+    return f"filter({items}, (x, i) -> x.{good} and not exists(slice({items}, 1, i), y -> y.{good} and y.id = x.id))"
+
+
+def supervision_rows(df: DataFrame, key: str) -> DataFrame:
+    """(key, errors): the error codes of each supervision row, in the order of its units, facts and questions.
+
+    All checks are expressions over the row's arrays; nothing leaves the JVM.
+    """
+    roles = ", ".join(f"'{r}'" for r in g.ROLES)
+    none = "cast(array() as array<string>)"
+    steps = [
+        # every unit and whether it is whole and quotes its source
+        ("u", f"""transform(coalesce(units, array()), x -> struct(x.id as id, coalesce(x.protected, false) as fixed,
+            coalesce(x.id is not null and x.start_off is not null and x.end_off is not null and x.text is not null and x.role in ({roles}), false) as whole,
+            coalesce(x.start_off >= 0 and x.start_off < x.end_off and substring(source, x.start_off + 1, x.end_off - x.start_off) = x.text, false) as quoted))"""),
+        ("u", "transform(u, x -> struct(x.id as id, x.fixed as fixed, x.whole as whole, x.quoted as quoted, x.whole and x.quoted as sound))"),
+        ("sound", _first("u", "sound")),
+        ("known", "transform(sound, x -> x.id)"),
+        ("fixed", "transform(filter(sound, x -> x.fixed), x -> x.id)"),
+        ("chosen", f"array_distinct(array_compact(coalesce(target_unit_ids, {none})))"),
+        ("unit_codes", """transform(u, (x, i) -> case when not x.whole then 'invalid_unit'
+            when exists(slice(u, 1, i), y -> y.sound and y.id = x.id) then concat('duplicate_unit:', x.id)
+            when not x.quoted then concat('unit_evidence_mismatch:', x.id) end)"""),
+        ("f", f"""transform(coalesce(facts, array()), x -> struct(x.id as id, coalesce(x.central, false) as central, coalesce(x.required, false) as required, array_distinct(x.evidence_unit_ids) as evidence,
+            coalesce(x.id is not null and x.claim is not null and x.evidence_unit_ids is not null, false) as whole,
+            case when not coalesce(x.claim rlike '{_TEXT}', false) or size(x.evidence_unit_ids) = 0 then 'ungrounded_fact:'
+                when size(x.evidence_unit_ids) > 8 then 'fact_evidence_not_atomic:'
+                when size(array_except(x.evidence_unit_ids, known)) > 0 then 'unknown_fact_evidence:' end as fault))"""),
+        ("f", "transform(f, x -> struct(x.id as id, x.central as central, x.required as required, x.evidence as evidence, x.whole as whole, x.fault as fault, x.whole and x.fault is null as sound))"),
+        ("proven", _first("f", "sound")),
+        ("fact_codes", """transform(f, (x, i) -> case when not x.whole then 'invalid_fact'
+            when x.fault is not null then concat(x.fault, x.id)
+            when exists(slice(f, 1, i), y -> y.sound and y.id = x.id) then concat('duplicate_fact:', x.id)
+            when (x.central or x.required) and not arrays_overlap(x.evidence, chosen) then concat('required_fact_not_selected:', x.id) end)"""),
+        ("loose", "array_except(array_except(chosen, flatten(transform(proven, x -> x.evidence))), fixed)"),
+        ("question_codes", f"""transform(coalesce(verification_questions, array()), x -> case
+            when not coalesce(x.question rlike '{_TEXT}', false) or coalesce(size(x.answer_fact_ids), 0) < 1 then 'invalid_verification_question'
+            when size(array_except(x.answer_fact_ids, transform(proven, y -> y.id))) > 0
+                then concat('unknown_question_facts:', {_LIST.format("array_except(x.answer_fact_ids, transform(proven, y -> y.id))")})
+            when exists(proven, y -> array_contains(x.answer_fact_ids, y.id) and not arrays_overlap(y.evidence, chosen))
+                then concat('unanswerable_verification_question:', trim(x.question)) end)"""),
+        ("errors", f"""case when coalesce(source, '') = '' then array('source_missing') else array_compact(concat(
+            array(case when not coalesce(central_message rlike '{_TEXT}', false) then 'central_message_missing' end), unit_codes,
+            array(case when size(array_except(chosen, known)) > 0 then concat('unknown_target_units:', {_LIST.format("array_except(chosen, known)")}) end,
+                case when size(array_except(fixed, chosen)) > 0 then concat('missing_protected_units:', {_LIST.format("array_except(fixed, chosen)")}) end), fact_codes,
+            array(case when not exists(proven, x -> x.central) then 'central_fact_missing' end,
+                case when size(loose) > 0 then concat('selected_without_fact:', {_LIST.format("loose")}) end), question_codes)) end"""),
+    ]
+    x = df.select(F.col(key).alias("_key"), "source", "central_message", "units", "target_unit_ids", "facts", "verification_questions")
+    for name, sql in steps:
+        x = x.withColumn(name, F.expr(sql))
+    return x.select(F.col("_key").alias(key), "errors")
+
+
+_UNIT = "struct<id:string,start_off:int,end_off:int,text:string,protected:boolean,role:string>"
+_FACT = "struct<id:string,claim:string,evidence_unit_ids:array<string>,central:boolean,required:boolean>"
+_ANNOTATED = f"struct<source:string,central_message:string,units:array<{_UNIT}>,target_unit_ids:array<string>,facts:array<{_FACT}>,verification_questions:array<struct<question:string,answer_fact_ids:array<string>>>,error:string>"
+
+
+def annotated_rows(df: DataFrame, key: str, source: str, annotation: str) -> DataFrame:
+    """(key, supervision fields, errors): rows made of a text and a teacher's annotation in JSON, with the codes of what is wrong.
+
+    An annotation that cannot be read, or with roles that are unknown, gives one error and no fields.
+    """
+
+    @F.pandas_udf(T.StringType())
+    def build(text: pd.Series, note: pd.Series) -> pd.Series:
+        out = []
+        for t, n in zip(text, note):
+            try:
+                out.append(json.dumps(pairs.annotated(t, json.loads(n))))
+            except (ValueError, KeyError, TypeError, AttributeError) as e:
+                out.append(json.dumps({"error": f"annotation:{e}"}))
+        return pd.Series(out, dtype="object")
+
+    x = df.select(F.col(key), F.from_json(build(F.col(source), F.col(annotation)), _ANNOTATED).alias("r")).select(key, "r.*")
+    codes = supervision_rows(x, key)
+    return x.join(codes, key).withColumn("errors", F.when(F.col("error").isNotNull(), F.array("error")).otherwise(F.col("errors"))).drop("error")
 
 
 def _plain(v):

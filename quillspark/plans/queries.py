@@ -374,8 +374,7 @@ def sentence_labels(spark, sf):
 
 @query
 def supervision_errors(spark, sf):
-    msc = spread_out(table(spark, sf, "msc"))
-    return msc.select("row_id", F.explode(datasets.supervision_errors(msc)).alias("error"))
+    return datasets.supervision_rows(table(spark, sf, "msc"), "row_id").select("row_id", F.explode("errors").alias("error"))
 
 
 @query

@@ -131,18 +131,6 @@ def test_set_cover():
         pairs.minimum_context([], {}, {"x"})
 
 
-def test_supervision():
-    src = "Fix the bug. Ship it."
-    units = [dict(id="u0", start_off=0, end_off=12, text="Fix the bug.", protected=False, role="core"), dict(id="u1", start_off=13, end_off=21, text="Ship it.", protected=True, role="action")]
-    good = dict(source=src, central_message="fix", units=units, target_unit_ids=["u0", "u1"], facts=[dict(id="f0", claim="bug", evidence_unit_ids=["u0"], central=True, required=True)], verification_questions=[dict(question="q?", answer_fact_ids=["f0"])])
-    assert pairs.supervision_errors(good) == []
-    assert pairs.supervision_errors({**good, "source": None}) == ["source_missing"]
-    assert "missing_protected_units:['u1']" in pairs.supervision_errors({**good, "target_unit_ids": ["u0"]})
-    assert "central_fact_missing" in pairs.supervision_errors({**good, "facts": []})
-    assert "invalid_unit" in pairs.supervision_errors({**good, "units": [{**units[0], "role": "x"}, units[1]]})
-    assert any(e.startswith("unknown_target_units") for e in pairs.supervision_errors({**good, "target_unit_ids": ["u0", "u1", "u9"]}))
-
-
 def test_transformations_and_rewrites():
     units = [dict(id="a", text="Use port 80.", fact_ids=["f"], protected=False), dict(id="b", text="Never delete.", fact_ids=["g"], protected=True)]
     step = lambda op, ids, out, cov: dict(operation=op, source_unit_ids=ids, output=out, covered_fact_ids=cov)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import pairs, udfs
+from quillspark.functions import code, pairs, udfs
 from quillspark.operators import compaction, datasets, evaluate, ledger, neardup, policy, scorer
 from quillspark.operators.spread import salted_join
 from quillspark.sources import io
@@ -331,3 +331,46 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert main(["gain", "--ledger", str(led), "--reset"]) == 1 and led.exists() and main(["gain", "--ledger", str(led), "--reset", "-y"]) == 0 and not led.exists()
     (tmp_path / "t.txt").write_text(CHECKPOINT)
     assert main(["checkpoint", str(tmp_path / "t.txt")]) == 0 and "Decision: keep the cache." in capsys.readouterr().out
+
+
+def test_supervision_codes(spark):
+    unit = "id string, start_off int, end_off int, text string, protected boolean, role string"
+    schema = f"k int, source string, central_message string, units array<struct<{unit}>>, target_unit_ids array<string>, facts array<struct<id string, claim string, evidence_unit_ids array<string>, central boolean, required boolean>>, verification_questions array<struct<question string, answer_fact_ids array<string>>>"
+    src = "Fix the bug. Ship it."
+    u0, u1 = ("u0", 0, 12, "Fix the bug.", False, "core"), ("u1", 13, 21, "Ship it.", True, "action")
+    fact, ask = ("f0", "bug", ["u0"], True, True), ("q?", ["f0"])
+    good = [src, "fix", [u0, u1], ["u0", "u1"], [fact], [ask]]
+    want = {
+        0: (good, []),
+        1: ([None, *good[1:]], ["source_missing"]),
+        2: ([*good[:3], ["u0"], *good[4:]], ["missing_protected_units:['u1']"]),
+        3: ([*good[:4], [], None], ["central_fact_missing", "selected_without_fact:['u0']"]),
+        4: ([src, " ", [(*u0[:5], "x"), u1, u1, None, ("u3", 0, 5, "nope", None, "core")], ["u0", "u9", "u1"], good[4], good[5]],
+            ["central_message_missing", "invalid_unit", "duplicate_unit:u1", "invalid_unit", "unit_evidence_mismatch:u3", "unknown_target_units:['u0', 'u9']", "unknown_fact_evidence:f0", "central_fact_missing",
+             "selected_without_fact:['u0', 'u9']", "unknown_question_facts:['f0']"]),
+        5: ([*good[:3], ["u1"], [fact, fact, ("f1", " ", ["u1"], None, None), ("f2", "c", ["u1"] * 9, None, None), None, ("f3", "c", ["u1"], None, None)], [ask, ("", ["f0"]), None, ("z", ["f3"])]],
+            ["required_fact_not_selected:f0", "duplicate_fact:f0", "ungrounded_fact:f1", "fact_evidence_not_atomic:f2", "invalid_fact", "unanswerable_verification_question:q?", "invalid_verification_question", "invalid_verification_question"]),
+        6: ([src, "m", None, None, None, None], ["central_fact_missing"]),
+    }
+    got = {r[0]: r[1] for r in datasets.supervision_rows(spark.createDataFrame([(k, *row) for k, (row, _) in want.items()], schema), "k").collect()}
+    assert got == {k: codes for k, (_, codes) in want.items()}
+
+
+def test_greedy_cover_and_renaming():
+    item = lambda i, cost, facts, fixed=False: dict(id=i, token_cost=cost, fact_ids=facts, protected=fixed)
+    items = [item("a", 2, ["x"]), item("b", 2, ["x"]), item("c", 5, ["y", "z"]), item("p", 9, ["w"], True), item("d", 1, ["z"])]
+    assert pairs.minimum_context(items, {}, {"x"}) == ["b", "p"]
+    assert pairs.minimum_context(items, {}, {"x"}, 0.2) == ["b", "c", "p", "d"]
+    assert pairs.minimum_context(items, {"y": 0.5}, {"x"}, 0.2) == ["b", "p", "d"]
+    out = code.compact_python("def f(value, other=1):\n    def g(value):\n        return value + other\n    return g(value), (lambda value: value)\n", names=True)
+    space: dict = {}
+    exec(out, space)
+    assert space["f"](2)[0] == 3 and space["f"](2)[1](7) == 7 and "other" not in out
+
+
+def test_annotated_rows(spark):
+    note = {"unit_roles": {"u0": "central_claim"}, "central_message": "m", "facts": [{"id": "f", "claim": "c", "evidence_unit_ids": ["u0"], "central": True}]}
+    rows = [(1, "Fix `a`. Nice day.", json.dumps(note)), (2, "Fix it.", "{"), (3, "Fix it.", json.dumps({**note, "unit_roles": {"u9": "core"}})), (4, "Fix `a`. Nice day.", json.dumps({**note, "facts": []}))]
+    got = {r["k"]: r for r in datasets.annotated_rows(spark.createDataFrame(rows, "k int, t string, n string"), "k", "t", "n").collect()}
+    assert got[1]["errors"] == [] and got[1]["target_unit_ids"] == ["u0"] and got[1]["units"][1]["role"] == "noise"
+    assert got[2]["errors"][0].startswith("annotation:") and got[3]["errors"] == ["annotation:role of an unknown unit"] and "central_fact_missing" in got[4]["errors"]
