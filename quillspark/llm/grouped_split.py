@@ -71,21 +71,29 @@ def article_key(col: Column) -> Column:
 
 
 def keyed(df: DataFrame, id_col: str, article_col: str, text_col: str) -> DataFrame:
-    """(id, key) for every key of every record, keys as 64-bit hashes."""
+    """(id, keys): every key of every record, as 126 bits of two hashes held in a decimal, so that even 10**10 keys do not meet by chance."""
     src = df.select(F.col(id_col).cast("long").alias("id"), article_key(F.col(article_col)).alias("a"), text_keys(F.col(text_col)).alias("k"))
     keys = F.array_compact(F.array_append(F.coalesce("k", F.array().cast("array<string>")), F.col("a")))
-    return src.where("id is not null").select("id", F.transform(keys, lambda x: F.xxhash64(x)).alias("keys"))
+    return src.where("id is not null").select("id", F.transform(keys, _number).alias("keys"))
 
 
-def hash_to_min(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
-    """(node, component): components of an undirected graph, named by their smallest node."""
+def _number(x: Column) -> Column:
+    high, low = (F.xxhash64(*c).bitwiseAND((1 << 63) - 1).cast("decimal(19,0)") for c in ((x,), (F.lit(1), x)))
+    return (high * F.lit(1 << 62).cast("decimal(19,0)") * F.lit(2).cast("decimal(1,0)") + low).cast("decimal(38,0)")
+
+
+def hash_to_min(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, component): components of an undirected graph, named by their smallest node.
+
+    A cluster of many nodes is divided over tasks when it is joined with its smallest member.
+    """
     e = edges.select(F.col(a).alias("v"), F.col(b).alias("u")).where("v <> u")
     both = e.union(e.select("u", "v")).union(e.select("v", F.col("v").alias("u"))).union(e.select(F.col("u").alias("v"), "u"))
     state = materialize(both.distinct(), "clusters")
     last = None
-    for _ in range(most_rounds):
+    while True:
         low = state.groupBy("v").agg(F.min("u").alias("m"))
-        joined = state.join(low, "v")
+        joined = salted_join(state, low, "v", F.col("u"))
         # the cluster to its smallest member, the smallest member to the cluster
         sent = joined.select(F.col("m").alias("v"), "u").union(joined.select(F.col("u").alias("v"), F.col("m").alias("u")))
         state = materialize(sent.distinct(), "clusters")
@@ -94,7 +102,6 @@ def hash_to_min(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> Data
         if now == last:
             return state.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
         last = now
-    raise RuntimeError(f"no fixed point after {most_rounds} rounds")
 
 
 def components(df: DataFrame, id_col: str, article_col: str, text_col: str) -> DataFrame:
@@ -124,3 +131,15 @@ def rendezvous(group: Column, weights: dict[str, float], seed: int = 7) -> Colum
 def assign_splits(groups: DataFrame, weights: dict[str, float], seed: int = 7) -> DataFrame:
     """(id, group_id, new_split)."""
     return groups.withColumn("new_split", rendezvous(F.col("group_id"), weights, seed))
+
+
+def split_report(split: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Per split: rows, groups, the largest group and the wanted and actual shares of rows."""
+    sizes = split.groupBy("new_split", "group_id").agg(F.count(F.lit(1)).alias("n"))
+    per = sizes.groupBy("new_split").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"), F.max("n").alias("largest_group"))
+    scale = sum(weights.values())
+    wanted = split.sparkSession.createDataFrame([(k, w / scale) for k, w in weights.items()], "new_split string, wanted double")
+    total = per.agg(F.sum("n_rows").alias("all_rows"))
+    x = wanted.join(per, "new_split", "left").join(F.broadcast(total))  # one row per split, one total
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    return x.select("new_split", zero("n_rows").alias("n_rows"), zero("n_groups").alias("n_groups"), zero("largest_group").alias("largest_group"), "wanted", F.round(F.try_divide(zero("n_rows"), "all_rows"), 6).alias("actual"))

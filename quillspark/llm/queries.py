@@ -51,6 +51,12 @@ def p3_new_split(spark: SparkSession, sf: str) -> DataFrame:
     return grouped_split.assign_splits(groups, SPLIT_WEIGHTS).select(F.col("id").alias("row_id"), F.col("group_id").alias("group_row_id"), "new_split")
 
 
+def p3_split_report(spark: SparkSession, sf: str) -> DataFrame:
+    msc = table(spark, sf, "msc").select("row_id", "id", "source")
+    groups = grouped_split.components(msc, "row_id", "id", "source")
+    return grouped_split.split_report(grouped_split.assign_splits(groups, SPLIT_WEIGHTS), SPLIT_WEIGHTS)
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     ex = table(spark, sf, "examples").select("ex_id", "source", "target")
     return pair_defects.pair_defects(ex, "ex_id", "source", "target").withColumnRenamed("id", "ex_id")
@@ -149,6 +155,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_overlap_report": p2_overlap_report,
         "p3_found": p3_found,
         "p3_new_split": p3_new_split,
+        "p3_split_report": p3_split_report,
         "p4_found": p4_found,
         "p4_shortened": p4_shortened,
         "p4_length_spikes": p4_length_spikes,

@@ -92,9 +92,9 @@ def test_history_dedup_reads_a_falling_share_of_history(spark):
         texts = [f"t{k % 40} " * 3 + " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(4000)}" for _ in range(30)) for k in range(n)]
         index = history_dedup.HistoryIndex(spark, cell_rows=4, cells_per_file=4)
         index.ingest(spark.createDataFrame(list(enumerate(texts)), "ex_id long, source string"), "ex_id", "source")
-        last = [(n + k, texts[k * 31] if k % 2 else f"new {k} " * 9) for k in range(10)]
+        last = [(n + k, texts[k * 31 % n] if k % 2 else f"new {k} " * 9) for k in range(10)]
         got = {tuple(r) for r in index.ingest(spark.createDataFrame(last, "ex_id long, source string"), "ex_id", "source").collect()}
-        assert got == {(k * 31, n + k) for k in range(1, 10, 2)}
+        assert got == {(k * 31 % n, n + k) for k in range(1, 10, 2)}
         read.append(spark.read.parquet(*index.files_read).count() / n)
     assert read[1] < read[0] / 3
 
