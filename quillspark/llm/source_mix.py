@@ -6,8 +6,8 @@ total is the size of the mix, so all shares can be met. Each record of a source
 same expected number of copies r = w * total / a <= m. Systematic sampling makes whole copies of it:
 with the records of a source in order of size, record i covers the interval
 [i * r + u, (i + 1) * r + u) for one random offset u per source and is emitted once per
-whole number in it, that is floor(r) or ceil(r) times, never more than m. The offset is the
-best of ``OFFSETS`` random ones: the one with the size closest to the wanted one.
+whole number in it, that is floor(r) or ceil(r) times, never more than m. With u uniform, every
+record has the same chance of its further copy. The report names the source that limits the mix.
 
 The prefix sums are ranks, counted by slices, so a source that holds a third of all rows is
 never sorted in one task. Defined cases: null or blank texts and records of other or null sources are left out; a
@@ -26,9 +26,6 @@ from quillspark.operators.spread import spread_rank
 from quillspark.session import materialize
 
 
-OFFSETS = 16
-
-
 def usable(docs: DataFrame, targets: DataFrame, sizer, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """(id, source, tokens): one record per distinct text among the wanted sources."""
     wanted = targets.where("weight > 0 and max_repeats > 0").select("source").distinct()
@@ -55,16 +52,11 @@ def mix(items: DataFrame, targets: DataFrame, seed: int = 11) -> tuple[DataFrame
     spark = items.sparkSession
     found = rates(items, targets)
     rng = random.Random(seed)
-    table = [(s, w, m, r, a, [rng.random() for _ in range(OFFSETS)]) for s, w, m, r, a in found]
-    rate = spark.createDataFrame(table, "source string, weight double, max_repeats int, rate double, available long, offsets array<double>")
+    table = [(s, w, m, r, a, rng.random(), bool(r) and r > m * (1 - 1e-9)) for s, w, m, r, a in found]
+    rate = spark.createDataFrame(table, "source string, weight double, max_repeats int, rate double, available long, offset double, limits boolean")
     # in order of size, by sixteenths of an octave, so that chosen sizes mirror those of the source
     ranked = spread_rank(items, "source", ["tokens"], "id", "rank", slices=8, lead=F.floor(F.log2("tokens") * 16))
-    x = materialize(ranked.join(F.broadcast(rate.select("source", "rate", "max_repeats", "offsets")), "source"), "ranked")
-    copies = lambda u: F.floor((F.col("rank") + 1) * F.col("rate") + u) - F.floor(F.col("rank") * F.col("rate") + u)
-    # of a few random offsets, the one whose size comes closest to what the rate asks for
-    sizes = x.groupBy("source").agg(F.array(*[F.sum(copies(F.col("offsets")[k]) * F.col("tokens")) for k in range(OFFSETS)]).alias("sums"), (F.sum("tokens") * F.first("rate")).alias("goal"), F.first("offsets").alias("o"))
-    best = sizes.select("source", F.array_min(F.transform("sums", lambda s, k: F.struct(F.abs(s - F.col("goal")).alias("d"), F.element_at("o", k + 1).alias("u"))))["u"].alias("offset"))
-    x = x.join(F.broadcast(best), "source")  # one row per wanted source
+    x = ranked.join(F.broadcast(rate.select("source", "rate", "max_repeats", "offset")), "source")  # one row per wanted source
     lo = F.floor(F.col("rank") * F.col("rate") + F.col("offset"))
     hi = F.floor((F.col("rank") + 1) * F.col("rate") + F.col("offset"))
     chosen = x.withColumn("copies", F.least(hi - lo, F.col("max_repeats").cast("long")).cast("int")).where("copies > 0").select("id", "source", "tokens", "copies")
@@ -74,7 +66,7 @@ def mix(items: DataFrame, targets: DataFrame, seed: int = 11) -> tuple[DataFrame
     report = F.broadcast(rate).join(used, "source", "left").join(F.broadcast(all_used))  # one row per source, one total
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     report = report.select(
-        "source", "weight", "max_repeats", "available", zero("n_texts"), zero("n_copies"), zero("most_copies"), zero("tokens_used"),
+        "source", "weight", "max_repeats", "available", "limits", zero("n_texts"), zero("n_copies"), zero("most_copies"), zero("tokens_used"),
         F.round(F.coalesce(F.col("tokens_used") / F.col("all_used"), F.lit(0.0)), 6).alias("actual_share"),
         F.round(F.coalesce(F.col("tokens_used") / F.col("all_used"), F.lit(0.0)) - F.col("weight"), 6).alias("share_error"),
     )

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _ENCODERS: dict[tuple[int, str], object] = {}
-STEP = 200_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -29,20 +28,8 @@ def encoder(data: bytes, pattern: str):
 
 
 def size(enc, text: str | None) -> int:
-    """Tokens of ``text``; very long texts are encoded in steps that end after a line or a space where one is near."""
-    if not text or not text.strip():
-        return 0
-    if len(text) <= STEP:
-        return len(enc.encode_ordinary(text))
-    n = at = 0
-    while at < len(text):
-        end = min(len(text), at + STEP)
-        if end < len(text):
-            cut = max(text.rfind("\n", at + STEP // 2, end), text.rfind(" ", at + STEP // 2, end))
-            end = cut if cut > at else end
-        n += len(enc.encode_ordinary(text[at:end]))
-        at = end
-    return n
+    """Tokens of ``text``, encoded whole."""
+    return len(enc.encode_ordinary(text)) if text and text.strip() else 0
 
 
 def token_sizer(spark: SparkSession, ranks_path: str, pattern: str):
