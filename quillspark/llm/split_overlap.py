@@ -6,13 +6,14 @@ than the most edits any partner allows, evenly spread, of at most ``GRAM`` lette
 spoils one passage at most and moves the others by one place at most, so a match keeps all
 but k passages, each within k places of its own.
 
-The passages of a shard of evaluation texts form one Aho-Corasick automaton, which scans all
-training texts. Matched passages are counted per evaluation text, those out of place left out; a text
-that keeps enough goes on to a bound on letter pairs (an edit changes two of them), then its matched
-intervals are merged into coverage, and a bit-parallel edit distance decides.
-
-A shard holds a bounded number of letters; only a shard is broadcast, and the scan is one pass over the
-training texts per shard.
+Evaluation texts are divided into shards by length, of ``SHARD_LETTERS`` letters at most. A training text is sent
+to the shards whose lengths it can match, and only there. Shards meet their training texts in
+tasks of at most about ``TASK_LETTERS`` training letters; nothing is collected or broadcast but the
+lengths' histogram (one row per length). In a task the passages of the shard form one Aho-Corasick
+automaton, which scans the training texts. Matched passages are counted per evaluation text, those
+out of place left out; of a text that keeps enough, a bound on letter pairs (an edit changes
+two of them) and a bit-parallel edit distance decide. The intervals that were matched in place are kept with each
+link and merged into the coverage of the evaluation record.
 
 Defined cases: null, blank and letterless texts never match; equal texts are compared once
 per distinct text and expanded to their rows; short texts are cut into shorter passages, down to
@@ -21,7 +22,6 @@ one letter; extra columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from array import array
 from collections import defaultdict
 from itertools import chain, count
@@ -34,13 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions.folding import fold_letters
-from quillspark.operators.spread import spread_out
+from quillspark.operators.spread import salted_join
 from quillspark.session import materialize
 
 GRAM = 6
 PAIRS = 512
 TOGETHER = 64
 SHARD_LETTERS = 8_000_000
+TASK_LETTERS = 64_000_000
 
 
 @F.pandas_udf(T.StringType())
@@ -149,21 +150,8 @@ class PassageShard:
             self.auto.make_automaton()
         self.pairs = all_pair_counts(self.texts) if texts else np.zeros((0, PAIRS), dtype=np.int16)
 
-    def coverage(self, i: int, text: str, edits: int) -> tuple[int, float]:
-        """(passages of text ``i`` found in place, share of its letters under the merged intervals)."""
-        mine = self.texts[i]
-        r = int(self.most[i]) + 1
-        size = max(1, min(GRAM, len(mine) // r))
-        found, covered, end = 0, 0, 0
-        for a in (k * len(mine) // r for k in range(r)):
-            if text.find(mine[a : a + size], max(0, a - edits), a + edits + size) >= 0:
-                found += 1
-                covered += a + size - max(a, end)
-                end = a + size
-        return found, covered / max(1, len(mine))
-
-    def scan(self, texts: list[str]) -> list[tuple[int, int, float]]:
-        """(evaluation id, number of the text, coverage) for all matches of some training texts, scanned together."""
+    def scan(self, texts: list[str]) -> list[tuple[int, int, list[int]]]:
+        """(evaluation id, number of the text, places of the matched passages) for all matches of some training texts, scanned together."""
         hits: list[tuple[int, int]] = []
         bounds = [0]
         for t in texts:
@@ -185,19 +173,21 @@ class PassageShard:
         first[by] = f = np.searchsorted(self.place, low[by])
         times[by] = np.searchsorted(self.place, (gram * self.span + np.minimum(at + reach, self.span - 2))[by], side="right") - f
         upto = np.cumsum(times)
-        who = self.who[np.arange(upto[-1]) + np.repeat(first - upto + times, times)]
+        at = np.arange(upto[-1]) + np.repeat(first - upto + times, times)
+        who = self.who[at]
         ends = np.concatenate([[0], upto])[bounds]
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple[int, int, list[int]]] = []
         for k, t in enumerate(texts):
             if ends[k] < ends[k + 1]:
-                out += [(i, k, share) for i, share in self._matches(t, who[ends[k] : ends[k + 1]])]
+                z = slice(ends[k], ends[k + 1])
+                out += [(i, k, spots) for i, spots in self._matches(t, who[z], at[z])]
         return out
 
     def _within(self, n: int) -> tuple[int, int]:
         """The range of texts whose length a text of ``n`` letters can match."""
         return int(np.searchsorted(self.length, n - n // 8)), int(np.searchsorted(self.length, n * 8 // 7 + 1, side="right"))
 
-    def _matches(self, text: str, who: np.ndarray) -> list[tuple[int, float]]:
+    def _matches(self, text: str, who: np.ndarray, at: np.ndarray) -> list[tuple[int, list[int]]]:
         n = len(text)
         lo, hi = self._within(n)
         kept = np.bincount(who, minlength=len(self.ids))[lo:hi]
@@ -211,46 +201,69 @@ class PassageShard:
             i, k = lo + j, int(edits[j])
             if abs(int(self.length[i]) - n) > k:
                 continue
-            found, share = self.coverage(i, text, k)
-            if found > int(self.most[i]) - k and edit_distance(self.texts[i], text, k) <= k:
-                out.append((self.ids[i], round(share, 6)))
+            spots = np.unique(self.place[at[who == i]] % self.span)
+            if len(spots) > int(self.most[i]) - k and edit_distance(self.texts[i], text, k) <= k:
+                out.append((self.ids[i], spots.tolist()))
         return out
 
 
-_SHARDS: dict[str, PassageShard] = {}
-
-
-def _held(name: str, ids: list[int], texts: list[str]) -> PassageShard:
-    """The shard, built once per worker; a worker holds one at a time."""
-    if name not in _SHARDS:
-        _SHARDS.clear()
-        _SHARDS[name] = PassageShard(ids, texts)
-    return _SHARDS[name]
-
-
-def _scan(train: DataFrame, shard: list, spark) -> DataFrame:
-    """(eval_class, train_class, coverage) of one shard."""
-    held = spark.sparkContext.broadcast((uuid.uuid4().hex, [int(r[0]) for r in shard], [r[1] for r in shard]))
-
-    def run(batches):
-        s = _held(*held.value)
-        for pdf in batches:
-            a, b, c = [], [], []
-            cls, texts = pdf["cls"].tolist(), pdf["t"].tolist()
+def passage_size(length: int) -> int:
+    """Letters in each passage of an evaluation text."""
+    return max(1, min(GRAM, length // (length * 8 // 7 // 8 + 1)))
+
+
+def shard_edges(letters: dict[int, int], most: int) -> list[tuple[int, int, int]]:
+    """(shortest, longest, parts): ranges of lengths with at most ``most`` letters each; a length with more is divided into parts."""
+    out, lo, hi, held = [], None, None, 0
+    for n in sorted(letters):
+        if lo is not None and held + letters[n] > most:
+            out.append((lo, hi, max(1, -(-held // most))))
+            lo, held = None, 0
+        lo, hi, held = n if lo is None else lo, n, held + letters[n]
+    return out if lo is None else [*out, (lo, hi, max(1, -(-held // most)))]
+
+
+def _links(ev: DataFrame, tr: DataFrame) -> DataFrame:
+    """(eval_class, train_class, len, spots) of evaluation and training texts (cls, t, len)."""
+    spark = ev.sparkSession
+    by = lambda x: {r[0]: r[1] for r in x.groupBy("len").agg(F.sum("len")).collect()}  # noqa: E731  one row per length
+    have, against = by(ev), by(tr)
+    shards = []
+    edges = shard_edges(have, SHARD_LETTERS)
+    cores = spark.sparkContext.defaultParallelism
+    for lo, hi, parts in edges:
+        least, most = lo - hi // 8 - 1, hi * 8 // 7 + 1
+        salts = max(1, -(-sum(v for n, v in against.items() if least <= n <= most) // TASK_LETTERS), -(-cores // sum(e[2] for e in edges)))
+        for p in range(parts):
+            shards.append((len(shards), lo, hi, p, parts, least, most, salts))
+    if not shards:
+        return spark.createDataFrame([], "eval_class long, train_class long, len int, spots array<int>")
+    plan = F.broadcast(spark.createDataFrame(shards, "shard int, lo int, hi int, part int, parts int, least int, most int, salts int"))  # one row per shard
+    mine = (F.col("len") >= F.col("lo")) & (F.col("len") <= F.col("hi")) & (F.pmod(F.xxhash64("cls"), F.col("parts")) == F.col("part"))
+    left = ev.join(plan, mine).select("cls", "t", "shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    right = tr.join(plan, (F.col("len") >= F.col("least")) & (F.col("len") <= F.col("most"))).select("cls", "t", F.col("shard").alias("to"), F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("part"))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y, n, spots = [], [], [], []
+        if len(a) and len(b):
+            shard = PassageShard(a["cls"].tolist(), a["t"].tolist())
+            size = dict(zip(shard.ids, shard.length.tolist()))
+            cls, texts = b["cls"].tolist(), b["t"].tolist()
             for k in range(0, len(texts), TOGETHER):
-                for j, i, cov in s.scan(texts[k : k + TOGETHER]):
-                    a.append(j)
-                    b.append(cls[k + i])
-                    c.append(cov)
-            yield pd.DataFrame({"eval_class": pd.Series(a, dtype="int64"), "train_class": pd.Series(b, dtype="int64"), "coverage": pd.Series(c, dtype="float64")})
+                for j, i, at in shard.scan(texts[k : k + TOGETHER]):
+                    x.append(j)
+                    y.append(cls[k + i])
+                    n.append(size[j])
+                    spots.append(at)
+        return pd.DataFrame({"eval_class": pd.Series(x, dtype="int64"), "train_class": pd.Series(y, dtype="int64"), "len": pd.Series(n, dtype="int32"), "spots": pd.Series(spots, dtype="object")})
 
-    return train.mapInPandas(run, "eval_class long, train_class long, coverage double")
+    return left.groupBy("shard", "salt").cogroup(right.groupBy("to", "part")).applyInPandas(run, "eval_class long, train_class long, len int, spots array<int>")
 
 
 def overlaps(df: DataFrame, id_col: str, split_col: str, text_col: str, is_train: Column, is_eval: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links between classes of equal texts, evaluation members, training members).
 
-    Links: (eval_class, train_class, coverage). Members: (cls, id). A class is named by the
+    Links: (eval_class, train_class, len, spots), the length of the evaluation text and where its matched passages start. Members: (cls, id). A class is named by the
     smallest id among its rows of that side.
     """
     spark = df.sparkSession
@@ -265,29 +278,15 @@ def overlaps(df: DataFrame, id_col: str, split_col: str, text_col: str, is_train
 
     ev_texts, ev_members = side(base.where("ev"))
     tr_texts, tr_members = side(base.where("tr"))
-    # shards of bounded size
-    lettered = materialize(ev_texts.withColumn("len", F.length("t")), "eval")
-    total = lettered.agg(F.sum("len")).first()[0] or 0
-    n_shards = max(1, -(-total // SHARD_LETTERS))
-    if n_shards > 1:
-        tr_texts = materialize(tr_texts, "train")
-    lettered = lettered.withColumn("shard", F.pmod(F.xxhash64("cls"), F.lit(n_shards)).cast("int"))
-    links = None
-    for s in range(n_shards):
-        shard = lettered.where(F.col("shard") == s).select("cls", "t").collect()  # one shard: about SHARD_LETTERS letters
-        if not shard:
-            continue
-        part = _scan(spread_out(tr_texts), shard, spark)
-        links = part if links is None else links.unionByName(part)
-    if links is None:
-        links = spark.createDataFrame([], "eval_class long, train_class long, coverage double")
-    return materialize(links, "links"), ev_members, tr_members
+    sized = lambda x, label: materialize(x.withColumn("len", F.length("t")), label)
+    return materialize(_links(sized(ev_texts, "eval"), sized(tr_texts, "train")), "links"), ev_members, tr_members
 
 
 def overlap_pairs(links: DataFrame, ev: DataFrame, tr: DataFrame) -> DataFrame:
     """All (row_id_a, row_id_b) pairs of rows, smaller first."""
-    x = links.join(ev.select(F.col("cls").alias("eval_class"), F.col("id").alias("e")), "eval_class")
-    x = x.join(tr.select(F.col("cls").alias("train_class"), F.col("id").alias("t")), "train_class")
+    # a class may hold a third of a side's rows: its members are divided over tasks, the links repeated
+    e = salted_join(ev.select(F.col("cls").alias("eval_class"), F.col("id").alias("e")), links.select("eval_class", "train_class"), "eval_class", F.col("e"), salts=4)
+    x = salted_join(tr.select(F.col("cls").alias("train_class"), F.col("id").alias("t")), e.select("train_class", "e"), "train_class", F.col("t"), salts=4)
     return x.select(F.least("e", "t").alias("row_id_a"), F.greatest("e", "t").alias("row_id_b")).distinct()
 
 
@@ -295,7 +294,13 @@ def overlap_report(df: DataFrame, links: DataFrame, ev: DataFrame, tr: DataFrame
     """Per evaluation split and source: records, records that also appear in training, and their links."""
     ev, tr = ev.distinct(), tr.distinct()
     per_class = tr.groupBy(F.col("cls").alias("train_class")).agg(F.count(F.lit(1)).alias("n"))
-    found = links.join(per_class, "train_class").groupBy("eval_class").agg(F.sum("n").alias("n_pairs"), F.max("coverage").alias("coverage"))
+    found = links.join(per_class, "train_class").groupBy("eval_class").agg(F.sum("n").alias("n_pairs"))
+    # passages lie apart, so the merged intervals of a record are its distinct matched passages
+    r = F.floor(F.floor(F.col("len") * 8 / 7) / 8) + 1
+    size = F.greatest(F.lit(1), F.least(F.lit(GRAM), F.floor(F.col("len") / r)))
+    spots = links.select("eval_class", "len", F.explode("spots").alias("at")).distinct()
+    covered = spots.groupBy("eval_class").agg((F.count(F.lit(1)) * F.first(size) / F.first("len")).alias("coverage"))
+    found = found.join(covered, "eval_class")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(split_col).alias("split"), F.col(source_col).alias("source_name"))
     x = rows.join(ev, "id").join(found.withColumnRenamed("eval_class", "cls"), "cls", "left")
     return x.groupBy("split", "source_name").agg(

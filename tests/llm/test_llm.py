@@ -150,7 +150,11 @@ def test_edit_distance():
         assert split_overlap.edit_distance(a, b, 20) == d and (split_overlap.edit_distance(a, b, 3) <= 3) == (d <= 3)
 
 
-def test_overlaps_equal_brute_force(spark):
+@pytest.mark.parametrize("letters", [8_000_000, 90])
+def test_overlaps_equal_brute_force(spark, monkeypatch, letters):
+    """Also in shards of 90 letters, more than 20 of them."""
+    monkeypatch.setattr(split_overlap, "SHARD_LETTERS", letters)
+    monkeypatch.setattr(split_overlap, "TASK_LETTERS", 50 * letters)
     rng = random.Random(7)
     base = ["".join(rng.choice("abcde 1") for _ in range(rng.choice([1, 3, 7, 8, 9, 24, 60, 150]))) for _ in range(30)]
 
@@ -180,6 +184,8 @@ def test_overlaps_with_long_training_text(spark):
     long = "".join(rng.choice("abcdefgh") for _ in range(40_000)) + "".join(short)
     shard = split_overlap.PassageShard([1, 2, 3], short)
     assert [m[:2] for m in shard.scan([short[0], long, short[2][1:], long[-2000:]])] == [(1, 0), (3, 2)]
+    assert shard.scan([short[0]])[0][2] == [k * 40 // 6 for k in range(6)] and split_overlap.passage_size(40) == 6
+    assert split_overlap.shard_edges({5: 10, 6: 12, 9: 200}, 30) == [(5, 6, 1), (9, 9, 7)]
     df = spark.createDataFrame([*((k, "test", t) for k, t in enumerate(short)), (10, "train", long), (11, "train", short[1] + "x"), (12, "train", long[5:])], "row_id long, split string, source string")
     found = split_overlap.overlaps(df, "row_id", "split", "source", F.col("split") == "train", F.col("split") == "test")
     assert [tuple(r) for r in split_overlap.overlap_pairs(*found).collect()] == [(1, 11)]
