@@ -252,9 +252,7 @@ def test_components_empty(spark):
 SRC = "The queue drops old rows at night. Never touch src/a_b.py without a warning. Why does Kovi report 12 failures when the cache is full? Done: the scorer now keeps the base image."
 
 
-@pytest.mark.parametrize(
-    ("target", "want"),
-    [
+CASES = [
         (None, "empty"), ("", "empty"), ("  \n", "empty"), ("N/A", "empty"), ("(no answer)", "empty"), ("​", "empty"), ("...", "empty"), ("[]", "empty"),
         ("I'm sorry, but I can't help with that request.", "refusal"), ("Desculpe, mas não posso ajudar com esse pedido.", "refusal"), ('You wrote: "The queue drops old rows at night." Sorry, this is something I won\'t do.', "refusal"),
         ("Lo siento, no puedo ayudar con esa solicitud.", "refusal"), ("申し訳ありませんが、お手伝いできません。", "refusal"), (SRC, "copied"), (SRC.upper(), "copied"),
@@ -262,10 +260,27 @@ SRC = "The queue drops old rows at night. Never touch src/a_b.py without a warni
         ("The queue drops old rows at night. Never touch src/a_b.py wit", "truncated"), ("The queue drops old rows at night. Never touch…", "truncated"), ("- The queue drops old rows at night\n- Never touch src/a_b", "truncated"),
         ("The queue drops old rows at night. Never touch src/a_b.py without a warning", None), ("Never touch src/a_b.py without a warning.", None), ("- The queue drops old rows at night\n- Never touch src/a_b.py without a warning", None),
         ("the queue drops\nold rows at night.", None),
-    ],
-)
-def test_defects(target, want):
-    assert pair_defects.defect(SRC, target) == want
+        ("Never touch src/a_b.py without a warning. Why does Kovi report `", "truncated"), ("Never touch src/a_b.py without a warning. Why does Kovi —", "truncated"),
+]
+
+
+def test_defects(spark):
+    rows = [(k, SRC, t) for k, (t, _) in enumerate(CASES)]
+    # the shortened sentence is no sentence of this row's own source
+    rows.append((999, "Something else is here. And it goes on.", "The queue drops old"))
+    df = spark.createDataFrame(rows, "ex_id long, source string, target string").repartition(3)
+    got = {r[0]: r[1] for r in pair_defects.pair_defects(df, "ex_id", "source", "target").collect()}
+    assert got == {k: d for k, (_, d) in enumerate(CASES) if d}
+
+
+def test_letter_models_tell_unlisted_languages(spark):
+    rng = random.Random(25)
+    said = ["the worker keeps its cache", "all rows were copied to the disk", "nobody has changed this file", "the tests passed again", "we must restart the server before noon", "it writes a short report for the team"]
+    sources = [". ".join(rng.sample(said, 4)) + f" {rng.random()}." for _ in range(60)]
+    models = pair_defects.letter_models(spark.createDataFrame([(t,) for t in sources], "s string"), "s")
+    assert list(models) == ["en"]
+    for target, want in (("Kolejka zapisuje ponownie wszystkie wiersze przed restartem", "wrong_language"), ("Sunucu bütün satırları yeniden kopyaladı", "wrong_language"), ("a report for the team was copied by the worker", None)):
+        assert pair_defects.defect(sources[0], target, models) == want
 
 
 def test_defect_frame(spark):
@@ -288,7 +303,7 @@ def test_shortened_and_spikes(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert got == {i for i, t in enumerate(many) if any(u != t and u.startswith(t) for u in many)}
-    cut = spark.createDataFrame([("x" * 40,)] * 30 + [("y" * k,) for k in range(30, 50)], "t string")
+    cut = spark.createDataFrame([("x " * 19 + "xx",)] * 30 + [("y " * (k // 2) + "y" * (k % 2),) for k in range(30, 50)], "t string")
     assert [r["n_chars"] for r in pair_defects.length_spikes(cut, "t").collect()] == [40]
 
 
