@@ -226,5 +226,64 @@ select 'policy-' || language || '-' || i as id, language, (13 + i % 5)::int as n
   (list_sum(list_transform(keep, lambda x: length(x))) - length(keep[4]) + length(command) + (3 + i % 5) * length(noise) + length(keep[6]) + 12 + i % 5)::int as n_chars from k"""
 
 
+ORACLES["ledger_sessions"] = """with e as (select session, to_timestamp(ts) as t0, coalesce(in_chars, 0) as c from ledger where ts is not null and session is not null),
+m as (select *, case when t0 <= (lag(t0) over w) + to_minutes(30) then 0 else 1 end as fresh from e window w as (partition by session order by t0)),
+n as (select *, sum(fresh) over (partition by session order by t0 rows unbounded preceding) as k from m)
+select min(t0) as start, max(t0) + to_minutes(30) as "end", session, count(*) as requests, sum(c)::bigint as in_chars from n group by session, k"""
+
+_WS = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"  # white space of all scripts
+ORACLES["collapse_spaces"] = f"""with l as (select doc_id, text, string_split_regex({_UNI}, '{BREAKS}') as l from documents),
+b as (select doc_id, text, list_transform(l, lambda x: {{'x': x, 'b': regexp_replace(x, '^{_WS}+', '')}}) as l from l),
+t as (select doc_id, text, list_transform(l, lambda r: regexp_replace(case when r.b = '' then '' else left(r.x, length(r.x) - length(r.b)) end || regexp_replace(r.b, '{_WS}{{2,}}', ' ', 'g'), '[ \\t]+$', '')) as l from b)
+select doc_id, case when text = '' then '' else regexp_replace(array_to_string(l, {NL}), '\\n{{3,}}', {NL} || {NL}, 'g') end as out from t"""
+ORACLES["cleanup_text"] = f"""with a as (select doc_id, string_split(regexp_replace(text, '(?m)^[ \\t]*$', '', 'g'), {NL}) as l from documents),
+b as (select doc_id, regexp_replace(array_to_string(list_transform(l, lambda x: regexp_extract(x, '^([ \\t]*)', 1) || regexp_replace(regexp_replace(regexp_replace(x, '^[ \\t]*', ''), '[ \\t]+', ' ', 'g'), '{_WS}+$', '')), {NL}), '\\n{{3,}}', {NL} || {NL}, 'g') as t from a),
+c as (select doc_id, regexp_replace(regexp_replace(t, '[ \\t]+([,;:!?])', '\\1', 'g'), '[ \\t]+\\.([^A-Za-z_]|$)', '.\\1', 'g') as t from b),
+d as (select doc_id, regexp_replace(regexp_replace(t, '([,;])(?:{_WS}*[,;])+', '\\1', 'g'), '(\\A|\\n){_WS}*[,;:]{_WS}*', '\\1', 'g') as t from c)
+select doc_id, regexp_replace(t, '\\A{_WS}+|{_WS}+\\z', '', 'g') as out from d"""
+
+ORACLES["source_chunks"] = r"""with recursive c as (
+  select doc_id, 0 as k, text as rest from documents where text <> ''
+  union all select doc_id, k + 1, substr(rest, cut + 1) from (select *, case when length(rest) <= 1000 then length(rest) when size > 0 then 700 + size else 1000 end as cut from (
+    select *, 300 - length(regexp_extract(substr(rest, 701, 300), '[^\n ]*$')) as size from c)) where cut < length(rest))
+select doc_id, k::int as k, case when length(rest) <= 1000 then length(rest) when size > 0 then 700 + size else 1000 end::int as n_chars
+from (select *, 300 - length(regexp_extract(substr(rest, 701, 300), '[^\n ]*$')) as size from c)"""
+
+# the checks one by one, over unnested rows
+ORACLES["supervision_errors"] = r"""with m as (select * from msc where coalesce(source, '') <> ''),
+u0 as (select row_id, source, unnest(units) as u, generate_subscripts(units, 1) as i from m),
+u1 as (select row_id, i, u.id as id, coalesce(u.protected, false) as fixed, coalesce(u.id is not null and u.start_off is not null and u.end_off is not null and u.text is not null
+    and u.role in ('core', 'action', 'constraint', 'evidence', 'mechanism', 'identifier', 'detail', 'noise'), false) as whole,
+  coalesce(u.start_off >= 0 and u.start_off < u.end_off and substr(source, u.start_off + 1, u.end_off - u.start_off) = u.text, false) as quoted from u0),
+u2 as (select *, coalesce(bool_or(whole and quoted) over (partition by row_id, id order by i rows between unbounded preceding and 1 preceding), false) as again from u1),
+known as (select row_id, id, fixed from u2 where whole and quoted and not again),
+chosen as (select distinct row_id, t as id from (select row_id, unnest(target_unit_ids) as t from m) where t is not null),
+f0 as (select row_id, unnest(facts) as f, generate_subscripts(facts, 1) as i from m),
+f1 as (select row_id, i, f.id as id, coalesce(f.central, false) as central, coalesce(f.central, false) or coalesce(f.required, false) as needed, f.evidence_unit_ids as ev,
+  coalesce(f.id is not null and f.claim is not null and f.evidence_unit_ids is not null, false) as whole, coalesce(regexp_matches(f.claim, '[^\s]'), false) and len(f.evidence_unit_ids) > 0 as grounded from f0),
+e1 as (select distinct row_id, i, unnest(ev) as id from f1),
+f2 as (select f1.*, coalesce(e.lost, 0) as lost, coalesce(e.hit, 0) as hit from f1 left join (
+  select row_id, i, count(*) filter (known.id is null) as lost, count(*) filter (chosen.id is not null) as hit from e1 left join known using (row_id, id) left join chosen using (row_id, id) group by all) e using (row_id, i)),
+f3 as (select *, whole and grounded and len(ev) <= 8 and lost = 0 as sound from f2),
+f4 as (select *, coalesce(bool_or(sound) over (partition by row_id, id order by i rows between unbounded preceding and 1 preceding), false) as again from f3),
+proven as (select * from f4 where sound and not again),
+used as (select distinct p.row_id, e1.id from proven p join e1 using (row_id, i)),
+q0 as (select row_id, unnest(verification_questions) as q, generate_subscripts(verification_questions, 1) as k from m),
+q1 as (select row_id, k, q.question as question, coalesce(regexp_matches(q.question, '[^\s]'), false) and coalesce(len(q.answer_fact_ids), 0) > 0 as whole, q.answer_fact_ids as a from q0),
+q2 as (select row_id, k, list(distinct a.id order by a.id) filter (p.id is null) as lost, bool_or(p.hit = 0) as bare from (select distinct row_id, k, unnest(a) as id from q1) a left join proven p using (row_id, id) group by all),
+l as (select row_id, list(id order by id) as ids, 'unknown_target_units:' as code from chosen anti join known using (row_id, id) group by row_id
+  union all select row_id, list(id order by id), 'missing_protected_units:' from (select * from known where fixed) anti join chosen using (row_id, id) group by row_id
+  union all select row_id, list(id order by id), 'selected_without_fact:' from (select * from chosen anti join used using (row_id, id)) anti join (select * from known where fixed) using (row_id, id) group by row_id)
+select row_id, 'source_missing' as error from msc where coalesce(source, '') = ''
+union all select row_id, 'central_message_missing' from m where not coalesce(regexp_matches(central_message, '[^\s]'), false)
+union all select row_id, case when not whole then 'invalid_unit' when again then 'duplicate_unit:' || id else 'unit_evidence_mismatch:' || id end from u2 where not whole or again or not quoted
+union all select row_id, code || '[' || chr(39) || array_to_string(ids, chr(39) || ', ' || chr(39)) || chr(39) || ']' from l
+union all select row_id, case when not whole then 'invalid_fact' when not grounded then 'ungrounded_fact:' || id when len(ev) > 8 then 'fact_evidence_not_atomic:' || id when lost > 0 then 'unknown_fact_evidence:' || id
+  when again then 'duplicate_fact:' || id else 'required_fact_not_selected:' || id end from f4 where not sound or again or (needed and hit = 0)
+union all select row_id, 'central_fact_missing' from m where row_id not in (select row_id from proven where central)
+union all select q1.row_id, case when not whole then 'invalid_verification_question' when len(lost) > 0 then 'unknown_question_facts:[' || chr(39) || array_to_string(lost, chr(39) || ', ' || chr(39)) || chr(39) || ']'
+  else 'unanswerable_verification_question:' || trim(question) end from q1 left join q2 using (row_id, k) where not whole or len(lost) > 0 or bare"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: v for k, v in ORACLES.items() if v}
