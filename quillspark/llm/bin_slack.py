@@ -129,3 +129,16 @@ def fill_report(packed: DataFrame, windows: DataFrame) -> DataFrame:
     per = packed.groupBy("window_name", "bin").agg(F.sum("tokens").alias("t")).groupBy("window_name").agg(F.count(F.lit(1)).alias("n_bins"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"))
     x = per.join(F.broadcast(w), "window_name")
     return x.select("window_name", "capacity_tokens", "n_bins", "tokens", "fullest", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_bins"), F.round(F.col("tokens") / (F.col("n_bins") * F.col("capacity_tokens")), 6).alias("filled"))
+
+
+def violations(packed: DataFrame, windows: DataFrame) -> DataFrame:
+    """Per window: items placed, containers over capacity, items cut that would fit, items whose pieces do not follow one another."""
+    w = windows.where("capacity_tokens > 0").select("window_name", "capacity_tokens").distinct()
+    full = packed.groupBy("window_name", "bin").agg(F.sum("tokens").alias("t")).join(F.broadcast(w), "window_name").groupBy("window_name").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("n_overfull"))
+    items = packed.groupBy("window_name", "id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.max("start_token").alias("last"), F.max_by("tokens", "start_token").alias("rest")).join(F.broadcast(w), "window_name")
+    per = items.groupBy("window_name").agg(
+        F.count(F.lit(1)).alias("n_placed"), F.count_if((F.col("n") > 1) & (F.col("t") <= F.col("capacity_tokens"))).alias("n_needless_cuts"),
+        F.count_if((F.col("last") + F.col("rest") != F.col("t")) | (F.col("n") != F.ceil(F.col("t") / F.col("capacity_tokens")))).alias("n_gaps"),
+    )
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    return w.join(per, "window_name", "left").join(full, "window_name", "left").select("window_name", zero("n_placed"), zero("n_overfull"), zero("n_needless_cuts"), zero("n_gaps"))

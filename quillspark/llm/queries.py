@@ -89,6 +89,11 @@ def p5_token_budget(spark: SparkSession, sf: str, tokenizers: str = TOKENIZERS)
     return token_budget.budget(*_token_counts(spark, sf, tokenizers))
 
 
+def p5_usable(spark: SparkSession, sf: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Records and usable records per slice, the part of the budget that needs no tokenizer to check."""
+    return p5_token_budget(spark, sf, tokenizers).select("corpus", "language", "domain", "n_records", "n_usable")
+
+
 def p5_calibration(spark: SparkSession, sf: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     msc = table(spark, sf, "msc").select("source", "language")
     return token_budget.calibration(msc, "source", token_budget.clean_language(F.col("language")), os.path.join(tokenizers, "piece_bpe_32k.model"))
@@ -114,6 +119,11 @@ def p6_fill_report(spark: SparkSession, sf: str, tokenizers: str = TOKENIZERS) -
     return bin_slack.fill_report(_packed(spark, sf, tokenizers), table(spark, sf, "context_windows"))
 
 
+def p6_check(spark: SparkSession, sf: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Per window: the texts that were placed, containers over capacity, texts cut though they would fit and gaps between pieces."""
+    return bin_slack.violations(_packed(spark, sf, tokenizers), table(spark, sf, "context_windows"))
+
+
 def _mixed(spark: SparkSession, sf: str, tokenizers: str) -> tuple[DataFrame, DataFrame]:
     docs = spread_out(table(spark, sf, "documents").select("doc_id", "source", "text"))
     targets = table(spark, sf, "mix_targets")
@@ -129,6 +139,12 @@ def p7_shares(spark: SparkSession, sf: str, tokenizers: str = TOKENIZERS) -> Dat
     return _mixed(spark, sf, tokenizers)[1]
 
 
+def p7_check(spark: SparkSession, sf: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Per wanted source: chosen rows of another source, rows repeated too often, texts chosen in two rows."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", F.sha2("text", 256).alias("digest"))
+    return source_mix.violations(p7_mix(spark, sf, tokenizers), docs, table(spark, sf, "mix_targets"), "doc_id")
+
+
 def _scores(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
     return docs, content_scores.content_scores(docs, table(spark, sf, "watch_terms"), "doc_id", "text")
@@ -161,16 +177,48 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_length_spikes": p4_length_spikes,
         "p5_record_tokens": p5_record_tokens,
         "p5_token_budget": p5_token_budget,
+        "p5_usable": p5_usable,
         "p5_calibration": p5_calibration,
         "p6_pack": p6_pack,
         "p6_fill_report": p6_fill_report,
+        "p6_check": p6_check,
         "p7_mix": p7_mix,
         "p7_shares": p7_shares,
+        "p7_check": p7_check,
         "p8_found": p8_found,
         "p8_scores": p8_scores,
         "p8_source_rates": p8_source_rates,
     }
 
 
+# letters of full width, by their fixed distance from the plain ones
+_WIDE, _PLAIN = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+_FOLD = f"regexp_replace(strip_accents(replace(lower(translate(source, '{_WIDE}', '{_PLAIN}')), 'ß', 'ss')), '[\\p{{Cf}}\\p{{Mn}}]', '', 'g')"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": f"""with recursive w as (select ex_id, batch_no, unnest(regexp_extract_all({_FOLD}, '[\\p{{L}}\\p{{N}}]+')) as x from examples where source is not null),
+e as (select ex_id, batch_no, x, row_number() over (partition by ex_id, x) as k, count(*) over (partition by ex_id) as n from w),
+p as (select a.ex_id as a, b.ex_id as b, b.batch_no as t from e a join e b on a.x = b.x and a.k = b.k and (a.batch_no, a.ex_id) < (b.batch_no, b.ex_id) and a.n * 8 >= b.n * 7 and b.n * 8 >= a.n * 7
+  group by a.ex_id, b.ex_id, b.batch_no, a.n, b.n having count(*) * 8 >= 7 * greatest(a.n, b.n)),
+o as (select b, list(a) as near, row_number() over (order by t, b) as k from p group by b, t),
+s as (select 0::bigint as k, []::bigint[] as gone union all select o.k, case when len(list_filter(o.near, lambda x: not list_contains(s.gone, x))) > 0 then list_append(s.gone, o.b) else s.gone end from s join o on o.k = s.k + 1),
+g as (select unnest(gone) as id from s where k = (select max(k) from s))
+select min(a) as kept_ex_id, b as dup_ex_id from p where b in (from g) and a not in (from g) group by b""",
+        "p2_found": f"""with t as (select row_id, split, regexp_replace({_FOLD}, '[^\\p{{L}}\\p{{N}}]', '', 'g') as x from msc where source is not null and split in ('train', 'validation', 'test')),
+e as (select distinct x from t where split <> 'train' and x <> ''), r as (select distinct x from t where split = 'train' and x <> ''),
+l as (select e.x as a, r.x as b from e join r on abs(length(e.x) - length(r.x)) <= greatest(length(e.x), length(r.x)) // 8
+  where case when e.x = r.x then true else levenshtein(e.x, r.x) <= greatest(length(e.x), length(r.x)) // 8 end)
+select least(v.row_id, w.row_id) as row_id_a, greatest(v.row_id, w.row_id) as row_id_b from l join t v on v.x = l.a and v.split <> 'train' join t w on w.x = l.b and w.split = 'train'""",
+        "p4_shortened": """with t as (select ex_id, regexp_replace(lower(trim(regexp_replace(target, '\\s+', ' ', 'g'))), '[.…\\s]+$', '') as x from examples where target is not null),
+o as (select x, lead(x) over (order by x) as y, lead(i) over (order by x) as i from (select x, min(ex_id) as i from t where x <> '' group by x))
+select t.ex_id, o.i as full_ex_id from t join o on t.x = o.x and starts_with(o.y, o.x)""",
+        "p5_usable": """with m as (select row_id, source, loaded_at, coalesce(nullif(trim(corpus), ''), 'unknown') as corpus, coalesce(nullif(trim(domain), ''), 'unknown') as domain,
+  regexp_extract(lower(trim(language)), '^([a-z]*)', 1) as l from msc),
+c as (select *, case l when 'eng' then 'en' when 'por' then 'pt' when 'spa' then 'es' when 'deu' then 'de' when 'jp' then 'ja' when 'cn' then 'zh' when 'und' then 'unknown' when '' then 'unknown' else coalesce(l, 'unknown') end as language from m),
+r as (select *, regexp_matches(source, '[^\\s]') and row_number() over (partition by regexp_matches(source, '[^\\s]'), trim(source) order by coalesce(loaded_at, timestamptz '9999-01-01'), row_id) = 1 as usable from c)
+select corpus, language, domain, count(*) as n_records, count(*) filter (usable) as n_usable from r group by all""",
+        "p6_check": "select window_name, (select count(*) from documents where regexp_matches(text, '[^\\s]')) as n_placed, 0::bigint as n_overfull, 0::bigint as n_needless_cuts, 0::bigint as n_gaps from context_windows",
+        "p7_check": "select distinct source, 0::bigint as n_wrong_source, 0::bigint as n_too_often, 0::bigint as n_same_text from mix_targets",
+    }

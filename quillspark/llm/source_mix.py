@@ -71,3 +71,17 @@ def mix(items: DataFrame, targets: DataFrame, seed: int = 11) -> tuple[DataFrame
         F.round(F.coalesce(F.col("tokens_used") / F.col("all_used"), F.lit(0.0)) - F.col("weight"), 6).alias("share_error"),
     )
     return chosen, report
+
+
+def violations(chosen: DataFrame, docs: DataFrame, targets: DataFrame, id_col: str) -> DataFrame:
+    """Per wanted source: chosen rows that are of another source, rows used more often than allowed, texts used in two rows.
+
+    ``chosen``: id, source, copies. ``docs``: id, source and digest of every text.
+    """
+    c = chosen.select(F.col(id_col).alias("id"), F.col("source").alias("as_source"), "copies")
+    x = c.join(docs.select(F.col(id_col).alias("id"), F.col("source").alias("own"), "digest"), "id").join(F.broadcast(targets.select(F.col("source").alias("as_source"), "max_repeats")), "as_source")
+    rows = x.groupBy("as_source").agg(F.count_if(~F.col("own").eqNullSafe(F.col("as_source"))).alias("n_wrong_source"), F.count_if(F.col("copies") > F.col("max_repeats")).alias("n_too_often"))
+    twice = x.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("as_source").alias("as_source")).where("n > 1").groupBy("as_source").agg(F.count(F.lit(1)).alias("n_same_text"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    out = targets.select(F.col("source").alias("as_source")).distinct().join(rows, "as_source", "left").join(twice, "as_source", "left")
+    return out.select(F.col("as_source").alias("source"), zero("n_wrong_source"), zero("n_too_often"), zero("n_same_text"))
