@@ -52,6 +52,7 @@ DEPTH, GROUP_DEPTH, LEAF_SAMPLE = 9, 4, 8
 REFIT = 16
 BLOCK, PART = 16_384, 8_192
 FEW = 500_000
+SETTLED_AT_ONCE = 1_000_000
 _MASK = (1 << 63) - 1
 
 VECTOR = "id long, n int, sig string, near_a long, near_b long, leaf int, grp int, ring int, vec array<bigint>"
@@ -373,6 +374,21 @@ def rerank(probed: DataFrame, n_probes: int | None, stored: DataFrame, queries:
     return x.where(overlap * NEED_DEN >= F.greatest("n", "q_n") * NEED_NUM).select(F.col("id").alias("id_a"), F.col("q").alias("id_b")).distinct()
 
 
+def _settled(batches):
+    """(kept, dup) from pairs in order of id_b, id_a: the fate of id_a, the smaller one, is known when a pair comes."""
+    gone: set[int] = set()
+    last = None
+    for pdf in batches:
+        kept, dup = [], []
+        for a, b in zip(pdf["id_a"].tolist(), pdf["id_b"].tolist()):
+            if b != last and a not in gone:
+                kept.append(a)
+                dup.append(b)
+                gone.add(b)
+                last = b
+        yield pd.DataFrame({"kept": pd.Series(kept, dtype="int64"), "dup": pd.Series(dup, dtype="int64")})
+
+
 class HistoryIndex:
     """The persisted cells, directory and centres of all accepted rows.
 
@@ -519,7 +535,15 @@ class HistoryIndex:
         return none if fate is None else fate
 
     def _settle(self, edges: DataFrame, scratch: Scratch) -> DataFrame | None:
-        """Accept in order of id: a row is turned away if an accepted earlier row is near it, for the smallest such row."""
+        """Accept in order of id: a row is turned away if an accepted earlier row is near it, for the smallest such row.
+
+        Up to ``SETTLED_AT_ONCE`` pairs, counted, go through one sorted pass; more are settled in rounds of joins.
+        """
+        n = edges.count()
+        if not n:
+            return None
+        if n <= SETTLED_AT_ONCE:
+            return scratch.keep(edges.repartition(1).sortWithinPartitions("id_b", "id_a").mapInPandas(_settled, "kept long, dup long"), "settled")
         struck = None
         while True:
             open_edges = edges

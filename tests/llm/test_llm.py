@@ -63,6 +63,7 @@ def test_history_dedup_in_blocks_by_shuffle_with_new_centres(spark, monkeypatch)
     monkeypatch.setattr(history_dedup, "BLOCK", 8)
     monkeypatch.setattr(history_dedup, "PART", 20)
     monkeypatch.setattr(history_dedup, "FEW", 0)
+    monkeypatch.setattr(history_dedup, "SETTLED_AT_ONCE", 0)
     monkeypatch.setattr(history_dedup, "REFIT", 2)
     monkeypatch.setattr(history_dedup, "SAMPLE", 16)
     rows = dealt(random.Random(14))
@@ -117,7 +118,9 @@ def test_history_dedup_bounds_never_exclude_a_match():
     assert (again.place(history_dedup.sketches(sets))[1] == grp).all()
 
 
-def test_history_dedup_names_the_smallest_accepted_row(spark):
+@pytest.mark.parametrize("at_once", [0, 10])
+def test_history_dedup_names_the_smallest_accepted_row(spark, monkeypatch, at_once):
+    monkeypatch.setattr(history_dedup, "SETTLED_AT_ONCE", at_once)
     index = history_dedup.HistoryIndex(spark)
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 6), (5, 6)], "id_a long, id_b long")
     with Scratch(spark) as scratch:
