@@ -313,7 +313,9 @@ def probes(queries: DataFrame, n_queries: int, directory: DataFrame, trees, top_
 
     Queries and directory meet in blocks: of cells by number, of queries by hash. ``trees``: the broadcast centres by generation.
     """
-    blocks, salts = max(1, -(-top_cell // BLOCK)), max(1, -(-n_queries // PART))
+    blocks = max(1, -(-top_cell // BLOCK))
+    # small batches are divided over the cores too
+    salts = max(1, -(-n_queries // PART), min(queries.sparkSession.sparkContext.defaultParallelism, -(-n_queries // 512)))
     spread = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
     d = directory.withColumn("block", F.floor(F.col("cell") / BLOCK).cast("int"))
     if blocks > 1:
@@ -398,7 +400,7 @@ class HistoryIndex:
     history before most of its rows arrive and is never compared pairwise.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, first: int = 4096, growth: int = 8, cell_rows: int = 16, cells_per_file: int = 1024):
+    def __init__(self, spark: SparkSession, path: str | None = None, first: int = 4096, growth: int = 8, cell_rows: int = 8, cells_per_file: int = 2048):
         self.spark = spark
         self.path = path or fresh_path(spark, "history")
         self.first, self.growth = first, growth
