@@ -11,6 +11,7 @@ import unicodedata
 
 _WORD = re.compile(r"[^\W_]+")
 _REST = re.compile(r"[\W_]+")
+_ASCII_SPACED = bytes(c if chr(c).isalnum() else 32 for c in range(128)) + bytes(128)
 _ASCII_REST = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
@@ -19,12 +20,19 @@ def fold(text: str) -> str:
         return text.lower()
     out = unicodedata.normalize("NFKD", text.casefold())
     if not out.isascii():
-        out = "".join(c for c in out if unicodedata.category(c) not in ("Mn", "Cf"))
+        for c in set(out):
+            if c > "\x7f" and unicodedata.category(c) in ("Mn", "Cf"):
+                out = out.replace(c, "")
     return out.casefold()
 
 
 def fold_words(text: str | None) -> list[str]:
-    return _WORD.findall(fold(text)) if text else []
+    if not text:
+        return []
+    text = fold(text)
+    if text.isascii():
+        return text.encode().translate(_ASCII_SPACED).decode().split()
+    return _WORD.findall(text)
 
 
 def fold_letters(text: str | None) -> str:

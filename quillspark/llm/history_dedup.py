@@ -26,6 +26,13 @@ queries, and a query is sent only to blocks with a group within its reach.
 
 Two texts say the same if ``overlap * 8 >= 7 * max(words)``, words counted with repeats.
 
+Deliveries that all lie in one table, with ids that rise from batch to batch, need no index:
+``deduplicate_in_order`` takes them in one pass. The coordinates of each vector are put in order of
+how many rows hold them, rarest first, counted over all rows. Of a vector of n coordinates a match
+lacks n // 8 at most, so the k-th coordinate the two share is among the first n // 8 + k of both. The first one is
+their signature; one that more than ``LIGHT`` rows are expected to hold is drawn out by the
+second, then the third shared coordinate. Vectors that share no signature cannot match; of those that do, full vectors decide.
+
 Defined cases: null, blank or word-less texts are accepted and never matched; ids are taken to be
 unique, of a repeated id within a batch one text is compared; ties go to the smallest
 accepted (batch, id); an empty batch changes nothing; extra columns are ignored.
@@ -34,6 +41,7 @@ accepted (batch, id); an empty batch changes nothing; extra columns are ignored.
 from __future__ import annotations
 
 import io
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,6 +50,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.folding import fold_words
+from quillspark.operators.spread import spread_out
 from quillspark.session import Scratch, delete_path, fresh_path, path_exists
 
 NEED_NUM, NEED_DEN = 7, 8
@@ -53,46 +62,62 @@ REFIT = 16
 BLOCK, PART = 16_384, 8_192
 FEW = 500_000
 SETTLED_AT_ONCE = 1_000_000
+LIGHT, DEEP, LONG, KNOWN = 400, 3, 512, 1_000_000
 _MASK = (1 << 63) - 1
+_STEP = 0x9E3779B97F4A7C15
 
 VECTOR = "id long, n int, sig string, near_a long, near_b long, leaf int, grp int, ring int, vec array<bigint>"
 
 DIRECTORY = "cell long, gen int, grp int, held long, n_lo int, n_hi int, ring_lo int, ring_hi int, box binary"
 
 
-def _elements(text: str | None, memo: dict[str, int]) -> list[int]:
-    """Distinct hashes of (word, occurrence): their set overlap is the overlap of the counts."""
-    seen: dict[str, int] = {}
-    out = []
-    for w in fold_words(text):
-        k = seen.get(w, 0)
-        seen[w] = k + 1
-        key = w if k == 0 else f"{w}\x00{k}"
-        h = memo.get(key)
-        if h is None:
-            if len(memo) > 500_000:
-                memo.clear()
-            h = memo[key] = xxhash.xxh64_intdigest(key) & _MASK
-        out.append(h)
-    return out
+class _Hashes(dict):
+    """The hash of each word, worked out once."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word) & _MASK
+        return h
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def coordinates(texts, memo: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of (word, occurrence) of all texts end to end, how many each has): set overlap is the overlap of the counts.
+
+    Within a text they stand in an order that depends on its counts only.
+    """
+    words = [fold_words(t) for t in texts]
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    base = np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(sizes.sum()))
+    owner = np.repeat(np.arange(len(words)), sizes)
+    ends = np.cumsum(sizes).tolist()
+    for a, b in zip([0, *ends], ends):
+        base[a:b].sort()
+    at = np.arange(len(base))
+    first = np.ones(len(base), dtype=bool)
+    first[1:] = (base[1:] != base[:-1]) | (owner[1:] != owner[:-1])
+    times = at - np.maximum.accumulate(np.where(first, at, 0))
+    again = _mixed(base.astype(np.uint64) + times.astype(np.uint64) * np.uint64(_STEP)) & np.uint64(_MASK)
+    return np.where(times == 0, base, again.astype(np.int64)), sizes
 
 
 def vectors(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, sig, vec): the count vector of each text as sorted element hashes; texts without words are left out."""
+    """(id, n, sig, vec): the count vector of each text as element hashes; texts without words are left out."""
 
     def run(batches):
-        memo: dict[str, int] = {}
+        memo = _Hashes()
         for pdf in batches:
-            ids, ns, sigs, vecs = [], [], [], []
-            for i, t in zip(pdf["id"], pdf["text"]):
-                v = sorted(_elements(t, memo))
-                if v:
-                    a = np.array(v, dtype=np.int64)
-                    ids.append(i)
-                    ns.append(len(v))
-                    sigs.append(xxhash.xxh128_hexdigest(a.tobytes()))
-                    vecs.append(a)
-            yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "n": pd.Series(ns, dtype="int32"), "sig": pd.Series(sigs, dtype="object"), "vec": pd.Series(vecs, dtype="object")})
+            flat, sizes = coordinates(pdf["text"], memo)
+            ends = np.cumsum(sizes).tolist()
+            vecs = [flat[a:b] for a, b in zip([0, *ends], ends) if a < b]
+            some = sizes > 0
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[some], "n": sizes[some].astype(np.int32), "sig": pd.Series([xxhash.xxh128_hexdigest(v) for v in vecs], dtype="object"), "vec": pd.Series(vecs, dtype="object")})
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     return src.mapInPandas(run, "id long, n int, sig string, vec array<bigint>")
@@ -122,6 +147,12 @@ def _nibbles(flat: np.ndarray, starts: np.ndarray, shift: int) -> np.ndarray:
     return (c << (np.uint64(4) * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).astype(np.int64)
 
 
+def _parities(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether each of 128 slots holds an odd number of coordinates, as two numbers of 64 bits: vectors differ in no fewer coordinates than these in bits."""
+    odd = (_folded((flat >> 24) & 127, starts, 128) & 1).astype(np.uint8)
+    return np.packbits(odd, axis=1).view(">u8").astype(np.uint64).astype(np.int64)
+
+
 def _distance(s: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.abs(s - centre).sum(axis=1)
 
@@ -358,16 +389,19 @@ def _short_distance(a: str, b: str) -> str:
     return " + ".join(f"abs(cast(shiftrightunsigned({a}, {4 * k}) & 15 as int) - cast(shiftrightunsigned({b}, {4 * k}) & 15 as int))" for k in range(16))
 
 
+_NEED = f"greatest(n, q_n) * {NEED_NUM}"
+# vectors near enough are at most this far apart, and their short forms no farther
+_REACH = f"n + q_n - 2 * ceil({_NEED} / {NEED_DEN})"
+_MAY_MATCH = f"least(n, q_n) * {NEED_DEN} >= {_NEED} and {_short_distance('near_a', 'q_near_a')} <= {_REACH} and {_short_distance('near_b', 'q_near_b')} <= {_REACH}"
+
+
 def rerank(probed: DataFrame, n_probes: int | None, stored: DataFrame, queries: DataFrame, ordered: bool) -> DataFrame:
     """(id_a, id_b) of stored vectors in probed cells that are near enough to the query by their full vectors.
 
     Up to ``FEW`` probes, if counted, are broadcast, so that stored vectors are read but not shuffled; others are joined as the optimizer sees fit.
     """
     p = F.broadcast(probed) if n_probes is not None and n_probes <= FEW else probed
-    need = f"greatest(n, q_n) * {NEED_NUM}"
-    # vectors near enough are at most this far apart, and their short forms no farther
-    reach = f"n + q_n - 2 * ceil({need} / {NEED_DEN})"
-    cond = f"least(n, q_n) * {NEED_DEN} >= {need} and {_short_distance('near_a', 'q_near_a')} <= {reach} and {_short_distance('near_b', 'q_near_b')} <= {reach}"
+    cond = _MAY_MATCH
     if ordered:
         cond = f"id < q and {cond}"
     x = stored.select("cell", "id", "n", "near_a", "near_b", "vec").join(p, "cell").where(cond).select("id", "n", "vec", "q", "q_n")
@@ -391,6 +425,177 @@ def _settled(batches):
         yield pd.DataFrame({"kept": pd.Series(kept, dtype="int64"), "dup": pd.Series(dup, dtype="int64")})
 
 
+def settle(edges: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Accept in order of id: a row is turned away if an accepted earlier row is near it, for the smallest such row.
+
+    Up to ``SETTLED_AT_ONCE`` pairs, counted, go through one sorted pass; more are settled in rounds of joins.
+    """
+    n = edges.count()
+    if not n:
+        return None
+    if n <= SETTLED_AT_ONCE:
+        return scratch.keep(edges.repartition(1).sortWithinPartitions("id_b", "id_a").mapInPandas(_settled, "kept long, dup long"), "settled")
+    struck = None
+    while True:
+        open_edges = edges
+        if struck is not None:  # pairs with a row already turned away say nothing more
+            open_edges = edges.join(struck, edges["id_a"] == struck["d"], "left_anti").join(struck, edges["id_b"] == struck["d"], "left_anti")
+        roots = open_edges.select(F.col("id_a").alias("r")).distinct().join(open_edges.select(F.col("id_b").alias("r")).distinct(), "r", "left_anti")
+        hit = scratch.keep(open_edges.join(roots, open_edges["id_a"] == roots["r"], "left_semi").select(F.col("id_b").alias("d")).distinct(), "struck")
+        if hit.isEmpty():
+            break
+        struck = hit if struck is None else struck.union(hit)
+    if struck is None:
+        return None
+    # a smaller neighbour may have been accepted in a later round than the one that struck the row
+    found = edges.join(struck, edges["id_b"] == struck["d"], "left_semi").join(struck, edges["id_a"] == struck["d"], "left_anti")
+    return scratch.keep(found.groupBy(F.col("id_b").alias("dup")).agg(F.min("id_a").alias("kept")).select("kept", "dup"), "settled")
+
+
+def slices(reps: DataFrame, total: int, first: int, growth: int):
+    """(rows, about how many, the id all earlier slices end with) in order of id, slices growing by ``growth``."""
+    if total <= first * growth:
+        yield reps, total, None
+        return
+    shares, at = [], first
+    while at * growth < total * 2:
+        shares.append(at / total)
+        at *= growth
+    cuts = reps.approxQuantile("id", shares, 0.0005)
+    edges = [None, *cuts, None]
+    for lo, hi, share in zip(edges, edges[1:], [*shares, 1.0]):
+        part = reps
+        if lo is not None:
+            part = part.where(F.col("id") > lo)
+        if hi is not None:
+            part = part.where(F.col("id") <= hi)
+        yield part, max(1, int(share * total)), lo
+
+
+class RareFirst:
+    """The order of coordinates, by how many of ``total`` vectors hold each. Those not listed are held by ``least`` or fewer."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, least: int, total: int):
+        by = np.argsort(keys)
+        self.keys, self.counts = np.append(keys[by], np.iinfo(np.int64).max), np.append(counts[by], 0).astype(np.float64)
+        self.least, self.total, self.light, self.long = float(least), float(total), LIGHT, LONG
+
+    @classmethod
+    def of(cls, vecs: DataFrame, total: int) -> RareFirst:
+        """Counted over all vectors; the ``KNOWN`` most frequent coordinates are listed, which only decides how much is compared."""
+
+        def run(batches):
+            for pdf in batches:
+                if len(pdf):
+                    x, c = np.unique(_flat(pdf["vec"])[0], return_counts=True)
+                    yield pd.DataFrame({"x": x, "c": c})
+
+        least = max(1, min(16, LIGHT // 8))
+        held = vecs.select("vec").mapInPandas(run, "x long, c long").groupBy("x").agg(F.sum("c").alias("c")).where(F.col("c") > least)
+        top = held.orderBy(F.col("c").desc(), "x").limit(KNOWN).toPandas()
+        return cls(top["x"].to_numpy(dtype=np.int64), top["c"].to_numpy(dtype=np.int64), int(top["c"].min()) if len(top) == KNOWN else least, total)
+
+    def signatures(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the vector, signature), in order of the vectors. Different vectors that match have at least one in common.
+
+        Vectors of fewer than 7 coordinates match no other. Those of more than ``LONG`` are not drawn out; the ones just below
+        are given both ways, as their matches may be longer.
+        """
+        sizes = np.diff(np.append(starts, len(flat)))
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.searchsorted(self.keys, flat)
+        c = np.where(self.keys[at] == flat, self.counts[at], self.least)
+        by = np.lexsort((flat, c, owner))
+        x, c = flat[by].astype(np.uint64), c[by]
+        n = sizes[owner]
+        reach = starts[owner] + n // NEED_DEN  # the last place of the first shared coordinate
+        one = np.nonzero((np.arange(len(x)) <= reach) & (n >= NEED_NUM))[0]
+        key = _mixed(x[one] + np.uint64(_STEP))
+        whole = n[one] * NEED_DEN > self.long * NEED_NUM
+        who, keys = [owner[one[whole]]], [_mixed(key[whole])]
+        drawn = n[one] <= self.long
+        last, key, few = one[drawn], key[drawn], c[one[drawn]]
+        for depth in range(1, DEEP + 1):
+            done = (few <= self.light) | (depth == DEEP)
+            who.append(owner[last[done]])
+            keys.append(key[done])
+            last, key, few = last[~done], key[~done], few[~done]
+            more = np.maximum(reach[last] + depth - last, 0)
+            upto = np.cumsum(more)
+            step = np.arange(int(more.sum())) - np.repeat(upto - more, more) + 1
+            last, key, few = np.repeat(last, more) + step, np.repeat(key, more), np.repeat(few, more)
+            key = _mixed(key + x[last] * np.uint64(_STEP))
+            few = few * c[last] / self.total
+        who, keys = np.concatenate(who), np.concatenate(keys)
+        by = np.argsort(who, kind="stable")
+        return who[by], keys[by].astype(np.int64)
+
+
+def signed(vecs: DataFrame, order) -> DataFrame:
+    """(id, n, odd_a, odd_b, keys): parities and signatures of vectors. ``order``: the broadcast order of coordinates."""
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            flat, starts = _flat(pdf["vec"])
+            who, key = order.value.signatures(flat, starts)
+            ends = np.searchsorted(who, np.arange(1, len(pdf) + 1)).tolist()
+            keys = pd.Series([key[a:b] for a, b in zip([0, *ends], ends)], dtype="object")
+            odd = _parities(flat, starts)
+            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "n": pdf["n"].to_numpy(), "odd_a": odd[:, 0], "odd_b": odd[:, 1], "keys": keys})
+
+    return vecs.select("id", "n", "vec").mapInPandas(run, "id long, n int, odd_a long, odd_b long, keys array<bigint>")
+
+
+def near_pairs(older: DataFrame, newer: DataFrame, vecs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id_a, id_b) of signed vectors of ``older`` and later ones of ``newer`` that say the same, by their full vectors."""
+    a = older.select("id", "n", "odd_a", "odd_b", F.explode("keys").alias("key"))
+    b = newer.select(F.col("id").alias("q"), F.col("n").alias("q_n"), F.col("odd_a").alias("q_odd_a"), F.col("odd_b").alias("q_odd_b"), F.explode("keys").alias("key"))
+    # every coordinate that only one of the two has turns one parity over
+    may = f"id < q and least(n, q_n) * {NEED_DEN} >= {_NEED} and bit_count(odd_a ^ q_odd_a) + bit_count(odd_b ^ q_odd_b) <= {_REACH}"
+    found = scratch.keep(a.join(b, "key").where(may).select(F.col("id").alias("id_a"), F.col("q").alias("id_b")).distinct(), "candidates")
+    p = F.broadcast(found) if found.count() <= FEW else found  # counted, as in rerank
+    x = p.join(vecs.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("vec").alias("vec_a")), "id_a")
+    y = p.join(vecs.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("vec").alias("vec_b")), "id_b")
+    overlap = F.size(F.array_intersect("vec_a", "vec_b"))
+    return x.join(y, ["id_a", "id_b"]).where(overlap * NEED_DEN >= F.greatest("n_a", "n_b") * NEED_NUM).select("id_a", "id_b")
+
+
+def deduplicate_in_order(df: DataFrame, id_col: str, text_col: str, first: int = 4096, growth: int = 8) -> DataFrame:
+    """(kept_id, dup_id) of all rows, taken in order of their ids, which are unique.
+
+    Rows are taken in slices that grow by ``growth``: those that repeat an accepted row of an earlier slice are put aside
+    before the rest is compared among itself, so a group of alike rows is not compared pairwise.
+    """
+    spark = df.sparkSession
+    with Scratch(spark) as scratch:
+        vecs = scratch.keep(vectors(spread_out(df.select(id_col, text_col)), id_col, text_col), "vectors")
+        reps = scratch.keep(vecs.groupBy("sig").agg(F.min("id").alias("rep")), "firsts")  # one vector per text; later copies follow its fate
+        order = spark.sparkContext.broadcast(RareFirst.of(vecs, vecs.count()))  # at most KNOWN coordinates and their counts
+        rows = scratch.keep(signed(vecs, order).join(reps.select(F.col("rep").alias("id")), "id", "left_semi"), "signed")
+        fate = None
+        for part, _, lo in slices(rows, rows.count(), first, growth):
+            if lo is not None:
+                accepted = rows.where(F.col("id") <= lo)
+                if fate is not None:
+                    accepted = accepted.join(fate.select(F.col("dup").alias("id")), "id", "left_anti")
+                old = near_pairs(accepted, part, vecs, scratch).groupBy(F.col("id_b").alias("dup")).agg(F.min("id_a").alias("kept")).select("kept", "dup")
+                old = scratch.keep(old, "old")
+                part = part.join(old.select(F.col("dup").alias("id")), "id", "left_anti")
+                fate = old if fate is None else fate.unionByName(old)
+            new = settle(scratch.keep(near_pairs(part, part, vecs, scratch), "edges"), scratch)
+            if new is not None:
+                fate = new if fate is None else fate.unionByName(new)
+        out = vecs.select("id", "sig").join(reps, "sig")
+        kept = F.col("rep")
+        if fate is not None:
+            out, kept = out.join(fate, out["rep"] == fate["dup"], "left"), F.coalesce("kept", "rep")
+        done = fresh_path(spark, "fates")
+        out.where(kept != F.col("id")).select(kept.alias("kept_id"), F.col("id").alias("dup_id")).write.parquet(done)
+        return spark.read.schema("kept_id long, dup_id long").parquet(done)
+
+
 class HistoryIndex:
     """The persisted cells, directory and centres of all accepted rows.
 
@@ -467,22 +672,8 @@ class HistoryIndex:
         return self.spark.sparkContext.broadcast(self.trees[len(self.trees) - 1])
 
     def _slices(self, reps: DataFrame, total: int):
-        if total <= self.first * self.growth:
-            yield reps, total
-            return
-        shares, at = [], self.first
-        while at * self.growth < total * 2:
-            shares.append(at / total)
-            at *= self.growth
-        cuts = reps.approxQuantile("id", shares, 0.0005)
-        edges = [None, *cuts, None]
-        for lo, hi, share in zip(edges, edges[1:], [*shares, 1.0]):
-            part = reps
-            if lo is not None:
-                part = part.where(F.col("id") > lo)
-            if hi is not None:
-                part = part.where(F.col("id") <= hi)
-            yield part, max(1, int(share * total))
+        for part, size, _ in slices(reps, total, self.first, self.growth):
+            yield part, size
 
     def _in_cells(self, rest: DataFrame) -> DataFrame:
         """``rest`` with its new cells: leaves of the tree, small neighbours in a group together, large ones divided by hash."""
@@ -537,39 +728,22 @@ class HistoryIndex:
         return none if fate is None else fate
 
     def _settle(self, edges: DataFrame, scratch: Scratch) -> DataFrame | None:
-        """Accept in order of id: a row is turned away if an accepted earlier row is near it, for the smallest such row.
-
-        Up to ``SETTLED_AT_ONCE`` pairs, counted, go through one sorted pass; more are settled in rounds of joins.
-        """
-        n = edges.count()
-        if not n:
-            return None
-        if n <= SETTLED_AT_ONCE:
-            return scratch.keep(edges.repartition(1).sortWithinPartitions("id_b", "id_a").mapInPandas(_settled, "kept long, dup long"), "settled")
-        struck = None
-        while True:
-            open_edges = edges
-            if struck is not None:  # pairs with a row already turned away say nothing more
-                open_edges = edges.join(struck, edges["id_a"] == struck["d"], "left_anti").join(struck, edges["id_b"] == struck["d"], "left_anti")
-            roots = open_edges.select(F.col("id_a").alias("r")).distinct().join(open_edges.select(F.col("id_b").alias("r")).distinct(), "r", "left_anti")
-            hit = scratch.keep(open_edges.join(roots, open_edges["id_a"] == roots["r"], "left_semi").select(F.col("id_b").alias("d")).distinct(), "struck")
-            if hit.isEmpty():
-                break
-            struck = hit if struck is None else struck.union(hit)
-        if struck is None:
-            return None
-        # a smaller neighbour may have been accepted in a later round than the one that struck the row
-        found = edges.join(struck, edges["id_b"] == struck["d"], "left_semi").join(struck, edges["id_a"] == struck["d"], "left_anti")
-        return scratch.keep(found.groupBy(F.col("id_b").alias("dup")).agg(F.min("id_a").alias("kept")).select("kept", "dup"), "settled")
+        return settle(edges, scratch)
 
     def drop(self) -> None:
         delete_path(self.spark, self.path)
 
 
 def deduplicate_batches(df: DataFrame, batch_col: str, id_col: str, text_col: str, index: HistoryIndex | None = None) -> DataFrame:
-    """(kept_id, dup_id) over all batches of ``df``, taken one after the other. An index that is not passed in is removed at the end."""
+    """(kept_id, dup_id) over all batches of ``df``, in their order.
+
+    Without an index, batches whose unique ids rise from batch to batch are taken in one pass; others go through an index one after the other,
+    which is removed at the end if it was not passed in.
+    """
     spark = df.sparkSession
     own = index is None
+    if own and _in_order(df, batch_col, id_col):
+        return deduplicate_in_order(df, id_col, text_col)
     index = index or HistoryIndex(spark)
     numbers = [r[0] for r in df.select(batch_col).distinct().orderBy(F.col(batch_col).asc_nulls_last()).collect()]  # one value per delivery
     found = None
@@ -580,3 +754,10 @@ def deduplicate_batches(df: DataFrame, batch_col: str, id_col: str, text_col: st
     if own:
         index.drop()
     return spark.createDataFrame([], "kept_id long, dup_id long") if found is None else found
+
+
+def _in_order(df: DataFrame, batch_col: str, id_col: str) -> bool:
+    """Whether every batch's ids are larger than those of the batches before it and no id is repeated."""
+    ids = df.select(F.col(batch_col).alias("b"), F.col(id_col).cast("long").alias("i")).where("i is not null")
+    spans = ids.groupBy("b").agg(F.min("i"), F.max("i")).orderBy(F.col("b").asc_nulls_last()).collect()  # one row per delivery
+    return all(x[2] < y[1] for x, y in zip(spans, spans[1:])) and ids.groupBy("i").count().where("count > 1").isEmpty()

@@ -127,6 +127,53 @@ def test_history_dedup_names_the_smallest_accepted_row(spark, monkeypatch, at_on
         assert {tuple(r) for r in index._settle(edges, scratch).collect()} == {(1, 2), (3, 6)}
 
 
+@pytest.mark.parametrize("light", [1, 400])
+def test_history_dedup_in_one_pass_equals_greedy(spark, monkeypatch, light):
+    """Batches in the order of their ids: jobs do not grow with the number of batches."""
+    monkeypatch.setattr(history_dedup, "LIGHT", light)
+    monkeypatch.setattr(history_dedup, "LONG", 20)
+    rows = [(i, i // 24, t) for i, _, t, _ in dealt(random.Random(21))]
+    df = spark.createDataFrame(rows, "ex_id long, batch_no int, source string")
+    want = greedy([(i, t) for i, _, t in rows])
+    assert {tuple(r) for r in history_dedup.deduplicate_in_order(df, "ex_id", "source", first=10, growth=3).collect()} == want
+    sc, jobs = spark.sparkContext, []
+    for per in (1, 5):
+        sc.setJobGroup(group := f"one-pass-{light}-{per}", group)
+        got = history_dedup.deduplicate_batches(df.withColumn("batch_no", F.floor(F.col("batch_no") / per)), "batch_no", "ex_id", "source")
+        assert {tuple(r) for r in got.collect()} == want
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(group)))
+    sc.setJobGroup("", "")
+    assert jobs[0] < jobs[1] + 10
+
+
+def test_history_dedup_batches_out_of_order(spark):
+    rng = random.Random(22)
+    base = [sentence(rng, 16) for _ in range(6)]
+    rows = [(i, (i * 7) % 3, shaken(rng, base[i % 6], 0.07)) for i in range(40)]
+    df = spark.createDataFrame(rows, "ex_id long, batch_no int, source string")
+    got = {r[1] for r in history_dedup.deduplicate_batches(df, "batch_no", "ex_id", "source").collect()}
+    assert got == {b for _, b in greedy([(i, t) for i, _, t in sorted(rows, key=lambda r: (r[1], r[0]))])}
+
+
+def test_signatures_never_miss_a_match():
+    rng = np.random.default_rng(23)
+    sets = [np.unique(rng.integers(0, 60 if k % 3 else 10**9, size=rng.integers(1, 120))) for k in range(300)]
+    sets += [np.unique(np.append(rng.permutation(v)[len(v) // 9 :], rng.integers(0, 10**9, size=len(v) // 20))) for v in sets]
+    flat, starts = history_dedup._flat(sets)
+    n = np.array([len(v) for v in sets])
+    order = history_dedup.RareFirst(*np.unique(flat, return_counts=True), 1, len(sets))
+    near = {(a, b) for a in range(len(sets)) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) * 8 >= 7 * max(n[a], n[b]) and not np.array_equal(sets[a], sets[b])}
+    assert len(near) > 200
+    odd = history_dedup._parities(flat, starts)
+    for order.light, order.long in ((2, 40), (20, 512), (400, 512)):
+        who, key = order.signatures(flat, starts)
+        own = [set(key[who == i].tolist()) for i in range(len(sets))]
+        assert all(own[a] & own[b] for a, b in near)
+    for a, b in near:
+        apart = n[a] + n[b] - 2 * len(np.intersect1d(sets[a], sets[b]))
+        assert sum((int(x) & (1 << 64) - 1).bit_count() for x in odd[a] ^ odd[b]) <= apart
+
+
 def test_history_dedup_empty(spark):
     df = spark.createDataFrame([], "ex_id long, batch_no int, source string")
     assert history_dedup.deduplicate_batches(df, "batch_no", "ex_id", "source").count() == 0
