@@ -1,15 +1,16 @@
 """Train, validation and test splits that keep related records together (problem 3).
 
-Each record names keys: its article, cases and authors. Two keys of one record are an edge of
-the key graph, whose components are found by hash-to-min: every node keeps a cluster of
+Each record names keys: its article, cases and authors. A key that several records share is named by
+the smallest of them; keys of one record alone relate nothing. Two names met in one record are an edge of
+the graph, whose components are found by hash-to-min: every node keeps a cluster of
 nodes, sends the cluster to its smallest member and that member to the others, until nothing
 changes. Clusters are rows (node, member), so no cluster has to fit a task, and records that
-share a key by the million add one edge between keys, not pairs of records. Components go
+share a key by the million add one edge between names, not pairs of records. Components go
 to splits by weighted rendezvous hashing, which needs no state and moves few components when
 weights change.
 
 Defined cases: a null id gives no article; null text gives no case and no author; a
-record without keys is a component of its own; repeated rows fall into one component; an empty
+record without keys is a component of its own; rows of one id fall into one component; an empty
 table gives empty results; extra columns are ignored.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.operators.spread import salted_join
+from quillspark.operators.spread import hot_join
 from quillspark.session import materialize
 
 # fixed values: the tags of cases
@@ -71,15 +72,10 @@ def article_key(col: Column) -> Column:
 
 
 def keyed(df: DataFrame, id_col: str, article_col: str, text_col: str) -> DataFrame:
-    """(id, keys): every key of every record, as 126 bits of two hashes held in a decimal, so that even 10**10 keys do not meet by chance."""
+    """(id, keys): every key of every record."""
     src = df.select(F.col(id_col).cast("long").alias("id"), article_key(F.col(article_col)).alias("a"), text_keys(F.col(text_col)).alias("k"))
     keys = F.array_compact(F.array_append(F.coalesce("k", F.array().cast("array<string>")), F.col("a")))
-    return src.where("id is not null").select("id", F.transform(keys, _number).alias("keys"))
-
-
-def _number(x: Column) -> Column:
-    high, low = (F.xxhash64(*c).bitwiseAND((1 << 63) - 1).cast("decimal(19,0)") for c in ((x,), (F.lit(1), x)))
-    return (high * F.lit(1 << 62).cast("decimal(19,0)") * F.lit(2).cast("decimal(1,0)") + low).cast("decimal(38,0)")
+    return src.where("id is not null").select("id", keys.alias("keys"))
 
 
 def hash_to_min(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -92,8 +88,8 @@ def hash_to_min(edges: DataFrame, a: str, b: str) -> DataFrame:
     state = materialize(both.distinct(), "clusters")
     last = None
     while True:
-        low = state.groupBy("v").agg(F.min("u").alias("m"))
-        joined = salted_join(state, low, "v", F.col("u"))
+        low = state.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = hot_join(state, low.select("v", "m"), "v", F.col("u"), low.select("v", "n"))
         # the cluster to its smallest member, the smallest member to the cluster
         sent = joined.select(F.col("m").alias("v"), "u").union(joined.select(F.col("u").alias("v"), F.col("m").alias("u")))
         state = materialize(sent.distinct(), "clusters")
@@ -108,15 +104,16 @@ def components(df: DataFrame, id_col: str, article_col: str, text_col: str) -> D
     """(id, group_id): each record's component, named by its smallest record."""
     spark = df.sparkSession
     rows = materialize(keyed(df, id_col, article_col, text_col), "keyed")
-    lone = rows.where(F.size("keys") == 0).select("id", F.col("id").alias("group_id"))
-    some = rows.where(F.size("keys") > 0).withColumn("first", F.array_min("keys"))
-    edges = some.where(F.size("keys") > 1).select("first", F.explode("keys").alias("other")).where("first <> other").distinct()
-    comp = materialize(hash_to_min(edges, "first", "other"), "components")
-    placed = salted_join(some.select("id", F.col("first").alias("node")), comp, "node", F.col("id"), "left")
-    placed = materialize(placed.select("id", F.coalesce("component", "node").alias("component")), "placed")
-    smallest = placed.groupBy("component").agg(F.min("id").alias("group_id"))
-    named = salted_join(placed, smallest, "component", F.col("id")).select("id", "group_id")
-    return named.union(lone)
+    pairs = rows.select("id", F.explode("keys").alias("key"))
+    firsts = materialize(pairs.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
+    held = hot_join(pairs, firsts.select("key", "first"), "key", F.col("id"), firsts.select("key", "n"))
+    held = materialize(held.groupBy("id").agg(F.collect_set("first").alias("firsts")).withColumn("node", F.array_min("firsts")), "held")
+    edges = held.where(F.size("firsts") > 1).select("node", F.explode("firsts").alias("other")).where("node <> other").distinct()
+    # names are records, so the smallest name of a component is its smallest record
+    comp = materialize(hash_to_min(edges, "node", "other"), "components")
+    placed = hot_join(held.select("id", "node"), comp, "node", F.col("id"), held.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "left")
+    placed = placed.select("id", F.coalesce("component", "node").alias("group_id"))
+    return rows.select("id").join(placed, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
 
 
 def rendezvous(group: Column, weights: dict[str, float], seed: int = 7) -> Column:

@@ -40,6 +40,17 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread_by: Column,
     return lhs.join(rhs, [key, "_salt"], how).drop("_salt")
 
 
+def hot_join(left: DataFrame, right: DataFrame, key: str, spread_by: Column, sizes: DataFrame, how: str = "inner", salts: int = 16, hot: int = 100_000) -> DataFrame:
+    """As ``salted_join``, but only keys with more than ``hot`` rows of ``left`` by ``sizes`` (key, n) are divided and repeated.
+
+    Broadcast are those keys, at most one per ``hot`` rows.
+    """
+    many = F.broadcast(sizes.where(F.col("n") > hot).select(key, F.lit(salts).alias("_salts")))
+    lhs = left.join(many, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    rhs = right.join(many, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return lhs.join(rhs, [key, "_salt"], how).drop("_salt")
+
+
 def spread_out(df: DataFrame, *keys: str) -> DataFrame:
     """Deal rows out for costly per-row work, if their input is too small to be split over all cores.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.folding import fold_letters, fold_words
 from quillspark.llm import bin_slack, content_scores, grouped_split, history_dedup, pair_defects, source_mix, split_overlap, token_budget, token_sizes
-from quillspark.operators.spread import spread_rank
+from quillspark.operators.spread import hot_join, spread_rank
 from quillspark.session import Scratch
 
 WORDS = [f"w{k}" for k in range(300)] + ["the", "of", "a", "Straße", "café"]
@@ -284,6 +284,28 @@ def test_components_equal_union_find(spark):
     assert got == {i: least[find(i)] for i, *_ in rows}
 
 
+def test_keys_of_one_record_make_no_edges(spark, monkeypatch):
+    edges, found = [], grouped_split.hash_to_min
+
+    def counted(e, a, b):
+        edges.append(e.count())
+        return found(e, a, b)
+
+    monkeypatch.setattr(grouped_split, "hash_to_min", counted)
+    rows = [(i, f"id{i}", f"CMP-{i} of HND-{i % 20 + 1}\nAuthor: a{i}.x") for i in range(100)]
+    df = spark.createDataFrame(rows, "row_id long, id string, source string")
+    got = {r["id"]: r["group_id"] for r in grouped_split.components(df, "row_id", "id", "source").collect()}
+    assert got == {i: i % 20 for i in range(100)} and edges == [0]
+
+
+def test_hot_join_equals_join(spark):
+    left = spark.range(200).select((F.col("id") % 20 * (F.col("id") % 2)).alias("k"), "id")
+    right = left.groupBy("k").agg(F.max("id").alias("m")).where("k <> 3")
+    sizes = left.groupBy("k").count().withColumnRenamed("count", "n")
+    for how in ("inner", "left"):
+        assert sorted(hot_join(left, right, "k", F.col("id"), sizes, how, 4, 50).collect()) == sorted(left.join(right, "k", how).collect())
+
+
 def test_splits_hold_weights_and_groups(spark):
     df = spark.range(20_000).select("id", (F.col("id") % 5000).alias("group_id"))
     out = grouped_split.assign_splits(df, {"train": 0.8, "validation": 0.1, "test": 0.1})
