@@ -11,7 +11,7 @@ Rules for empty, refusing, copying and wrong-language responses go first, in tha
 A response is in another language than its source if function words say so, or if its letters
 are far less likely under the letter model of the source's language than that language's own texts are (``LETTER_GAP``)
 and hardly any of its words are function words of that language. Letter models are trigram
-counts over at most ``LETTER_SAMPLE`` sources, taken in order of a hash.
+counts over all sources, added up by the executors; the driver and the executors hold one number per language and trigram.
 
 Defined cases: pairs without a source are not judged; a null, blank or stand-in target is
 ``empty``; of several defects the first of the order holds; repeated rows are judged alike;
@@ -24,6 +24,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +55,8 @@ _SPACE = re.compile(r"\s+")
 _BULLET = re.compile(r"^\s*(?:[-*•‣–]|\d+[.)])\s+")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])[\"”»')\]]*\s+|(?<=[。！？])")
 _STOP = " .!?…。！？\"”»'`´([{<,;:-–—*"  # also marks that a cut leaves open
-LETTER_SAMPLE, LETTER_LEAST, LETTER_GAP = 2000, 30, 1.0
+LETTER_LEAST, LETTER_GAP = 30, 1.0
+_SHARE, _CODE = 1 << 30, (1 << 21) - 1
 
 
 def is_empty(target: str | None) -> bool:
@@ -83,38 +85,68 @@ def tail(parts: list[str]) -> str:
 
 
 class LetterModel:
-    """How likely the letters of a text are, by counts of three letters in a row over sample texts."""
-
-    def __init__(self, texts: list[list[str]]):
-        self.three: Counter = Counter()
-        self.two: Counter = Counter()
-        for words in texts:
-            t = f" {' '.join(words)} "
-            self.three.update(t[i : i + 3] for i in range(len(t) - 2))
-            self.two.update(t[i : i + 2] for i in range(len(t) - 2))
-        own = [self.rate(words) for words in texts]
-        self.usual = sum(own) / max(1, len(own))
+    """How likely the letters of a text are, by counts of three letters in a row over ``n`` texts.
+
+    ``shares`` are the same counts, each text's divided by its own number of them: they give the mean rate of the texts without a second pass.
+    """
+
+    def __init__(self, three: dict[str, int], shares: dict[str, float], n: int):
+        self.three, self.two = three, Counter()
+        for g, c in three.items():
+            self.two[g[:2]] += c
+        self.usual = math.fsum(w * self.log(g) for g, w in shares.items()) / max(1, n)
+
+    def log(self, gram: str) -> float:
+        return math.log((self.three.get(gram, 0) + 0.1) / (self.two.get(gram[:2], 0) + 4.0))
 
     def rate(self, words: list[str]) -> float:
         """Mean log probability of a letter after the two before it."""
         t = f" {' '.join(words)} "
         n = len(t) - 2
-        return sum(math.log((self.three.get(t[i : i + 3], 0) + 0.1) / (self.two.get(t[i : i + 2], 0) + 4.0)) for i in range(n)) / n if n > 0 else 0.0
+        return sum(self.log(t[i : i + 3]) for i in range(n)) / n if n > 0 else 0.0
 
     def is_far(self, words: list[str]) -> bool:
         return len(words) >= 4 and self.rate(words) < self.usual - LETTER_GAP
 
 
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(three letters as one number, how often, the shares added up) over some texts. Shares are whole numbers of ``_SHARE``, so their sum has no order."""
+    c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    inside = owner[:-2] == owner[2:]
+    gram, at, n = np.unique(((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])[inside], return_inverse=True, return_counts=True)
+    share = _SHARE // np.maximum(sizes - 2, 1)
+    return gram, n, np.bincount(at, weights=share[owner[:-2][inside]], minlength=len(gram)).astype(np.int64)
+
+
 def letter_models(df: DataFrame, source_col: str) -> dict[str, LetterModel]:
-    """A model for each language that at least ``LETTER_LEAST`` of the sampled sources are in."""
-    rows = df.where(F.trim(F.col(source_col)) != "").select(F.col(source_col).alias("t")).orderBy(F.xxhash64("t"), "t").limit(LETTER_SAMPLE).collect()
-    by: dict[str, list[list[str]]] = {}
-    for (t,) in rows:
-        f = fold(t)
-        lang = guess_language(f)[0]
-        if lang:
-            by.setdefault(lang, []).append(prose_words(f))
-    return {lang: LetterModel(texts) for lang, texts in by.items() if len(texts) >= LETTER_LEAST}
+    """A model for each language that at least ``LETTER_LEAST`` of the sources are in."""
+
+    def run(batches):
+        for pdf in batches:
+            by: dict[str, list[str]] = {}
+            for t in pdf["t"]:
+                f = fold(t)
+                lang = guess_language(f)[0]
+                if lang:
+                    by.setdefault(lang, []).append(f" {' '.join(prose_words(f))} ")
+            for lang, texts in by.items():
+                gram, n, share = _grams(texts)
+                yield pd.DataFrame({"lang": lang, "gram": np.append(gram, -1), "n": np.append(n, len(texts)), "share": np.append(share, 0)})
+
+    rows = spread_out(df.where(F.trim(F.col(source_col)) != "").select(F.col(source_col).alias("t")))
+    counts = rows.mapInPandas(run, "lang string, gram long, n long, share long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("share").alias("share"))
+    by: dict[str, list] = {}
+    for lang, gram, n, share in counts.collect():  # one row per language and three letters
+        by.setdefault(lang, []).append((gram, n, share))
+    models = {}
+    for lang in sorted(by):
+        total = next(n for g, n, _ in by[lang] if g < 0)
+        if total >= LETTER_LEAST:
+            named = [(chr(g >> 42) + chr(g >> 21 & _CODE) + chr(g & _CODE), n, w) for g, n, w in by[lang] if g >= 0]
+            models[lang] = LetterModel({g: n for g, n, _ in named}, {g: w / _SHARE for g, _, w in named}, total)
+    return models
 
 
 def is_foreign(ft: str, fs: str, models: dict[str, LetterModel]) -> bool:

@@ -355,6 +355,22 @@ def test_letter_models_tell_unlisted_languages(spark):
         assert pair_defects.defect(sources[0], target, models) == want
 
 
+def test_letter_models_count_every_source(spark):
+    """A language of 31 in 4,031 sources has a model, and the models are those of all texts."""
+    rng = random.Random(26)
+    en = ["the worker keeps its cache", "all rows were copied to the disk", "the tests have passed again", "we must restart the server before noon"]
+    de = ["der server kopiert die zeilen und wartet nicht", "wir haben das nicht geprüft und die datei ist alt", "die tests sind nicht mehr rot"]
+    sources = [". ".join(rng.sample(en, 3)) + f" {k}" for k in range(4000)] + [". ".join(rng.sample(de, 2)) + f" {k}" for k in range(31)]
+    models = pair_defects.letter_models(spark.createDataFrame([(t,) for t in [*sources, None, " "]], "s string"), "s")
+    assert sorted(models) == ["de", "en"]
+    for lang, texts in (("en", sources[:4000]), ("de", sources[4000:])):
+        words = [pair_defects.prose_words(pair_defects.fold(t)) for t in texts]
+        lines = [f" {' '.join(w)} " for w in words]
+        assert models[lang].three == Counter(t[i : i + 3] for t in lines for i in range(len(t) - 2))
+        assert models[lang].two == Counter(t[i : i + 2] for t in lines for i in range(len(t) - 2))
+        assert abs(models[lang].usual - sum(models[lang].rate(w) for w in words) / len(words)) < 1e-5
+
+
 def test_defect_frame(spark):
     rows = [(1, SRC, None, 1), (1, SRC, None, 1), (2, None, None, 1), (3, " ", "x", 1), (4, "x " * 50_000, "y", 1)]
     df = spark.createDataFrame(rows, "ex_id long, source string, target string, defect int")
