@@ -241,6 +241,43 @@ def test_overlaps_with_long_training_text(spark):
     assert [tuple(r) for r in split_overlap.overlap_pairs(*found).collect()] == [(1, 11)]
 
 
+def test_overlaps_of_texts_from_few_patterns(monkeypatch):
+    """Passages shared by chance must not cost work pair by pair: all matches are found, few pairs are looked at singly."""
+    rng = random.Random(23)
+    words = [["".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(rng.randint(2, 5))) for _ in range(12)] for _ in range(4)]
+
+    def text():
+        return "".join("".join(rng.choice(w) for w in words) + str(rng.randint(0, 99)) for _ in range(12))
+
+    def noisy(t, n):
+        t = list(t)
+        for _ in range(n):
+            k = rng.randrange(len(t))
+            t[k : k + rng.choice([0, 1])] = rng.choice(["", "x", "7"])
+        return "".join(t)
+
+    ev = list(dict.fromkeys(text() for _ in range(1500)))
+    tr = [*(noisy(t, len(t) // rng.choice([8, 9, 40])) for t in ev[::50]), *(text() for _ in range(70))]
+    seen = []
+    decided = split_overlap.PassageShard._decided
+    monkeypatch.setattr(split_overlap.PassageShard, "_decided", lambda self, name, t, who: seen.extend(who) or decided(self, name, t, who))
+    got = [m[:2] for m in split_overlap.PassageShard(list(range(len(ev))), ev).scan(tr)]
+    assert sorted(got) == [(i, k) for i, a in enumerate(ev) for k, b in enumerate(tr) if split_overlap.same(a, b)] and len(got) > 20
+    assert len(seen) < len(ev) * len(tr) // 1000
+
+
+def test_passages_added_up():
+    rng = np.random.default_rng(3)
+    for rows in (1, 2, 3, 9, 70, 131):
+        bits = rng.integers(0, 2, (rows, 128), dtype=np.uint8)
+        packed = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+        total = sum(np.unpackbits(d.view(np.uint8), bitorder="little").astype(int) << i for i, d in enumerate(split_overlap.add_up(packed.copy())))
+        assert total.tolist() == bits.sum(axis=0).tolist()
+        for most in (1, rows, rows + 1, 300):
+            assert np.unpackbits(split_overlap._enough(packed, np.arange(rows), most).view(np.uint8), bitorder="little").tolist() == (bits.sum(axis=0) >= most).tolist()
+    assert all(n // split_overlap.PROBE > n * 8 // 7 // 8 for n in range(2 * split_overlap.PROBE, 5000))  # some passage is always left
+
+
 def test_overlaps_empty(spark):
     df = spark.createDataFrame([], "row_id long, split string, source string")
     links, ev, tr = split_overlap.overlaps(df, "row_id", "split", "source", F.col("split") == "train", F.col("split") == "test")
