@@ -111,17 +111,26 @@ def take_accepted(df: DataFrame, id_col: str, text: str, count: int, most: int =
 
 
 def ngram_rows(df: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
-    """(id, g): the n-word runs of each text as 64-bit digests. Words are a column of their own, so a text is split once."""
+    """(id, g): the distinct n-word runs of each text as 64-bit digests.
+
+    Words are a column of their own and no filter rests on them, so that a text is split once: a filter, also the
+    one inferred from an inner explode, would be moved below that column and split the text again.
+    """
     x = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.filter(F.split(F.lower(F.col(text)), r"(?U)[^\p{L}\p{N}]+", -1), lambda w: w != "").alias("w"))
-    x = x.where(F.size("w") >= n).select("id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("k"))
-    return x.select("id", F.xxhash64(F.slice("w", F.col("k"), n)).alias("g"))
+    starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1))
+    x = x.select("id", F.array_distinct(F.transform(starts, lambda k: F.xxhash64(F.slice("w", k, n)))).alias("g"))
+    return x.select("id", F.explode_outer("g").alias("g")).where(F.col("g").isNotNull())
 
 
 def ngram_overlap(left: DataFrame, right: DataFrame, left_id: str, left_text: str, right_text: str, n: int = 8) -> DataFrame:
-    """Per left row the number of its distinct n-grams and how many the right texts hold; n-grams meet as digests."""
-    words = ngram_rows(left, left_id, left_text, n).distinct()
+    """Per left row the number of its distinct n-grams and how many the right texts hold; n-grams meet as digests.
+
+    Either side is shuffled once, by digest: there equal (id, n-gram) of the left meet too. The join is by sort and merge,
+    never by broadcast: the optimizer's estimate of bytes doesn't count the rows that a text is exploded into.
+    """
+    words = ngram_rows(left, left_id, left_text, n).repartition("g").distinct()
     held = ngram_rows(right.withColumn("__k", F.lit(0)), "__k", right_text, n).select("g").distinct()
-    hit = words.join(held.withColumn("hit", F.lit(1)), "g", "left")
+    hit = words.join(held.withColumn("hit", F.lit(1)).hint("merge"), "g", "left")
     return hit.groupBy("id").agg(F.count(F.lit(1)).alias("n_grams"), F.count("hit").alias("n_shared")).withColumn("share", F.round(F.col("n_shared") / F.col("n_grams"), 4))
 
 

@@ -109,6 +109,30 @@ def test_every_copy_has_its_class(spark):
     assert got == sorted(pairs_ + copies) and not set(pairs_) & set(copies)
 
 
+def test_ngram_overlap_without_broadcast(spark):
+    rng = random.Random(7)
+    words = lambda k: " ".join(rng.choice("abcdef") * 2 for _ in range(k))
+    long = words(300)
+    left = [(1, long), (2, long[:200].upper()), (2, long[100:400]), (3, "a b c d e f g"), (4, "a b c d e f g h"), (5, "x " * 40), (6, None), (7, ""), (None, long[:90])]
+    right = [(1, long[150:500]), (2, None), (3, "A, b; c d e f g h!"), (4, "x y"), (5, words(200))]
+    grams = lambda t: {tuple(w[k : k + 8]) for w in [(t or "").lower().replace(",", "").replace(";", "").replace("!", "").split()] for k in range(len(w) - 7)}
+    held = set().union(*(grams(t) for _, t in right))
+    want: dict = {}
+    for i, t in left:
+        want.setdefault(i, set()).update(grams(t))
+    want = {i: (len(g), len(g & held), round(len(g & held) / len(g), 4)) for i, g in want.items() if g}
+    limit = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(limit, "1b")
+    try:
+        df = neardup.ngram_overlap(spark.createDataFrame(left, "id long, t string"), spark.createDataFrame(right, "k long, s string"), "id", "t", "s")
+        got = {r["id"]: (r["n_grams"], r["n_shared"], r["share"]) for r in df.collect()}
+    finally:
+        spark.conf.unset(limit)
+    assert got == want
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan and plan.count("split(") == 2
+
+
 def test_splits_windows_and_checks(spark):
     keys = [f"g{k}:{j}" for k in range(40) for j in range(2)]
     df = spark.createDataFrame([(k,) for k in keys], "id string")
