@@ -110,16 +110,15 @@ def take_accepted(df: DataFrame, id_col: str, text: str, count: int, most: int =
     return df.join(good.withColumnRenamed("id", id_col), id_col, "left_semi")
 
 
-def ngram_rows(df: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
-    """(id, g): the distinct n-word runs of each text as 64-bit digests.
+def ngram_sets(df: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
+    """(id, g): the distinct n-word runs of each text as an array of 64-bit digests, null for shorter texts.
 
     Words are a column of their own and no filter rests on them, so that a text is split once: a filter, also the
     one inferred from an inner explode, would be moved below that column and split the text again.
     """
     x = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.filter(F.split(F.lower(F.col(text)), r"(?U)[^\p{L}\p{N}]+", -1), lambda w: w != "").alias("w"))
     starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1))
-    x = x.select("id", F.array_distinct(F.transform(starts, lambda k: F.xxhash64(F.slice("w", k, n)))).alias("g"))
-    return x.select("id", F.explode_outer("g").alias("g")).where(F.col("g").isNotNull())
+    return x.select("id", F.array_distinct(F.transform(starts, lambda k: F.xxhash64(F.slice("w", k, n)))).alias("g"))
 
 
 def ngram_overlap(left: DataFrame, right: DataFrame, left_id: str, left_text: str, right_text: str, n: int = 8) -> DataFrame:
@@ -127,11 +126,14 @@ def ngram_overlap(left: DataFrame, right: DataFrame, left_id: str, left_text: st
 
     Either side is shuffled once, by digest: there equal (id, n-gram) of the left meet too. The join is by sort and merge,
     never by broadcast: the optimizer's estimate of bytes doesn't count the rows that a text is exploded into.
+    The first n-gram of a text carries their number, so that back to the ids go only those rows, the shared n-grams
+    and those that several texts of one id hold, which are counted once.
     """
-    words = ngram_rows(left, left_id, left_text, n).repartition("g").distinct()
-    held = ngram_rows(right.withColumn("__k", F.lit(0)), "__k", right_text, n).select("g").distinct()
-    hit = words.join(held.withColumn("hit", F.lit(1)).hint("merge"), "g", "left")
-    return hit.groupBy("id").agg(F.count(F.lit(1)).alias("n_grams"), F.count("hit").alias("n_shared")).withColumn("share", F.round(F.col("n_shared") / F.col("n_grams"), 4))
+    texts = ngram_sets(left, left_id, left_text, n).select("id", F.size("g").alias("all"), F.posexplode_outer("g").alias("k", "g")).where(F.col("g").isNotNull())
+    words = texts.select("id", "g", F.when(F.col("k") == 0, F.col("all")).alias("all")).repartition("g").groupBy("id", "g").agg(F.sum("all").alias("all"), (F.count(F.lit(1)) - 1).alias("again"))
+    held = ngram_sets(right.withColumn("__k", F.lit(0)), "__k", right_text, n).select(F.explode_outer("g").alias("g")).where(F.col("g").isNotNull()).distinct()
+    hit = words.join(held.withColumn("hit", F.lit(1)).hint("merge"), "g", "left").where(F.col("hit").isNotNull() | F.col("all").isNotNull() | (F.col("again") > 0))
+    return hit.groupBy("id").agg(F.sum(F.coalesce("all", F.lit(0)) - F.col("again")).alias("n_grams"), F.count("hit").alias("n_shared")).withColumn("share", F.round(F.col("n_shared") / F.col("n_grams"), 4))
 
 
 def repeated_sentences(text: Column) -> Column:
